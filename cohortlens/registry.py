@@ -91,3 +91,117 @@ reg("assessment_distribution", grades.assessment_distribution, W(
            mn + (mx - mn) / 10 * (bin + 1) AS bin_upper, count(*) AS n
     FROM h JOIN s ON h.type = s.type GROUP BY s.type, q1, median, q3, bin, mn, mx""",
     "roster", "assessments", round_cols=("q1", "median", "q3", "bin_lower", "bin_upper")))
+
+# ---------------------------------------------------------------- engagement
+from cohortlens.plans import engagement, trends  # noqa: E402
+
+_FACTS = """gr AS (SELECT student_id, avg(score) AS avg_grade FROM assessments GROUP BY student_id),
+    att AS (SELECT student_id, CAST(count_if(lower(status) = 'attended') AS DOUBLE) / count(record_id) * 100
+            AS attendance_rate FROM attendance GROUP BY student_id),
+    lg AS (SELECT student_id, count(*) AS logins FROM learn_events WHERE event_type = 'login' GROUP BY student_id),
+    vd AS (SELECT student_id, COALESCE(sum(duration_seconds), 0) / 3600 AS video_hours FROM learn_events
+           WHERE event_type = 'video_watch' GROUP BY student_id)"""
+_EP = _FACTS + """,
+    cap AS (SELECT quantile_cont(video_hours, 0.98) AS cap FROM vd),
+    ep AS (SELECT r.student_id, r.course_name, r.group_id, gr.avg_grade, att.attendance_rate,
+                  COALESCE(lg.logins, 0) AS total_logins,
+                  CASE WHEN vd.video_hours IS NULL THEN 0 ELSE least(vd.video_hours, cap.cap) END AS video_hours
+           FROM roster r LEFT JOIN gr ON r.student_id = gr.student_id LEFT JOIN att ON r.student_id = att.student_id
+           LEFT JOIN lg ON r.student_id = lg.student_id LEFT JOIN vd ON r.student_id = vd.student_id CROSS JOIN cap)"""
+_EV = ("roster", "assessments", "attendance", "learn_events")
+_PLATFORM = ("pa AS (SELECT COALESCE(CASE WHEN count(*) > 0 THEN CAST(count_if(lower(status) = 'attended') AS DOUBLE)"
+             " / count(*) * 100 END, 0) AS platform_avg FROM attendance)")
+
+reg("engagement_profile", engagement.engagement_profile, W(
+    f", {_EP} SELECT * FROM ep", *_EV, round_cols=("avg_grade", "attendance_rate", "video_hours")))
+
+reg("group_attendance", engagement.group_attendance, W(
+    f""", {_EP}, {_PLATFORM},
+    g AS (SELECT group_id || ' (' || course_name || ')' AS group_label, avg(attendance_rate) AS attendance_rate
+          FROM ep WHERE group_id || ' (' || course_name || ')' IS NOT NULL GROUP BY 1)
+    SELECT g.*, pa.platform_avg, COALESCE(g.attendance_rate >= pa.platform_avg, false) AS at_or_above_platform
+    FROM g CROSS JOIN pa""", *_EV, round_cols=("attendance_rate", "platform_avg")))
+
+_OLS = ("CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_slope({y}, {x}) AS slope, "
+        "regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r2")
+_IMPACT = "CASE WHEN regr_count({y}, {x}) > 1 THEN regr_slope({y}, {x}) * {m} ELSE 0 END"
+_OLS_ROUND = ("slope", "intercept", "r2")
+
+reg("engagement_impact", engagement.engagement_impact, W(
+    f", {_EP} " + " UNION ALL ".join(
+        f"SELECT '{x}' AS measure, CAST({m} AS DOUBLE) AS multiplier, {_OLS.format(y='avg_grade', x=x)}, "
+        f"{_IMPACT.format(y='avg_grade', x=x, m=m)} AS impact FROM ep"
+        for x, m in (("attendance_rate", 10), ("total_logins", 10), ("video_hours", 1))),
+    *_EV, round_cols=_OLS_ROUND + ("impact",)))
+
+_TIMING = """ta AS (SELECT assessment_id, student_id, score,
+           (epoch_us(deadline) - epoch_us(submitted_at)) / 3600000000 AS hours_before_deadline
+           FROM assessments WHERE type = 'assignment' AND deadline IS NOT NULL AND submitted_at IS NOT NULL),
+    tc AS (SELECT quantile_cont(hours_before_deadline, 0.98) AS cap FROM ta),
+    timing AS (SELECT assessment_id, student_id, score, hours_before_deadline,
+           CASE WHEN hours_before_deadline < 0 THEN 'Late Submission' ELSE 'On-Time' END AS submission_status
+           FROM ta CROSS JOIN tc WHERE hours_before_deadline <= cap)"""
+
+reg("submission_timing", engagement.submission_timing, W(
+    f", {_TIMING} SELECT * FROM timing", "roster", "assessments",
+    round_cols=("score", "hours_before_deadline")))
+
+reg("late_vs_ontime_spread", engagement.late_vs_ontime_spread, W(
+    f""", {_TIMING}, src AS (SELECT submission_status, CAST(score AS DOUBLE) AS v FROM timing),
+    s AS ({_FIVE.format(k='submission_status', src='src')})
+    {_FIVE_OUT.format(k='submission_status', src='src')}""", "roster", "assessments", round_cols=_FIVE_ROUND))
+
+reg("early_submission_impact", engagement.early_submission_impact, W(
+    f""", {_TIMING} SELECT {_OLS.format(y='score', x='hours_before_deadline')},
+    {_IMPACT.format(y='score', x='hours_before_deadline', m=24)} AS points_per_day_early
+    FROM timing WHERE hours_before_deadline >= 0""", "roster", "assessments",
+    round_cols=_OLS_ROUND + ("points_per_day_early",)))
+
+# ---------------------------------------------------------------- trends
+reg("weekly_activity", trends.weekly_activity, W(
+    """, u AS (SELECT event_datetime AS ts, 'Platform Event (Login/Video)' AS action_type FROM learn_events
+         UNION ALL SELECT COALESCE(submitted_at, date) AS ts, 'Assessments Taken (All Types)' AS action_type
+         FROM assessments)
+    SELECT CAST(date_trunc('week', ts - INTERVAL 1 DAY) AS DATE) + 7 AS week, action_type,
+           count(*) AS total_actions FROM u WHERE ts IS NOT NULL GROUP BY 1, 2""",
+    "assessments", "learn_events"))
+
+reg("score_by_type", trends.score_by_type, W(
+    f"""SELECT {_TITLE} AS assessment_type, avg(score) AS avg_score, ({_TITLE}) = 'Assignment' AS is_assignment
+    FROM assessments WHERE type IS NOT NULL GROUP BY type""", "assessments", round_cols=("avg_score",)))
+
+_MARCH = """ma AS (SELECT a.assessment_id, a.student_id, a.date, a.score, r.full_name FROM assessments a
+           LEFT JOIN roster r ON a.student_id = r.student_id
+           WHERE lower(a.type) = 'assignment' AND a.date IS NOT NULL AND month(a.date) = 3),
+    ms AS (SELECT student_id, session_datetime FROM attendance
+           WHERE lower(status) = 'attended' AND session_datetime IS NOT NULL),
+    mm AS (SELECT ma.*, (SELECT max(ms.session_datetime) FROM ms WHERE ms.student_id = ma.student_id
+           AND ms.session_datetime <= ma.date) AS last_attended FROM ma),
+    march AS (SELECT *, CAST(floor((epoch_us(date) - epoch_us(last_attended)) / 86400000000) AS BIGINT)
+           AS days_since_last_attended FROM mm WHERE last_attended IS NOT NULL)"""
+
+reg("march_absence_effect", trends.march_absence_effect, W(
+    f", {_MARCH} SELECT * FROM march", "roster", "assessments", "attendance", round_cols=("score",)))
+
+reg("march_absence_trend", trends.march_absence_trend, W(
+    f", {_MARCH} SELECT {_OLS.format(y='score', x='days_since_last_attended')} FROM march",
+    "roster", "assessments", "attendance", round_cols=_OLS_ROUND))
+
+reg("age_bracket_outcomes", trends.age_bracket_outcomes, W(
+    f""", {_FACTS},
+    p AS (SELECT CAST(r.age AS DOUBLE) AS age, gr.avg_grade, att.attendance_rate,
+                 COALESCE(vd.video_hours, 0) AS video_hours
+          FROM roster r LEFT JOIN gr ON r.student_id = gr.student_id LEFT JOIN att ON r.student_id = att.student_id
+          LEFT JOIN vd ON r.student_id = vd.student_id WHERE r.age IS NOT NULL),
+    e AS (SELECT list_sort(list_distinct(quantile_cont(age, [0, 0.25, 0.5, 0.75, 1]))) AS edges,
+                 count(DISTINCT age) AS nd FROM p),
+    b AS (SELECT p.*,
+            CASE WHEN nd < 4 THEN age WHEN age <= edges[1] THEN edges[1]
+                 ELSE list_max(list_filter(edges, lambda x: x < age)) END AS bracket_lower,
+            CASE WHEN nd < 4 THEN age WHEN len(edges) = 1 THEN edges[1] WHEN age <= edges[1] THEN edges[2]
+                 ELSE list_min(list_filter(edges, lambda x: x >= age)) END AS bracket_upper
+          FROM p CROSS JOIN e)
+    SELECT bracket_lower, bracket_upper, count(*) AS students, avg(avg_grade) AS avg_grade,
+           avg(attendance_rate) AS avg_attendance, avg(video_hours) AS avg_watch_hours
+    FROM b GROUP BY bracket_lower, bracket_upper""", *_EV,
+    round_cols=("bracket_lower", "bracket_upper", "avg_grade", "avg_attendance", "avg_watch_hours")))
