@@ -205,3 +205,105 @@ reg("age_bracket_outcomes", trends.age_bracket_outcomes, W(
            avg(attendance_rate) AS avg_attendance, avg(video_hours) AS avg_watch_hours
     FROM b GROUP BY bracket_lower, bracket_upper""", *_EV,
     round_cols=("bracket_lower", "bracket_upper", "avg_grade", "avg_attendance", "avg_watch_hours")))
+
+# ---------------------------------------------------------------- concepts
+from cohortlens.plans import concepts, segments  # noqa: E402
+
+_CL = """cl AS (SELECT c.*, r.course_name, r.group_id FROM concepts c LEFT JOIN roster r ON c.student_id = r.student_id),
+    cr AS (SELECT concept_name, course_name, count(record_id) AS total_attempts,
+                  count_if(lower(mastery_status) = 'failed') AS fails,
+                  CAST(count_if(lower(mastery_status) = 'failed') AS DOUBLE) / count(record_id) * 100 AS fail_rate
+           FROM cl WHERE concept_name IS NOT NULL AND course_name IS NOT NULL
+           GROUP BY concept_name, course_name HAVING count(record_id) > 5),
+    wk AS (SELECT * FROM cr ORDER BY fail_rate DESC, concept_name, course_name LIMIT 1)"""
+_WEEKLY = """weekly AS (SELECT CAST(date_trunc('week', timestamp) AS DATE) AS week, count(record_id) AS total,
+           count_if(lower(mastery_status) = 'passed') AS passed,
+           CAST(count_if(lower(mastery_status) = 'passed') AS DOUBLE) / count(record_id) * 100 AS pass_rate
+           FROM cl WHERE concept_name = (SELECT concept_name FROM wk) AND timestamp IS NOT NULL GROUP BY 1)"""
+_CV = ("roster", "concepts")
+
+reg("concept_failure_rates", concepts.concept_failure_rates, W(
+    f", {_CL} SELECT * FROM cr", *_CV, round_cols=("fail_rate",)))
+reg("weakest_concept", concepts.weakest_concept, W(f", {_CL} SELECT * FROM wk", *_CV, round_cols=("fail_rate",)))
+reg("hardest_concepts_top10", concepts.hardest_concepts_top10, W(
+    f""", {_CL} SELECT cr.*, cr.concept_name = (SELECT concept_name FROM wk) AS is_weakest FROM cr
+    ORDER BY fail_rate DESC, concept_name, course_name LIMIT 10""", *_CV, round_cols=("fail_rate",)))
+reg("weakest_concept_by_group", concepts.weakest_concept_by_group, W(
+    f""", {_CL} SELECT group_id, count(record_id) AS attempts, count_if(lower(mastery_status) = 'failed') AS fails,
+    CAST(count_if(lower(mastery_status) = 'failed') AS DOUBLE) / count(record_id) * 100 AS fail_rate
+    FROM cl WHERE concept_name = (SELECT concept_name FROM wk) AND group_id IS NOT NULL GROUP BY group_id""",
+    *_CV, round_cols=("fail_rate",)))
+reg("weakest_concept_weekly", concepts.weakest_concept_weekly, W(
+    f", {_CL}, {_WEEKLY} SELECT * FROM weekly", *_CV, round_cols=("pass_rate",)))
+reg("concept_trend_status", concepts.concept_trend_status, W(
+    f""", {_CL}, {_WEEKLY}, x AS (SELECT *, date_diff('day', min(week) OVER (), week) AS days FROM weekly)
+    SELECT (SELECT concept_name FROM wk) AS concept_name, count(*) AS weeks,
+           CASE WHEN count(*) > 1 THEN regr_slope(pass_rate, days) END AS slope,
+           CASE WHEN count(*) <= 1 THEN 'not enough data' WHEN regr_slope(pass_rate, days) > 0.15 THEN 'improving'
+                WHEN regr_slope(pass_rate, days) < -0.15 THEN 'degrading' ELSE 'flat' END AS trend_status
+    FROM x""", *_CV, round_cols=("slope",)))
+
+# ---------------------------------------------------------------- segments and risk
+_SP = _FACTS + """,
+    mid AS (SELECT min(event_datetime) + (max(event_datetime) - min(event_datetime)) / 2 AS mid FROM learn_events),
+    ec AS (SELECT student_id, count(*) AS events, count_if(event_datetime < mid) AS h1,
+                  count_if(event_datetime >= mid) AS h2 FROM learn_events CROSS JOIN mid GROUP BY student_id),
+    fl AS (SELECT student_id, count_if(lower(mastery_status) = 'failed') AS fails FROM concepts GROUP BY student_id),
+    sp0 AS (SELECT r.student_id, r.full_name, r.email, r.course_name, r.group_id,
+                   COALESCE(gr.avg_grade, 0) AS avg_grade, COALESCE(att.attendance_rate, 0) AS attendance_rate,
+                   COALESCE(ec.events, 0) AS platform_events, COALESCE(fl.fails, 0) AS failed_concepts,
+                   COALESCE(ec.h1, 0) AS h1_events, COALESCE(ec.h2, 0) AS h2_events,
+                   greatest(COALESCE(ec.h1, 0) - COALESCE(ec.h2, 0), 0) AS engagement_drop
+            FROM roster r LEFT JOIN gr ON r.student_id = gr.student_id LEFT JOIN att ON r.student_id = att.student_id
+            LEFT JOIN ec ON r.student_id = ec.student_id LEFT JOIN fl ON r.student_id = fl.student_id),
+    mm AS (SELECT min(platform_events) AS mn, max(platform_events) AS mx FROM sp0),
+    sp1 AS (SELECT sp0.*, CASE WHEN mx > mn THEN (platform_events - mn) / (mx - mn) * 100 ELSE 0 END
+            AS normalized_events FROM sp0 CROSS JOIN mm),
+    sp AS (SELECT sp1.*, attendance_rate * 0.6 + normalized_events * 0.4 AS effort_score FROM sp1),
+    med AS (SELECT quantile_cont(avg_grade, 0.5) AS mg, quantile_cont(effort_score, 0.5) AS me FROM sp),
+    seg AS (SELECT sp.*, CASE WHEN avg_grade >= mg AND effort_score >= me THEN 'High Achievers'
+                 WHEN avg_grade < mg AND effort_score >= me THEN 'Struggling but Engaged'
+                 WHEN avg_grade >= mg AND effort_score < me THEN 'Independent / Coasting'
+                 ELSE 'Disengaged & At-Risk' END AS segment FROM sp CROSS JOIN med),
+    rmax AS (SELECT CAST(CASE WHEN max(failed_concepts) > 0 THEN max(failed_concepts) ELSE 1 END AS DOUBLE) AS mf,
+                    CAST(CASE WHEN max(engagement_drop) > 0 THEN max(engagement_drop) ELSE 1 END AS DOUBLE) AS md FROM sp),
+    rs AS (SELECT sp.*, (((100 - avg_grade) / 100 * 30) + ((100 - attendance_rate) / 100 * 25)
+                  + (failed_concepts / mf * 25) + (engagement_drop / md * 20)) * 100 AS risk_score
+           FROM sp CROSS JOIN rmax),
+    top AS (SELECT * FROM rs ORDER BY risk_score DESC, student_id LIMIT 10),
+    flagged AS (SELECT rs.*, rs.student_id IN (SELECT student_id FROM top) AS is_top FROM rs)"""
+_SPV = ("roster", "assessments", "attendance", "learn_events", "concepts")
+_SP_ROUND = ("avg_grade", "attendance_rate", "normalized_events", "effort_score")
+
+reg("student_profile", segments.student_profile, W(f", {_SP} SELECT * FROM sp", *_SPV, round_cols=_SP_ROUND))
+reg("student_segments", segments.student_segments, W(f", {_SP} SELECT * FROM seg", *_SPV, round_cols=_SP_ROUND))
+reg("segment_profiles", segments.segment_profiles, W(
+    f", {_SP} SELECT segment, avg(avg_grade) AS avg_grade, avg(attendance_rate) AS avg_attendance FROM seg GROUP BY segment",
+    *_SPV, round_cols=("avg_grade", "avg_attendance")))
+reg("segment_shares", segments.segment_shares, W(
+    f""", {_SP} SELECT segment, students, CAST(students AS DOUBLE) / sum(students) OVER () * 100 AS share_pct
+    FROM (SELECT segment, count(*) AS students FROM seg GROUP BY segment) c""", *_SPV, round_cols=("share_pct",)))
+reg("risk_scores", segments.risk_scores, W(f", {_SP} SELECT * FROM rs", *_SPV,
+                                          round_cols=_SP_ROUND + ("risk_score",)))
+reg("at_risk_top10", segments.at_risk_top10, W(
+    f""", {_SP} SELECT student_id, full_name,
+       CASE WHEN email IS NULL OR (SELECT count(*) FROM rs x WHERE x.email = top.email) > 1 THEN '' ELSE email END
+       AS contact_email, group_id, avg_grade, attendance_rate, failed_concepts, engagement_drop, risk_score FROM top""",
+    *_SPV, round_cols=("avg_grade", "attendance_rate", "risk_score")))
+reg("at_risk_vs_rest", segments.at_risk_vs_rest, W(
+    f""", {_SP} SELECT CASE WHEN is_top THEN 'Top 10 At-Risk' ELSE 'Rest of Platform' END AS cohort,
+       avg(avg_grade) AS avg_grade, avg(attendance_rate) AS avg_attendance, avg(effort_score) AS avg_effort
+    FROM flagged GROUP BY is_top""", *_SPV, round_cols=("avg_grade", "avg_attendance", "avg_effort")))
+reg("at_risk_group_focus", segments.at_risk_group_focus, W(
+    f""", {_SP}, md AS (SELECT group_id AS mode_group, count(*) AS hits FROM top GROUP BY group_id
+                      ORDER BY hits DESC, group_id LIMIT 1)
+    SELECT mode_group, hits, 'group' AS branch,
+           CASE WHEN is_top THEN 'At-Risk Target' ELSE 'Healthy Classmates' END AS status,
+           avg(avg_grade) AS avg_grade, avg(failed_concepts) AS avg_fails, CAST(NULL AS DOUBLE) AS avg_effort
+    FROM flagged CROSS JOIN md WHERE hits >= 3 AND group_id = mode_group GROUP BY mode_group, hits, is_top
+    UNION ALL
+    SELECT mode_group, hits, 'effort' AS branch,
+           CASE WHEN is_top THEN 'Top 10 At-Risk' ELSE 'Rest of Platform' END AS status,
+           CAST(NULL AS DOUBLE) AS avg_grade, CAST(NULL AS DOUBLE) AS avg_fails, avg(effort_score) AS avg_effort
+    FROM flagged CROSS JOIN md WHERE hits < 3 GROUP BY mode_group, hits, is_top""",
+    *_SPV, round_cols=("avg_grade", "avg_fails", "avg_effort")))
