@@ -26,7 +26,7 @@ VIEWS: dict[str, str] = {
 }
 
 
-def with_views(body: str, *names: str, round_cols: tuple[str, ...] = (), digits: int = 4) -> str:
+def with_views(body: str, *names: str, round_cols: tuple[str, ...] = (), digits: int = 9) -> str:
     """``WITH <views> <body>``; doubles listed in ``round_cols`` are rounded in an outer select."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     if not names:

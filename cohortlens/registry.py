@@ -307,3 +307,109 @@ reg("at_risk_group_focus", segments.at_risk_group_focus, W(
            CAST(NULL AS DOUBLE) AS avg_grade, CAST(NULL AS DOUBLE) AS avg_fails, avg(effort_score) AS avg_effort
     FROM flagged CROSS JOIN md WHERE hits < 3 GROUP BY mode_group, hits, is_top""",
     *_SPV, round_cols=("avg_grade", "avg_fails", "avg_effort")))
+
+# ---------------------------------------------------------------- cohorts
+from functools import partial  # noqa: E402
+
+from cohortlens.plans import cohorts, growth  # noqa: E402
+
+reg("phantom_seats", cohorts.phantom_seats, W(
+    """SELECT group_id, count(*) AS verified_count, max(stated_num_students) AS stated_count,
+       max(stated_num_students) - count(*) AS phantom_seats FROM roster WHERE group_id IS NOT NULL GROUP BY group_id""",
+    "roster"))
+reg("phantom_seat_problems", cohorts.phantom_seat_problems, W(
+    """SELECT group_id, count(*) AS verified_count, max(stated_num_students) AS stated_count,
+       max(stated_num_students) - count(*) AS phantom_seats FROM roster WHERE group_id IS NOT NULL GROUP BY group_id
+       HAVING max(stated_num_students) - count(*) > 0""", "roster"))
+
+
+def _small_sql(n: int) -> str:
+    return W(f"""SELECT group_id, count(*) AS group_size, min(course_name) AS course_name FROM roster
+        WHERE group_id IS NOT NULL GROUP BY group_id HAVING count(*) <= {n}""", "roster")
+
+
+def _merge_sql(n: int) -> str:
+    return W(f""", sg AS (SELECT group_id, count(*) AS group_size, min(course_name) AS course_name FROM roster
+              WHERE group_id IS NOT NULL GROUP BY group_id HAVING count(*) <= {n}),
+    gm AS (SELECT r.group_id, avg(c.score_pct) AS mastery FROM concepts c JOIN roster r ON c.student_id = r.student_id
+           WHERE r.group_id IS NOT NULL GROUP BY r.group_id),
+    gc AS (SELECT group_id, min(course_name) AS course_name FROM roster GROUP BY group_id),
+    tg AS (SELECT sg.group_id, sg.group_size, sg.course_name AS target_course,
+                  COALESCE(gm.mastery, 0) AS target_mastery FROM sg LEFT JOIN gm ON sg.group_id = gm.group_id),
+    pairs AS (SELECT tg.group_id AS tgt, gm.group_id AS cand, gm.mastery AS cm,
+                     abs(tg.target_mastery - gm.mastery) AS d
+              FROM tg JOIN gm ON gm.group_id <> tg.group_id WHERE gm.group_id IN (SELECT group_id FROM gc)),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tgt ORDER BY d, cand) AS rn FROM pairs) b
+             WHERE rn = 1)
+    SELECT tg.group_id AS target_group, tg.group_size, tg.target_course, tg.target_mastery,
+           best.cand AS closest_group, gc.course_name AS closest_course, best.cm AS closest_mastery,
+           abs(tg.target_mastery - best.cm) AS mastery_diff,
+           COALESCE(tg.target_course = gc.course_name, false) AS merge_advised
+    FROM tg LEFT JOIN best ON tg.group_id = best.tgt LEFT JOIN gc ON best.cand = gc.group_id""",
+             "roster", "concepts", round_cols=("target_mastery", "closest_mastery", "mastery_diff"))
+
+
+reg("small_groups", cohorts.small_groups, _small_sql(3))
+reg("merge_candidates", cohorts.merge_candidates, _merge_sql(3))
+# FIXTURES.md: at sf0.01 no group has ≤ 3 rows, so the limit 6 also runs the search itself.
+reg("small_groups_6", partial(cohorts.small_groups, max_size=6), _small_sql(6))
+reg("merge_candidates_6", partial(cohorts.merge_candidates, max_size=6), _merge_sql(6))
+
+_MG = """mg AS (SELECT group_id, CAST(date_trunc('month', date) AS DATE) AS month, avg(score) AS avg_score
+           FROM assessments WHERE date IS NOT NULL AND group_id IS NOT NULL GROUP BY 1, 2)"""
+reg("monthly_group_scores", cohorts.monthly_group_scores, W(
+    f", {_MG} SELECT * FROM mg", "assessments", round_cols=("avg_score",)))
+reg("cohort_trajectories", cohorts.cohort_trajectories, W(
+    f""", {_MG}, s AS (SELECT group_id, min(month) AS start_month, max(month) AS end_month,
+           arg_min(avg_score, month) AS start_score, arg_max(avg_score, month) AS end_score,
+           CASE WHEN count(*) > 1 THEN arg_max(avg_score, month) - arg_min(avg_score, month) ELSE 0 END AS total_shift
+           FROM mg GROUP BY group_id)
+    SELECT s.*, CASE WHEN total_shift <= -1.0 THEN 'Sliding Down' WHEN total_shift >= 1.0 THEN 'Trending Up'
+                ELSE 'Stable' END AS trend_status FROM s""", "assessments",
+    round_cols=("start_score", "end_score", "total_shift")))
+
+# ---------------------------------------------------------------- growth
+_WIN = """w AS (SELECT min(enrollment_date) AS start_date,
+           COALESCE((SELECT max(event_datetime) FROM learn_events), min(enrollment_date) + INTERVAL 180 DAY) AS end_date
+           FROM roster WHERE enrollment_date IS NOT NULL),
+    en AS (SELECT * FROM roster WHERE enrollment_date IS NOT NULL),
+    vel AS (SELECT count(*) AS students,
+           greatest(CAST(floor((epoch_us(end_date) - epoch_us(start_date)) / 86400000000) AS BIGINT), 30) AS days_elapsed
+           FROM en CROSS JOIN w GROUP BY start_date, end_date),
+    v AS (SELECT students, days_elapsed, days_elapsed / CAST(30.44 AS DOUBLE) AS months_elapsed,
+          students / (days_elapsed / CAST(30.44 AS DOUBLE)) AS velocity FROM vel),
+    grid AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('month', start_date) AS TIMESTAMP),
+                 CAST(date_trunc('month', end_date) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM w),
+    hist AS (SELECT month, (SELECT count(*) FROM en WHERE CAST(en.enrollment_date AS DATE) <= last_day(month))
+             AS cumulative FROM grid),
+    fm AS (SELECT CAST(date_trunc('month', end_date) AS DATE) AS m0 FROM w),
+    fgrid AS (SELECT m0, CAST(unnest(generate_series(CAST(m0 AS TIMESTAMP), TIMESTAMP '2030-12-01 00:00:00',
+              INTERVAL 1 MONTH)) AS DATE) AS month FROM fm),
+    fc AS (SELECT fgrid.month, CAST(date_diff('month', m0, fgrid.month) AS INTEGER) AS step,
+           CAST(COALESCE((SELECT cumulative FROM hist ORDER BY month DESC LIMIT 1), v.students) AS DOUBLE)
+           + date_diff('month', m0, fgrid.month) * v.velocity AS cumulative FROM fgrid CROSS JOIN v)"""
+_GV = ("roster", "learn_events")
+
+reg("active_window", growth.active_window, W(f", {_WIN} SELECT * FROM w", *_GV))
+reg("enrollment_velocity", growth.enrollment_velocity, W(
+    f", {_WIN} SELECT * FROM v", *_GV, round_cols=("months_elapsed", "velocity")))
+reg("enrollment_history", growth.enrollment_history, W(f", {_WIN} SELECT * FROM hist", *_GV))
+reg("enrollment_forecast", growth.enrollment_forecast, W(
+    f", {_WIN} SELECT * FROM fc", *_GV, round_cols=("cumulative",)))
+reg("enrollment_projection", growth.enrollment_projection, W(
+    f""", {_WIN}, p AS (SELECT CAST(trunc(cumulative) AS BIGINT) AS pt FROM fc ORDER BY step DESC LIMIT 1)
+    SELECT students AS current_total, velocity, pt AS projected_total, CAST(pt AS DOUBLE) / students AS multiplier
+    FROM v CROSS JOIN p""", *_GV, round_cols=("velocity", "multiplier")))
+reg("course_forecast", growth.course_forecast, W(
+    f""", {_WIN}, cs AS (SELECT course_name, count(*) AS students FROM en WHERE course_name IS NOT NULL
+                         GROUP BY course_name),
+    cv AS (SELECT cs.course_name, cs.students / (vel.days_elapsed / CAST(30.44 AS DOUBLE)) AS velocity
+           FROM cs CROSS JOIN vel),
+    ch AS (SELECT cs.course_name, grid.month, (SELECT count(*) FROM en WHERE en.course_name = cs.course_name
+                  AND CAST(en.enrollment_date AS DATE) <= last_day(grid.month)) AS cumulative FROM cs CROSS JOIN grid),
+    cl AS (SELECT course_name, arg_max(cumulative, month) AS last_cum FROM ch GROUP BY course_name)
+    SELECT course_name, month, 'history' AS kind, CAST(cumulative AS DOUBLE) AS cumulative FROM ch
+    UNION ALL
+    SELECT cv.course_name, fgrid.month, 'forecast' AS kind,
+           CAST(cl.last_cum AS DOUBLE) + date_diff('month', fgrid.m0, fgrid.month) * cv.velocity AS cumulative
+    FROM cv JOIN cl ON cv.course_name = cl.course_name CROSS JOIN fgrid""", *_GV, round_cols=("cumulative",)))
