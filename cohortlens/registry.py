@@ -413,3 +413,48 @@ reg("course_forecast", growth.course_forecast, W(
     SELECT cv.course_name, fgrid.month, 'forecast' AS kind,
            CAST(cl.last_cum AS DOUBLE) + date_diff('month', fgrid.m0, fgrid.month) * cv.velocity AS cumulative
     FROM cv JOIN cl ON cv.course_name = cl.course_name CROSS JOIN fgrid""", *_GV, round_cols=("cumulative",)))
+
+# ---------------------------------------------------------------- integrity audit
+from cohortlens.plans import integrity  # noqa: E402
+
+_GHOST = """SELECT student_id, submitted_at FROM raw_submissions s WHERE NOT EXISTS (SELECT 1 FROM learn_events e
+    WHERE e.event_type = 'login' AND e.student_id = s.student_id
+    AND CAST(e.event_datetime AS DATE) IS NOT DISTINCT FROM CAST(s.submitted_at AS DATE))"""
+_NEG = """SELECT event_id, student_id, event_type, duration_seconds, event_datetime FROM learn_events
+    WHERE TRY_CAST(duration_seconds AS DOUBLE) < 0"""
+_MULTI = """SELECT student_id, date_trunc('minute', event_datetime) AS minute, count(DISTINCT device) AS device_count
+    FROM learn_events WHERE student_id IS NOT NULL AND event_datetime IS NOT NULL GROUP BY 1, 2
+    HAVING count(DISTINCT device) > 1"""
+
+reg("audit_input_status", integrity.input_status, W(
+    """SELECT 'students' AS source_table, (SELECT count(*) FROM roster) > 0 AS has_rows
+    UNION ALL SELECT 'concepts', (SELECT count(*) FROM concepts) > 0
+    UNION ALL SELECT 'events', (SELECT count(*) FROM learn_events) > 0""", "roster", "concepts", "learn_events"))
+reg("audit_dummy_ids", integrity.dummy_ids, W(
+    """SELECT record_id, student_id, concept_name, timestamp FROM concepts
+    WHERE NOT COALESCE(regexp_matches(CAST(record_id AS VARCHAR), '^CP[0-9]+$'), false)""", "concepts"))
+reg("audit_corrupted_text", integrity.corrupted_text, W(
+    """SELECT record_id, student_id, concept_name FROM concepts
+    WHERE COALESCE(regexp_matches(concept_name, '[ÃÂ¤â‚¬@?]'), false)""", "concepts"))
+reg("audit_clones", integrity.clones, W(
+    """SELECT student_id, concept_name, timestamp, count(*) AS copies, count(*) - 1 AS surplus FROM concepts
+    WHERE student_id IS NOT NULL AND concept_name IS NOT NULL AND timestamp IS NOT NULL
+    GROUP BY 1, 2, 3 HAVING count(*) > 1""", "concepts"))
+reg("audit_negative_durations", integrity.negative_durations, W(_NEG, "learn_events", round_cols=("duration_seconds",)))
+reg("audit_multi_device", integrity.multi_device, W(_MULTI, "learn_events"))
+reg("audit_ghost_submissions", partial(integrity.ghost_submissions, event_types=("login",)), W(
+    _GHOST, "raw_submissions", "learn_events"))
+reg("audit_exploit_summary", partial(integrity.exploit_summary, event_types=("login",)), W(
+    f""", c AS (SELECT 'Negative Watch Time' AS exploit, (SELECT count(*) FROM ({_NEG}) a) AS flags
+         UNION ALL SELECT 'Simultaneous Web & Mobile', (SELECT count(*) FROM ({_MULTI}) b)
+         UNION ALL SELECT 'Ghost Submissions', (SELECT count(*) FROM ({_GHOST}) g))
+    SELECT exploit, flags, CASE WHEN flags = 0 THEN 'clean' ELSE 'alert' END AS status FROM c""",
+    "raw_submissions", "learn_events"))
+reg("audit_sixty_boundary", integrity.sixty_boundary, W(
+    """SELECT count_if(lower(mastery_status) = 'passed') AS passed, count_if(lower(mastery_status) = 'failed') AS failed
+    FROM concepts WHERE score_pct = 60""", "concepts"))
+reg("audit_phantom_quizzes", integrity.phantom_quizzes, W(
+    """SELECT student_id, type, date, score FROM raw_quiz_grades g WHERE lower(type) = 'quiz' AND NOT EXISTS (
+      SELECT 1 FROM learn_events e WHERE e.event_type = 'quiz_attempt' AND e.student_id = g.student_id
+      AND CAST(e.event_datetime AS DATE) IS NOT DISTINCT FROM CAST(g.date AS DATE))""",
+    "raw_quiz_grades", "learn_events", round_cols=("score",)))
