@@ -458,3 +458,90 @@ reg("audit_phantom_quizzes", integrity.phantom_quizzes, W(
       SELECT 1 FROM learn_events e WHERE e.event_type = 'quiz_attempt' AND e.student_id = g.student_id
       AND CAST(e.event_datetime AS DATE) IS NOT DISTINCT FROM CAST(g.date AS DATE))""",
     "raw_quiz_grades", "learn_events", round_cols=("score",)))
+
+# ---------------------------------------------------------------- data-quality rules
+from cohortlens.plans import quality  # noqa: E402
+
+# Findings SQL per rule (FIXTURES.md §4), over the crosswalk CTEs.
+_RULE_SQL: dict[int, tuple[str, tuple[str, ...]]] = {
+    1: ("SELECT event_id FROM learn_events WHERE NOT (student_id IN (SELECT c_custkey FROM customer "
+        "WHERE c_custkey % 50 <> 0))", ("learn_events",)),
+    2: ("SELECT * FROM raw_submissions s WHERE NOT EXISTS (SELECT 1 FROM raw_quiz_grades g WHERE "
+        "g.student_id = s.student_id AND CAST(g.date AS DATE) = CAST(s.submitted_at AS DATE))",
+        ("raw_submissions", "raw_quiz_grades")),
+    3: ("SELECT * FROM raw_quiz_grades g WHERE NOT EXISTS (SELECT 1 FROM learn_events e WHERE e.event_type IN "
+        "('login','video_watch','quiz_attempt') AND e.student_id = g.student_id AND CAST(e.event_datetime AS DATE) "
+        "= CAST(g.date AS DATE))", ("raw_quiz_grades", "learn_events")),
+    4: ("SELECT * FROM raw_submissions s WHERE NOT EXISTS (SELECT 1 FROM learn_events e WHERE e.event_type = 'login' "
+        "AND e.student_id = s.student_id AND CAST(e.event_datetime AS DATE) = CAST(s.submitted_at AS DATE))",
+        ("raw_submissions", "learn_events")),
+    5: ("SELECT a.assessment_id FROM assessments a WHERE NOT EXISTS (SELECT 1 FROM roster r WHERE r.student_id = "
+        "a.student_id AND r.course_id = CASE WHEN a.assessment_id % 40 = 0 THEN 'HOUSEHOLD' ELSE a.course_id END)",
+        ("roster", "assessments")),
+    6: ("SELECT l_orderkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey "
+        "AND p.p_type = CASE WHEN l.l_orderkey % 60 = 0 THEN 'SMALL' ELSE p.p_type END)", ()),
+    7: ("SELECT assessment_id FROM assessments WHERE CASE WHEN assessment_id % 70 = 0 THEN 'ZZ' ELSE "
+        "substr(course_id, 1, 2) END <> substr(course_id, 1, 2)", ("assessments",)),
+    8: ("SELECT record_id FROM attendance WHERE date_trunc('week', session_datetime) <> "
+        "date_trunc('week', session_datetime + INTERVAL 2 DAY)", ("attendance",)),
+    9: ("SELECT record_id FROM attendance WHERE session_datetime > TIMESTAMP '2001-01-01 00:00:00'", ("attendance",)),
+    10: ("SELECT student_id, session_datetime FROM attendance GROUP BY student_id, session_datetime "
+         "HAVING count(*) > 1", ("attendance",)),
+    11: ("SELECT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+         "GROUP BY o_custkey, l_partkey HAVING count(*) > 1", ()),
+    12: ("SELECT a.assessment_id FROM assessments a WHERE EXISTS (SELECT 1 FROM attendance t WHERE t.status = "
+         "'Absent' AND t.student_id = a.student_id AND CAST(t.session_datetime AS DATE) = CAST(a.date AS DATE))",
+         ("assessments", "attendance")),
+    13: ("SELECT 1 AS redundant FROM roster HAVING sum(CASE WHEN course_id = course_name THEN 0 ELSE 1 END) = 0",
+         ("roster",)),
+    14: ("SELECT 1 AS static_col FROM (SELECT true AS is_active FROM customer) t "
+         "HAVING count(DISTINCT is_active) <= 1", ()),
+    15: ("SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1", ()),
+    16: ("SELECT text FROM documents GROUP BY text, lang, source, n_chars HAVING count(*) > 1", ()),
+    17: ("SELECT student_id FROM roster WHERE group_id = 'BUILDING-NATION_9'", ("roster",)),
+    18: ("SELECT record_id FROM concepts WHERE NOT regexp_matches(record_id, '^CP[0-9]+$')", ("concepts",)),
+    19: ("SELECT record_id FROM attendance WHERE session_datetime < TIMESTAMP '1998-01-01 00:00:00'", ("attendance",)),
+    20: ("SELECT record_id FROM attendance WHERE CASE WHEN record_id % 3 = 0 THEN upper(concat(status, ' ')) "
+         "ELSE status END <> status", ("attendance",)),
+    21: ("SELECT student_id FROM roster WHERE CASE WHEN student_id % 45 = 0 THEN -age ELSE age END < 0", ("roster",)),
+    22: ("SELECT student_id FROM roster WHERE CASE WHEN student_id % 60 = 0 THEN age + 150 ELSE age END > 100",
+         ("roster",)),
+    23: ("SELECT student_id FROM roster WHERE email IS NULL OR trim(full_name) = ''", ("roster",)),
+    24: ("SELECT student_id FROM roster WHERE NOT regexp_matches(CASE WHEN student_id % 33 = 0 THEN 'missing@' "
+         "ELSE email END, '^[^@ ]+@[^@ ]+[.][^@ ]+$')", ("roster",)),
+    25: ("SELECT student_id FROM roster WHERE CASE WHEN student_id % 70 = 0 THEN 1 - student_id % 2 ELSE "
+         "student_id % 2 END <> student_id % 2", ("roster",)),
+    26: ("SELECT assessment_id FROM assessments WHERE submitted_at IS NULL", ("assessments",)),
+    27: ("SELECT assessment_id FROM assessments WHERE submitted_at IS NOT NULL AND CASE WHEN assessment_id % 30 = 0 "
+         "THEN submitted_at <= deadline ELSE submitted_at > deadline END <> (submitted_at > deadline)",
+         ("assessments",)),
+    28: ("SELECT event_id FROM learn_events WHERE duration_seconds < 0", ("learn_events",)),
+    29: ("SELECT event_id FROM learn_events WHERE duration_seconds * 10 > 97200", ("learn_events",)),
+    30: ("SELECT assessment_id FROM assessments WHERE CASE WHEN assessment_id % 25 = 0 THEN 10 ELSE 100 END <> 100",
+         ("assessments",)),
+    31: ("SELECT assessment_id FROM (SELECT assessment_id, CASE WHEN assessment_id % 90 = 0 THEN NULL "
+         "WHEN assessment_id % 91 = 0 THEN -5 WHEN assessment_id % 92 = 0 THEN 140 ELSE score END AS score "
+         "FROM assessments) t WHERE score IS NULL OR score < 0 OR score > 100", ("assessments",)),
+    32: ("SELECT event_id FROM learn_events WHERE event_datetime < TIMESTAMP '2024-01-03 00:00:00' OR "
+         "event_datetime >= TIMESTAMP '2024-01-28 00:00:00'", ("learn_events",)),
+    33: ("SELECT doc_id FROM documents WHERE regexp_matches(text, '[ÃÂ¤â‚¬@?]')", ()),
+}
+_RULE_ROUND = {3: ("score",)}
+
+
+def _rule_views(views: tuple[str, ...]) -> tuple[str, ...]:
+    order = ("roster", "assessments", "attendance", "concepts", "learn_events", "raw_submissions", "raw_quiz_grades")
+    return tuple(v for v in order if v in views)
+
+
+for _r in quality.RULES:
+    _sql, _views = _RULE_SQL[_r.rule_id]
+    reg(f"dq_rule_{_r.rule_id:02d}", _r.findings,
+        W(_sql, *_rule_views(_views), round_cols=_RULE_ROUND.get(_r.rule_id, ())))
+
+_all_views = _rule_views(tuple(v for _s, vs in _RULE_SQL.values() for v in vs))
+reg("dq_report", quality.dq_report, W(
+    " UNION ALL ".join(
+        f"SELECT {r.rule_id} AS rule_id, '{r.name}' AS rule, '{r.table}' AS source_table, "
+        f"'{r.disposition}' AS disposition, (SELECT count(*) FROM ({_RULE_SQL[r.rule_id][0]}) x) AS findings"
+        for r in quality.RULES), *_all_views))
