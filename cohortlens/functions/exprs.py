@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_", "pct", "rate_pct", "lower_eq", "is_attended", "is_failed", "is_passed",
-    "week_ending_monday", "week_start_monday", "month_start", "to_micros", "hours_between",
+    "week_ending_monday", "week_start_monday", "month_start", "micros_between", "day_number", "hours_between",
     "whole_days_between", "parse_ts", "clip_upper", "clip_lower", "title_case", "sum0",
     "DEFAULT_TS_FORMATS",
 ]
@@ -67,19 +67,30 @@ def month_start(ts: str | Column) -> Column:
     return F.trunc(F.to_date(col_(ts)), "MM")
 
 
-def to_micros(ts: str | Column) -> Column:
-    """Microseconds since epoch for NTZ or LTZ timestamps (session zone is UTC)."""
-    return F.unix_micros(col_(ts).cast("timestamp"))
+def micros_between(start: str | Column, end: str | Column) -> Column:
+    """Elapsed microseconds; for wall-clock (NTZ) timestamps no zone or DST is involved.
+
+    Named columns go through SQL ``timestampdiff``; Column arguments fall back to epoch
+    micros under the session zone.
+    """
+    if isinstance(start, str) and isinstance(end, str):
+        return F.expr(f"timestampdiff(MICROSECOND, `{start}`, `{end}`)")
+    return F.unix_micros(col_(end).cast("timestamp")) - F.unix_micros(col_(start).cast("timestamp"))
 
 
 def hours_between(start: str | Column, end: str | Column) -> Column:
     """Fractional hours from ``start`` to ``end`` (negative when end is earlier)."""
-    return (to_micros(end) - to_micros(start)).cast("double") / F.lit(3600e6)
+    return micros_between(start, end).cast("double") / F.lit(3600e6)
 
 
 def whole_days_between(start: str | Column, end: str | Column) -> Column:
     """Whole days from ``start`` to ``end``, floored like ``Timedelta.days``."""
-    return F.floor((to_micros(end) - to_micros(start)) / F.lit(86400e6)).cast("bigint")
+    return F.floor(micros_between(start, end) / F.lit(86400e6)).cast("bigint")
+
+
+def day_number(ts: str | Column) -> Column:
+    """Days since 1970-01-01 of the timestamp's calendar date (zone-free for NTZ)."""
+    return F.datediff(F.to_date(col_(ts)), F.lit("1970-01-01").cast("date"))
 
 
 DEFAULT_TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm",

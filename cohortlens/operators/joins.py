@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import to_micros
+from cohortlens.functions.exprs import day_number
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str,
@@ -27,10 +27,12 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_on: str, righ
     the fallback. A key holding a third of all rows is spread over its buckets, and the
     right side is reduced to the keys and buckets the left side needs before any window.
     """
-    unit = {"day": 86400, "hour": 3600, "minute": 60}[bucket]
-
     def bkt(c: str) -> Column:
-        return F.floor(to_micros(c) / F.lit(unit * 1_000_000)).cast("bigint")
+        d = day_number(c).cast("bigint")
+        if bucket == "day":
+            return d
+        h = d * 24 + F.hour(c)
+        return h if bucket == "hour" else h * 60 + F.minute(c)
 
     lcols = left.columns
     lt = left.withColumn("_b", bkt(left_on))

@@ -35,7 +35,12 @@ def event_midpoint(t) -> DataFrame:
 
 
 def student_facts(t, halves: bool = False) -> DataFrame:
-    """One row per student with every measure the profiles need (unfilled)."""
+    """One row per student with every measure the profiles need (unfilled); materialized
+    once per handle because each profile reads it more than once."""
+    return t.materialize(f"student_facts_{halves}", lambda: _student_facts(t, halves))
+
+
+def _student_facts(t, halves: bool) -> DataFrame:
     a = _narrow(t.view("assessments"), 1, x=F.col("score"))
     at = _narrow(t.view("attendance"), 2, flag=is_attended("status"), rid=F.col("record_id").isNotNull())
     ev = _narrow(t.view("learn_events"), 3, x=F.col("duration_seconds"), etype=F.col("event_type"),
@@ -93,8 +98,13 @@ def demographic_profile(t) -> DataFrame:
 def student_profile(t) -> DataFrame:
     """Advanced variant: every measure NULL→0; H1/H2 around the event-time midpoint;
     drop = max(H1−H2, 0); events min–max scaled 0–100 over all roster rows;
-    effort = 0.6·attendance + 0.4·scaled events."""
-    f = student_facts(t, halves=True)
+    effort = 0.6·attendance + 0.4·scaled events. Materialized: segments, risk and the
+    top-10 comparisons read it several times."""
+    return t.materialize("student_profile", lambda: _student_profile(t))
+
+
+def _student_profile(t) -> DataFrame:
+    f = _student_facts(t, halves=True)
     r = t.view("roster_core").select("student_id", "full_name", "email", "course_name", "group_id")
     p = (r.join(f.select("student_id", "avg_grade", "attendance_rate", "events", "fails", "h1", "h2"),
                 "student_id", "left")

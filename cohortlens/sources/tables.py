@@ -61,6 +61,22 @@ class Tables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(p)
 
+    def __post_init__(self) -> None:
+        from cohortlens.session import checkpoint_dir
+        checkpoint_dir(self.spark)
+
+    def materialize(self, key: str, build) -> DataFrame:
+        """Build once per handle and cut the lineage with a reliable ``checkpoint()`` in the
+        shared checkpoint folder (``spark.checkpoint.dir``).
+
+        Used for intermediates that a plan reads several times (the per-student measures
+        and profile): without it every branch re-derives them from the fact tables. A
+        reliable checkpoint survives executor loss; ``localCheckpoint`` would not.
+        """
+        if key not in self._views:
+            self._views[key] = build().checkpoint(eager=True)
+        return self._views[key]
+
     def view(self, name: str) -> DataFrame:
         """Crosswalk view (roster, assessments, ...); built once per handle, still lazy."""
         if name not in self._views:
