@@ -46,15 +46,18 @@ def keep_known(df: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, Da
 
 def flag_missing(df: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], flag: str,
                  null_safe: tuple[str, ...] = ()) -> DataFrame:
-    """Rules 2-4: keep every row, flag those without a partner row in ``ref``."""
-    missing = null_safe_anti(df, ref, keys, null_safe).select(*[lc for lc, _ in keys]).distinct() \
-        .withColumn(flag, F.lit(True))
+    """Rules 2-4: keep every row, flag those without a partner row in ``ref``.
+
+    The partner keys are reduced to distinct values and left-joined (semi-join shape) so
+    the row count never changes."""
+    r = ref.select(*[F.col(rc).alias(f"_m{i}") for i, (_, rc) in enumerate(keys)]).distinct() \
+        .withColumn("_hit", F.lit(True))
     cond = None
-    for lc, _ in keys:
-        c = df[lc].eqNullSafe(missing[lc]) if lc in null_safe else df[lc] == missing[lc]
+    for i, (lc, _) in enumerate(keys):
+        c = F.col(lc).eqNullSafe(F.col(f"_m{i}")) if lc in null_safe else F.col(lc) == F.col(f"_m{i}")
         cond = c if cond is None else cond & c
-    out = df.join(missing, cond, "left")
-    return out.select(*[df[c] for c in df.columns], F.coalesce(missing[flag], F.lit(False)).alias(flag))
+    out = df.join(r, cond, "left")
+    return out.select(*df.columns, F.col("_hit").isNull().alias(flag))
 
 
 def dedupe_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -75,7 +78,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def redundant_columns(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rule 13: for each (a, b) whether b always equals a (NULL-safe); one pass."""
-    aggs = [F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(f"_d{i}") for i, (a, b) in enumerate(pairs)]
+    types = dict(df.dtypes)
+    # columns of different types are never redundant (and are not cast into each other)
+    aggs = [(F.count_if(~F.col(a).eqNullSafe(F.col(b))) if types[a] == types[b] else F.lit(1)).alias(f"_d{i}")
+            for i, (a, b) in enumerate(pairs)]
     one = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(b).alias("column"), F.lit(a).alias("duplicate_of"),
                               (F.col(f"_d{i}") == 0).alias("redundant")) for i, (a, b) in enumerate(pairs)])
