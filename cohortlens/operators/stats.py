@@ -46,28 +46,41 @@ def impact(y: str | Column, x: str | Column, multiplier: float = 1.0) -> Column:
 def five_number(df: DataFrame, by: str | list[str], value: str, approx: bool = False) -> DataFrame:
     """Per group n, min, q1, median, q3, max, IQR fences and the outlier count.
 
-    Two passes over the facts: one aggregate for the quartiles, one for the fence counts.
-    The quartile table has one row per group and is joined back on the group key; the
-    outlier count is a conditional aggregate (partial on the map side), so a hot group is
-    pre-aggregated before the shuffle.
+    Quantiles come from ``exact_quantiles`` (distributed selection; p=0 and p=1 are the
+    exact min and max). The fence table has one row per group and is joined back for a
+    conditional count, which is partial-aggregated on the map side.
     """
+    from cohortlens.operators.quantiles import exact_quantiles
     by = [by] if isinstance(by, str) else list(by)
     v = F.col(value).cast("double")
-    q = (df.where(v.isNotNull()).groupBy(*by)
-           .agg(F.count(v).alias("n"), F.min(v).alias("minimum"), F.max(v).alias("maximum"),
-                quantile(v, [0.25, 0.5, 0.75], approx=approx).alias("_q")))
-    q = (q.select(*by, "n", "minimum", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                  F.col("_q")[2].alias("q3"), "maximum")
+    base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+    if approx:
+        q = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                  F.percentile_approx("_v", [0.0, 0.25, 0.5, 0.75, 1.0], 100000).alias("q"))
+    else:
+        base = base.checkpoint(eager=True)
+        q = exact_quantiles(base, "_v", [0.0, 0.25, 0.5, 0.75, 1.0], by, materialize=False)
+    q = (q.select(*by, "n", *[F.col("q")[i].alias(c) for i, c in
+                              enumerate(("minimum", "q1", "median", "q3", "maximum"))])
           .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")))
           .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))))
-    out = (df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-             .join(q.select(*by, "lower_fence", "upper_fence"), by)
-             .groupBy(*by)
-             .agg(F.count_if((F.col("_v") < F.col("lower_fence")) | (F.col("_v") > F.col("upper_fence")))
-                  .alias("outliers")))
+    out = (base.join(q.select(*by, "lower_fence", "upper_fence"), by)
+               .groupBy(*by)
+               .agg(F.count_if((F.col("_v") < F.col("lower_fence")) | (F.col("_v") > F.col("upper_fence")))
+                    .alias("outliers")))
     return q.join(out, by, "left").fillna({"outliers": 0})
 
 
+def scalar_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
+    """1-row frame of exact quantiles of ``value`` named by ``probs`` keys (broadcastable)."""
+    from cohortlens.operators.quantiles import exact_quantiles
+    names = list(probs)
+    q = exact_quantiles(df, value, [probs[n] for n in names])
+    one = df.sparkSession.range(1).select(F.lit(0).alias("_k"))
+    q = one.join(q.withColumn("_k", F.lit(0)), "_k", "left")
+    return F.broadcast(q.select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)]))
+
+
 def global_scalars(df: DataFrame, *aggs: Column) -> DataFrame:
     """1-row aggregate, to be crossed in with ``F.broadcast`` (size bounded at one row)."""
     return F.broadcast(df.agg(*aggs))

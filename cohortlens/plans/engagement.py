@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import hours_between, is_attended, pct
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.stats import five_number, global_scalars, impact, ols_columns, quantile
+from cohortlens.operators.stats import five_number, global_scalars, impact, ols_columns, scalar_quantiles
 from cohortlens.plans import profile
 
 
@@ -54,7 +54,7 @@ def submission_timing(t, quantile_cap: float = 0.98) -> DataFrame:
     a = (t.view("assessments")
           .where((F.col("type") == "assignment") & F.col("deadline").isNotNull() & F.col("submitted_at").isNotNull())
           .withColumn("hours_before_deadline", hours_between("submitted_at", "deadline")))
-    cap = global_scalars(a, quantile("hours_before_deadline", quantile_cap).alias("_cap"))
+    cap = scalar_quantiles(a, "hours_before_deadline", {"_cap": quantile_cap})
     return (a.crossJoin(cap).where(F.col("hours_before_deadline") <= F.col("_cap"))
              .select("assessment_id", "student_id", "score", "hours_before_deadline",
                      F.when(F.col("hours_before_deadline") < 0, F.lit("Late Submission"))

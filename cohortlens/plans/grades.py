@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import is_attended, pct, title_case
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.stats import five_number, quantile
+from cohortlens.operators.quantiles import exact_quantiles
+from cohortlens.operators.stats import five_number
 
 
 def filter_options(t, scope: Scope = ALL) -> DataFrame:
@@ -100,9 +101,11 @@ def assessment_distribution(t, scope: Scope = ALL, bins: int = 10) -> DataFrame:
     One row per (type, bin) that holds values: ``bin`` 0..bins-1 (the maximum falls in the
     last bin), its bounds, its count, and the type's q1/median/q3.
     """
-    g = graded(t, scope).where(F.col("type").isNotNull() & F.col("score").isNotNull())
-    s = g.groupBy("type").agg(F.min("score").alias("_mn"), F.max("score").alias("_mx"),
-                              quantile("score", [0.25, 0.5, 0.75]).alias("_q"))
+    g = graded(t, scope).where(F.col("type").isNotNull() & F.col("score").isNotNull()) \
+        .select("type", F.col("score").cast("double").alias("score")).checkpoint(eager=True)
+    s = exact_quantiles(g, "score", [0.0, 0.25, 0.5, 0.75, 1.0], ["type"], materialize=False) \
+        .select("type", F.col("q")[0].alias("_mn"), F.col("q")[4].alias("_mx"),
+                F.slice("q", 2, 3).alias("_q"))
     width = (F.col("_mx") - F.col("_mn")) / F.lit(float(bins))
     b = F.when(F.col("_mx") > F.col("_mn"),
                F.least(F.floor((F.col("score") - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * bins),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import is_attended, is_failed
-from cohortlens.operators.stats import global_scalars, min_max_scale, quantile
+from cohortlens.operators.stats import global_scalars, min_max_scale, scalar_quantiles
 
 _NARROW = ["student_id", "_src", "_x", "_flag", "_rid", "_etype", "_ts"]
 
@@ -74,8 +74,7 @@ def engagement_profile(t, cap_quantile: float | None = 0.98) -> DataFrame:
     p98 over students with video; 0 if none). Grade and attendance stay NULL when absent."""
     f = student_facts(t)
     if cap_quantile is not None:
-        cap = global_scalars(f.where(F.col("video_hours").isNotNull()),
-                             quantile("video_hours", cap_quantile).alias("_cap"))
+        cap = scalar_quantiles(f.where(F.col("video_hours").isNotNull()), "video_hours", {"_cap": cap_quantile})
         f = f.crossJoin(cap).withColumn(
             "video_hours", F.when(F.col("video_hours").isNull(), None)
             .otherwise(F.least(F.col("video_hours"), F.coalesce(F.col("_cap"), F.col("video_hours"))))).drop("_cap")

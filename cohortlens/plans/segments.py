@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.stats import global_scalars, quantile, share_pct
+from cohortlens.operators.stats import global_scalars, scalar_quantiles, share_pct
 from cohortlens.plans import profile
 
 SEGMENTS = ("High Achievers", "Struggling but Engaged", "Independent / Coasting", "Disengaged & At-Risk")
@@ -21,7 +21,7 @@ def student_profile(t, scope: Scope = ALL) -> DataFrame:
 def student_segments(t, scope: Scope = ALL) -> DataFrame:
     """Medians of grade and effort within the scope split the 2×2 segments (≥ is high)."""
     p = student_profile(t, scope)
-    med = global_scalars(p, quantile("avg_grade", 0.5).alias("_mg"), quantile("effort_score", 0.5).alias("_me"))
+    med = scalar_quantiles(p, "avg_grade", {"_mg": 0.5}).crossJoin(scalar_quantiles(p, "effort_score", {"_me": 0.5}))
     hg = F.col("avg_grade") >= F.col("_mg")
     he = F.col("effort_score") >= F.col("_me")
     seg = (F.when(hg & he, SEGMENTS[0]).when(~hg & he, SEGMENTS[1])
