@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "col_", "pct", "rate_pct", "lower_eq", "is_attended", "is_failed", "is_passed",
     "week_ending_monday", "week_start_monday", "month_start", "micros_between", "day_number", "hours_between",
-    "whole_days_between", "parse_ts", "clip_upper", "clip_lower", "title_case", "sum0",
+    "whole_days_between", "floor_ntz", "parse_ts", "clip_upper", "clip_lower", "title_case", "sum0",
     "DEFAULT_TS_FORMATS",
 ]
 
@@ -60,7 +60,8 @@ def week_ending_monday(ts: str | Column) -> Column:
 
 def week_start_monday(ts: str | Column) -> Column:
     """Monday on or before the timestamp, as a date (period ``W`` start)."""
-    return F.to_date(F.date_trunc("week", col_(ts)))
+    d = F.to_date(col_(ts))
+    return F.date_sub(d, (F.dayofweek(d) + 5) % 7)
 
 
 def month_start(ts: str | Column) -> Column:
@@ -97,6 +98,14 @@ DEFAULT_TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-d
                       "dd/MM/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy")
 
 
+def floor_ntz(ts: str | Column, unit: str) -> Column:
+    """Floor a wall-clock timestamp to the minute or second, staying TIMESTAMP_NTZ and
+    zone-free (``date_trunc`` would pass through the session zone and return LTZ)."""
+    c = col_(ts)
+    sec = F.second(c) if unit == "second" else F.lit(0)
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), sec)
+
+
 def parse_ts(c: str | Column, formats: tuple[str, ...] = DEFAULT_TS_FORMATS) -> Column:
     """Text → timestamp, trying each accepted format; bad text → NULL (never raises).
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import lower_eq
+from cohortlens.functions.exprs import floor_ntz, lower_eq
 from cohortlens.operators.joins import null_safe_anti
 from cohortlens.sources import nested
 
@@ -59,7 +59,7 @@ def negative_durations(t) -> DataFrame:
 def multi_device(t) -> DataFrame:
     """(student, minute) with more than one distinct device."""
     e = t.view("raw_events").where(F.col("student_id").isNotNull() & F.col("event_datetime").isNotNull())
-    return (e.groupBy("student_id", F.date_trunc("minute", "event_datetime").alias("minute"))
+    return (e.groupBy("student_id", floor_ntz("event_datetime", "minute").alias("minute"))
              .agg(F.count_distinct("device").alias("device_count")).where(F.col("device_count") > 1))
 
 

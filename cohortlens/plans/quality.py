@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import lower_eq
+from cohortlens.functions.exprs import floor_ntz, lower_eq
 from cohortlens.operators.joins import null_safe_anti
 from cohortlens.sources import dirty
 
@@ -190,8 +190,7 @@ def r09(t):
 
 
 def r10(t):
-    a = t.view("attendance").withColumn("session_datetime", F.date_trunc("second", "session_datetime")
-                                        .cast("timestamp_ntz"))
+    a = t.view("attendance").withColumn("session_datetime", floor_ntz("session_datetime", "second"))
     return duplicate_keys(a, ["student_id", "session_datetime"]).select("student_id", "session_datetime")
 
 
