@@ -31,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import materialize as cut_lineage
+
 ACCURACY = 100_000
 LOCAL_LIMIT = 2_000_000
 
@@ -52,7 +54,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     base = df.select(*(by or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v")) \
              .where(F.col("_v").isNotNull())
     if materialize:
-        base = base.checkpoint(eager=True)
+        base = cut_lineage(base, "quantile_input")
     if local_limit is not None:
         largest = base.groupBy(*keys).count().agg(F.max("count").alias("m")).first().m
         if largest is None or largest <= local_limit:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.session import materialize
+
 from cohortlens.functions.exprs import col_
 
 
@@ -58,7 +60,7 @@ def five_number(df: DataFrame, by: str | list[str], value: str, approx: bool = F
         q = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                   F.percentile_approx("_v", [0.0, 0.25, 0.5, 0.75, 1.0], 100000).alias("q"))
     else:
-        base = base.checkpoint(eager=True)
+        base = materialize(base, "quantile_input")
         q = exact_quantiles(base, "_v", [0.0, 0.25, 0.5, 0.75, 1.0], by, materialize=False)
     q = (q.select(*by, "n", *[F.col("q")[i].alias(c) for i, c in
                               enumerate(("minimum", "q1", "median", "q3", "maximum"))])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.session import materialize
+
 from cohortlens.functions.exprs import is_attended, pct, title_case
 from cohortlens.operators.scope import ALL, Scope
 from cohortlens.operators.quantiles import exact_quantiles
@@ -101,8 +103,8 @@ def assessment_distribution(t, scope: Scope = ALL, bins: int = 10) -> DataFrame:
     One row per (type, bin) that holds values: ``bin`` 0..bins-1 (the maximum falls in the
     last bin), its bounds, its count, and the type's q1/median/q3.
     """
-    g = graded(t, scope).where(F.col("type").isNotNull() & F.col("score").isNotNull()) \
-        .select("type", F.col("score").cast("double").alias("score")).checkpoint(eager=True)
+    g = materialize(graded(t, scope).where(F.col("type").isNotNull() & F.col("score").isNotNull())
+                    .select("type", F.col("score").cast("double").alias("score")), "type_scores")
     s = exact_quantiles(g, "score", [0.0, 0.25, 0.5, 0.75, 1.0], ["type"], materialize=False) \
         .select("type", F.col("q")[0].alias("_mn"), F.col("q")[4].alias("_mx"),
                 F.slice("q", 2, 3).alias("_q"))

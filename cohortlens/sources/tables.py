@@ -66,15 +66,15 @@ class Tables:
         checkpoint_dir(self.spark)
 
     def materialize(self, key: str, build) -> DataFrame:
-        """Build once per handle and cut the lineage with a reliable ``checkpoint()`` in the
-        shared checkpoint folder (``spark.checkpoint.dir``).
+        """Build once per handle and cut the lineage with a table written in the shared
+        checkpoint folder (``spark.checkpoint.dir``; see ``session.materialize``).
 
         Used for intermediates that a plan reads several times (the per-student measures
-        and profile): without it every branch re-derives them from the fact tables. A
-        reliable checkpoint survives executor loss; ``localCheckpoint`` would not.
+        and profile): without it every branch re-derives them from the fact tables.
         """
         if key not in self._views:
-            self._views[key] = build().checkpoint(eager=True)
+            from cohortlens.session import materialize
+            self._views[key] = materialize(build(), key)
         return self._views[key]
 
     def view(self, name: str) -> DataFrame:
