@@ -365,8 +365,20 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def dq_report(t) -> DataFrame:
-    """Findings count per rule: one count job per rule, unioned (33 rows)."""
+SHARED_VIEWS = ("roster_core", "assessments", "attendance", "concepts", "learn_events")
+
+
+def dq_report(t, share_views: bool = True) -> DataFrame:
+    """Findings count per rule (33 rows).
+
+    The rules read the same crosswalk views many times (assessments ten times, attendance
+    seven); with ``share_views`` each view is written once to the shared checkpoint folder
+    and every rule reads that table instead of re-deriving its joins and aggregates.
+    """
+    if share_views:
+        for v in SHARED_VIEWS:
+            t.materialize(f"shared_{v}", lambda v=v: t.view(v))
+            t._views[v] = t._views[f"shared_{v}"]
     out = None
     for r in RULES:
         c = r.findings(t).agg(F.count(F.lit(1)).alias("findings")).select(

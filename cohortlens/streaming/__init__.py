@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming behaviour (no watermark, window, state or late data; every
+read is a full scan), so nothing is built here. Every plan in ``plans/`` is a batch
+DataFrame job; one that later needs incremental input can run the same functions inside
+``foreachBatch`` of a Structured Streaming query without change.
+"""
