@@ -100,7 +100,7 @@ def static_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return one.select(F.inline(rows))
 
 
-def drop_columns_if(df: DataFrame, verdict: DataFrame, flag: str) -> list[str]:
+def drop_columns_if(verdict: DataFrame, flag: str) -> list[str]:
     """Names of the columns a 1-row-per-column verdict marks (tiny driver read)."""
     return [r["column"] for r in verdict.where(F.col(flag)).select("column").collect()]
 

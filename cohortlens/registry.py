@@ -545,3 +545,71 @@ reg("dq_report", quality.dq_report, W(
         f"SELECT {r.rule_id} AS rule_id, '{r.name}' AS rule, '{r.table}' AS source_table, "
         f"'{r.disposition}' AS disposition, (SELECT count(*) FROM ({_RULE_SQL[r.rule_id][0]}) x) AS findings"
         for r in quality.RULES), *_all_views))
+
+# ---------------------------------------------------------------- cleaning jobs
+from cohortlens.plans import cleaning  # noqa: E402
+
+reg("clean_roster", cleaning.clean_roster, W(
+    """, rr AS (SELECT student_id, full_name,
+           CASE WHEN student_id % 33 = 0 THEN 'missing@' ELSE email END AS email,
+           CASE WHEN student_id % 45 = 0 THEN -age WHEN student_id % 60 = 0 THEN age + 150 ELSE age END AS age,
+           course_name, group_id, instructor, stated_num_students,
+           CASE WHEN student_id % 70 = 0 THEN 1 - student_id % 2 ELSE student_id % 2 END AS gender
+         FROM roster WHERE group_id IS NULL OR group_id <> 'BUILDING-NATION_9'),
+    fx AS (SELECT student_id, COALESCE(NULLIF(trim(full_name), ''), 'Unknown') AS full_name,
+           CASE WHEN regexp_matches(NULLIF(trim(email), ''), '^[^@ ]+@[^@ ]+[.][^@ ]+$') THEN NULLIF(trim(email), '')
+           END AS email, CASE WHEN abs(age) > 100 THEN NULL ELSE abs(age) END AS age,
+           course_name, group_id, instructor, stated_num_students, gender FROM rr)
+    SELECT fx.student_id, fx.full_name, fx.email, fx.age, fx.course_name, fx.group_id, fx.instructor,
+           fx.stated_num_students, COALESCE(lk.true_gender, fx.gender) AS gender
+    FROM fx LEFT JOIN (SELECT c_name AS full_name, c_custkey % 2 AS true_gender FROM customer) lk
+      ON lk.full_name = fx.full_name""", "roster"))
+
+reg("clean_assessments", cleaning.clean_assessments, W(
+    """, ra AS (SELECT assessment_id, student_id,
+           CASE WHEN assessment_id % 40 = 0 THEN 'HOUSEHOLD' ELSE course_id END AS course_id,
+           CASE WHEN assessment_id % 70 = 0 THEN 'ZZ' ELSE substr(course_id, 1, 2) END AS id_prefix, group_id, type,
+           CASE WHEN assessment_id % 90 = 0 THEN NULL WHEN assessment_id % 91 = 0 THEN -5
+                WHEN assessment_id % 92 = 0 THEN 140 WHEN assessment_id % 25 = 0 THEN score / 10 ELSE score END AS score,
+           CASE WHEN assessment_id % 25 = 0 THEN 10 ELSE 100 END AS max_score, date, deadline, submitted_at
+         FROM assessments)
+    SELECT assessment_id, student_id, course_id, group_id, type,
+           CASE WHEN score IS NULL THEN NULL ELSE least(greatest(CASE WHEN max_score > 0
+                THEN score * 100 / max_score ELSE score END, 0), 100) END AS score,
+           CAST(100 AS DOUBLE) AS max_score, date, deadline, submitted_at, submitted_at > deadline AS is_late
+    FROM ra WHERE submitted_at IS NOT NULL AND id_prefix = substr(course_id, 1, 2)
+      AND EXISTS (SELECT 1 FROM roster r WHERE r.student_id = ra.student_id AND r.course_id = ra.course_id)""",
+    "roster", "assessments", round_cols=("score",)))
+
+reg("clean_attendance", cleaning.clean_attendance, W(
+    """, a0 AS (SELECT record_id, student_id, CASE WHEN record_id % 3 = 0 THEN upper(concat(status, ' '))
+           ELSE status END AS raw_status, session_datetime FROM attendance),
+    a1 AS (SELECT record_id, student_id, COALESCE(CASE lower(trim(raw_status)) WHEN 'attended' THEN 'Attended'
+           WHEN 'absent' THEN 'Absent' END, raw_status) AS status,
+           CASE dayofweek(session_datetime) WHEN 0 THEN session_datetime - INTERVAL 2 DAY
+                WHEN 6 THEN session_datetime - INTERVAL 1 DAY ELSE session_datetime END AS session_datetime FROM a0),
+    a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY student_id, session_datetime
+           ORDER BY record_id, status) AS rn FROM a1) x WHERE rn = 1),
+    gd AS (SELECT DISTINCT student_id, CAST(date AS DATE) AS d FROM assessments)
+    SELECT record_id, student_id, status, session_datetime,
+           COALESCE(session_datetime > TIMESTAMP '2001-01-01 00:00:00', false) AS after_course_end,
+           COALESCE(status = 'Absent' AND EXISTS (SELECT 1 FROM gd WHERE gd.student_id = a2.student_id
+                    AND gd.d = CAST(a2.session_datetime AS DATE)), false) AS graded_while_absent
+    FROM a2""", "assessments", "attendance"))
+
+reg("clean_events", cleaning.clean_events, W(
+    """SELECT event_id, student_id, event_type,
+           CASE WHEN duration_seconds IS NULL THEN NULL ELSE least(abs(duration_seconds * 10), 97200) END
+           AS duration_seconds, event_datetime, device
+    FROM learn_events WHERE event_datetime >= TIMESTAMP '2024-01-03 00:00:00'
+      AND event_datetime < TIMESTAMP '2024-01-28 00:00:00'
+      AND student_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0)""",
+    "learn_events", round_cols=("duration_seconds",)))
+
+reg("clean_concepts", cleaning.clean_concepts, W(
+    """SELECT * FROM concepts WHERE COALESCE(regexp_matches(record_id, '^CP[0-9]+$'), false)
+      AND NOT COALESCE(regexp_matches(concept_name, '[ÃÂ¤â‚¬@?]'), false)""", "concepts", round_cols=("score_pct",)))
+
+reg("clean_documents", cleaning.clean_documents, W(
+    """SELECT min(doc_id) AS doc_id, text, lang, source, n_chars FROM documents
+    WHERE NOT COALESCE(regexp_matches(text, '[ÃÂ¤â‚¬@?]'), false) GROUP BY text, lang, source, n_chars"""))

@@ -102,3 +102,49 @@ def assessments_dirty(t) -> DataFrame:
 
 def events_long_watch(t) -> DataFrame:
     return t.view("learn_events").withColumn("raw_duration", F.col("duration_seconds") * WATCH_SCALE)
+
+
+# Combined raw exports: every recipe of a table planted at once (input of the cleaning jobs).
+def raw_roster(t) -> DataFrame:
+    """Roster export: ages negated / inflated, malformed emails, stated gender, a
+    redundant ``course_id`` and a constant ``is_active``."""
+    r = roster_dirty(t)
+    return r.select("student_id", "full_name", F.col("raw_email").alias("email"), F.col("raw_age").alias("age"),
+                    "course_id", "course_name", "group_id", "instructor", "stated_num_students", "gender",
+                    F.lit(True).alias("is_active"))
+
+
+def raw_assessments(t) -> DataFrame:
+    """Assessment export: logged course and id prefix, flipped ``is_late``, ten-point
+    scores, blank / negative / over-range scores, missing ``submitted_at`` as is."""
+    a = t.view("assessments")
+    aid = F.col("assessment_id")
+    score = (F.when(aid % NULL_SCORE_MOD == 0, F.lit(None).cast("double"))
+              .when(aid % NEG_SCORE_MOD == 0, F.lit(-5.0))
+              .when(aid % HIGH_SCORE_MOD == 0, F.lit(140.0))
+              .when(aid % TEN_POINT_MOD == 0, F.col("score") / 10)
+              .otherwise(F.col("score")))
+    return a.select(
+        "assessment_id", "student_id",
+        F.when(aid % CHAIN_BREAK_MOD == 0, F.lit(CHAIN_BREAK_COURSE)).otherwise(F.col("course_id")).alias("course_id"),
+        F.when(aid % BAD_PREFIX_MOD == 0, F.lit(BAD_PREFIX)).otherwise(F.substring("course_id", 1, 2)).alias("id_prefix"),
+        "group_id", "type", score.alias("score"),
+        F.when(aid % TEN_POINT_MOD == 0, F.lit(10.0)).otherwise(F.lit(100.0)).alias("max_score"),
+        "date", "deadline", "submitted_at",
+        F.when(aid % LATE_FLIP_MOD == 0, F.col("submitted_at") <= F.col("deadline"))
+         .otherwise(F.col("submitted_at") > F.col("deadline")).alias("is_late"))
+
+
+def raw_attendance_batches(t) -> tuple[DataFrame, DataFrame]:
+    """Attendance export in two schema generations, status written in mixed formats."""
+    old, new = attendance_batches(t)
+
+    def fmt(d: DataFrame) -> DataFrame:
+        return d.withColumn("status", F.when(F.col("record_id") % STATUS_FORMAT_MOD == 0,
+                                             F.upper(F.concat("status", F.lit(" ")))).otherwise(F.col("status")))
+    return fmt(old), fmt(new)
+
+
+def raw_events(t) -> DataFrame:
+    """Event export: watch time stored in tenths of a second (×10), negatives as is."""
+    return t.view("learn_events").withColumn("duration_seconds", F.col("duration_seconds") * WATCH_SCALE)
