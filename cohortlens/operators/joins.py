@@ -40,6 +40,9 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_on: str, righ
                .withColumn("_b", bkt("_rts")))
     keys = lt.select(by, "_b").distinct()
     students = lt.select(by).distinct()
+    # the right side reduced once to the left's keys; both passes below read this same
+    # subtree, so its scan and shuffle are planned once and reused
+    rt = rt.join(students, by, "left_semi")
 
     # (1) same-bucket match: union of the two sides restricted to the left's (key, bucket).
     r_same = rt.join(keys, [by, "_b"], "left_semi")
@@ -54,7 +57,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_on: str, righ
               .where(F.col("_side") == 1).drop("_side", "_ts", "_rts"))
 
     # (2) earlier-bucket fallback over bucket-level maxima (one row per key and bucket).
-    rmax = (rt.join(students, by, "left_semi").groupBy(by, "_b").agg(F.max("_rts").alias("_bm"))
+    rmax = (rt.groupBy(by, "_b").agg(F.max("_rts").alias("_bm"))
               .withColumn("_k", F.lit(0)))
     kk = keys.withColumn("_bm", F.lit(None).cast(rt.schema["_rts"].dataType)).withColumn("_k", F.lit(1))
     w2 = Window.partitionBy(by).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
