@@ -97,3 +97,17 @@ def cohort_trajectories(t, scope: Scope = ALL) -> DataFrame:
              .withColumn("trend_status", F.when(F.col("total_shift") <= SHIFT_DOWN, "Sliding Down")
                          .when(F.col("total_shift") >= SHIFT_UP, "Trending Up").otherwise("Stable"))
              .drop("months"))
+
+
+def monthly_group_trends(t, scope: Scope = ALL) -> DataFrame:
+    """Each group's monthly means with its start-to-end shift and status attached
+    (the data behind the coloured trajectory lines)."""
+    tr = cohort_trajectories(t, scope).select("group_id", "total_shift", "trend_status")
+    return monthly_group_scores(t, scope).join(tr, "group_id")
+
+
+def trajectories_by_status(t, status: str, scope: Scope = ALL) -> DataFrame:
+    """The per-direction tables: trajectories with one status, largest move first."""
+    tr = cohort_trajectories(t, scope).where(F.col("trend_status") == status)
+    order = F.asc("total_shift") if status == "Sliding Down" else F.desc("total_shift")
+    return tr.orderBy(order, "group_id")

@@ -368,6 +368,22 @@ reg("cohort_trajectories", cohorts.cohort_trajectories, W(
                 ELSE 'Stable' END AS trend_status FROM s""", "assessments",
     round_cols=("start_score", "end_score", "total_shift")))
 
+_TRAJ = f""", {_MG}, s AS (SELECT group_id, min(month) AS start_month, max(month) AS end_month,
+           arg_min(avg_score, month) AS start_score, arg_max(avg_score, month) AS end_score,
+           CASE WHEN count(*) > 1 THEN arg_max(avg_score, month) - arg_min(avg_score, month) ELSE 0 END AS total_shift
+           FROM mg GROUP BY group_id),
+    tr AS (SELECT s.*, CASE WHEN total_shift <= -1.0 THEN 'Sliding Down' WHEN total_shift >= 1.0 THEN 'Trending Up'
+           ELSE 'Stable' END AS trend_status FROM s)"""
+reg("monthly_group_trends", cohorts.monthly_group_trends, W(
+    f"{_TRAJ} SELECT mg.*, tr.total_shift, tr.trend_status FROM mg JOIN tr ON mg.group_id = tr.group_id",
+    "assessments", round_cols=("avg_score", "total_shift")))
+reg("cohorts_sliding_down", partial(cohorts.trajectories_by_status, status="Sliding Down"), W(
+    f"{_TRAJ} SELECT * FROM tr WHERE trend_status = 'Sliding Down'", "assessments",
+    round_cols=("start_score", "end_score", "total_shift")))
+reg("cohorts_trending_up", partial(cohorts.trajectories_by_status, status="Trending Up"), W(
+    f"{_TRAJ} SELECT * FROM tr WHERE trend_status = 'Trending Up'", "assessments",
+    round_cols=("start_score", "end_score", "total_shift")))
+
 # ---------------------------------------------------------------- growth
 _WIN = """w AS (SELECT min(enrollment_date) AS start_date,
            COALESCE((SELECT max(event_datetime) FROM learn_events), min(enrollment_date) + INTERVAL 180 DAY) AS end_date
