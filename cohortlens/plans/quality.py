@@ -124,11 +124,18 @@ def fix_scores(score: Column, max_score: Column | None = None, low: float = 0.0,
 
 
 def nearest_scheduled_day(ts: Column, days: Sequence[int] = SCHEDULE_DAYS) -> Column:
-    """Rule 8 fix: move a session to the nearest earlier scheduled weekday (same time)."""
-    back = [F.when(F.array_contains(F.array(*[F.lit(d) for d in days]),
-                                    F.dayofweek(ts - F.make_interval(days=F.lit(i)))), F.lit(i))
-            for i in range(0, 7)]
-    return ts - F.make_interval(days=F.coalesce(*back, F.lit(0)))
+    """Rule 8 fix: move a session to the nearest earlier scheduled weekday (same time).
+
+    The shift for each weekday is worked out once on the driver (7 numbers) and looked
+    up per row, so the row expression is one array lookup and one interval subtraction.
+    """
+    allowed = set(days)
+    shift = []
+    for d in range(1, 8):
+        i = next((i for i in range(7) if ((d - 1 - i) % 7) + 1 in allowed), 0)
+        shift.append(i)
+    back = F.element_at(F.array(*[F.lit(i) for i in shift]), F.dayofweek(ts))
+    return ts - F.make_interval(days=back)
 
 
 # ------------------------------------------------------------------ findings per rule
