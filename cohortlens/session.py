@@ -9,8 +9,28 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def cluster_settings(total_cores: int, input_bytes: int) -> dict[str, str]:
+    """Partition sizing for a cluster run, from the core count and the input volume.
+
+    Scans: ~512 MiB splits (100 TB → ~200k scan tasks, many waves, each fits in memory).
+    Shuffles: start at 4× the cores (at least one partition per 2 GiB of input) and let
+    AQE coalesce toward 256 MiB partitions; skewed partitions above 5× the median and
+    1 GiB are split. Broadcasts stay behind AQE's runtime size check (64 MiB).
+    """
+    shuffle = max(4 * total_cores, input_bytes // (2 << 30), 200)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "cohortlens") -> SparkSession:
+                  app_name: str = "cohortlens", extra: dict[str, str] | None = None) -> SparkSession:
     """Return (or create) a session with the settings every plan assumes.
 
     UTC session time zone (timestamps are wall-clock NTZ in the inputs), ANSI on (Spark 4
@@ -30,6 +50,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
