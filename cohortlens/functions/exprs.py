@@ -69,14 +69,8 @@ def month_start(ts: str | Column) -> Column:
 
 
 def micros_between(start: str | Column, end: str | Column) -> Column:
-    """Elapsed microseconds; for wall-clock (NTZ) timestamps no zone or DST is involved.
-
-    Named columns go through SQL ``timestampdiff``; Column arguments fall back to epoch
-    micros under the session zone.
-    """
-    if isinstance(start, str) and isinstance(end, str):
-        return F.expr(f"timestampdiff(MICROSECOND, `{start}`, `{end}`)")
-    return F.unix_micros(col_(end).cast("timestamp")) - F.unix_micros(col_(start).cast("timestamp"))
+    """Elapsed microseconds; for wall-clock (NTZ) timestamps no zone or DST is involved."""
+    return F.timestamp_diff("MICROSECOND", col_(start), col_(end))
 
 
 def hours_between(start: str | Column, end: str | Column) -> Column:

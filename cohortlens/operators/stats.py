@@ -73,19 +73,29 @@ def five_number(df: DataFrame, by: str | list[str], value: str, approx: bool = F
     return q.join(out, by, "left").fillna({"outliers": 0})
 
 
-def scalar_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """1-row frame of exact quantiles of ``value`` named by ``probs`` keys (broadcastable)."""
+def scalar_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> Column:
+    """Exact quantiles of ``value`` as a struct-valued scalar subquery (fields named by the
+    ``probs`` keys; NULL fields when ``df`` has no value)."""
     from cohortlens.operators.quantiles import exact_quantiles
     names = list(probs)
     q = exact_quantiles(df, value, [probs[n] for n in names])
-    one = df.sparkSession.range(1).select(F.lit(0).alias("_k"))
-    q = one.join(q.withColumn("_k", F.lit(0)), "_k", "left")
-    return F.broadcast(q.select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)]))
+    return q.select(F.struct(*[F.col("q")[i].alias(n) for i, n in enumerate(names)]).alias("_s")).scalar()
 
 
-def global_scalars(df: DataFrame, *aggs: Column) -> DataFrame:
-    """1-row aggregate, to be crossed in with ``F.broadcast`` (size bounded at one row)."""
-    return F.broadcast(df.agg(*aggs))
+def scalars(df: DataFrame, *aggs: Column) -> Column:
+    """Global aggregates as ONE struct-valued scalar subquery column.
+
+    The subquery runs once per query (AQE reuses identical subqueries) and its value is
+    inlined into the consuming projection: no join, no nested loop, nothing broadcast.
+    Fields are read with ``s["name"]``.
+    """
+    one = df.agg(*aggs)
+    return one.select(F.struct(*one.columns).alias("_s")).scalar()
+
+
+def first_row(df: DataFrame) -> Column:
+    """A 0/1-row frame (e.g. a top-1) as a struct-valued scalar subquery (NULL if empty)."""
+    return df.select(F.struct(*df.columns).alias("_s")).limit(1).scalar()
 
 
 def min_max_scale(df: DataFrame, value: str, out: str, lo: float = 0.0, hi: float = 100.0,
@@ -94,14 +104,11 @@ def min_max_scale(df: DataFrame, value: str, out: str, lo: float = 0.0, hi: floa
 
     A constant column maps to ``lo`` (the scikit-learn convention, not pyspark.ml's 0.5).
     """
-    b = global_scalars(basis if basis is not None else df,
-                       F.min(F.col(value).cast("double")).alias("_mn"),
-                       F.max(F.col(value).cast("double")).alias("_mx"))
-    rng = F.col("_mx") - F.col("_mn")
-    scaled = F.when(rng > 0, (F.col(value) - F.col("_mn")) / rng * F.lit(hi - lo) + F.lit(lo)) \
-              .otherwise(F.lit(lo))
-    return df.crossJoin(b).withColumn(out, F.when(F.col(value).isNull(), None).otherwise(scaled)) \
-             .drop("_mn", "_mx")
+    b = scalars(basis if basis is not None else df,
+                F.min(F.col(value).cast("double")).alias("mn"), F.max(F.col(value).cast("double")).alias("mx"))
+    rng = b["mx"] - b["mn"]
+    scaled = F.when(rng > 0, (F.col(value) - b["mn"]) / rng * F.lit(hi - lo) + F.lit(lo)).otherwise(F.lit(lo))
+    return df.withColumn(out, F.when(F.col(value).isNull(), None).otherwise(scaled))
 
 
 def quantile_bins(df: DataFrame, value: str, q: int = 4, min_distinct: int = 4) -> DataFrame:
@@ -113,14 +120,13 @@ def quantile_bins(df: DataFrame, value: str, q: int = 4, min_distinct: int = 4)
     """
     v = F.col(value).cast("double")
     probs = [i / q for i in range(q + 1)]
-    e = global_scalars(df.where(v.isNotNull()),
-                       F.array_distinct(quantile(v, probs)).alias("_edges"),
-                       F.count_distinct(v).alias("_nd"))
+    e = scalars(df.where(v.isNotNull()), F.array_distinct(quantile(v, probs)).alias("edges"),
+                F.count_distinct(v).alias("nd"))
     inner = F.slice(F.col("_edges"), 2, q)
     idx = F.size(F.filter(inner, lambda x: x < v))
     single = F.size(F.col("_edges")) <= 1
     by_edges = F.when(single, F.lit(0)).otherwise(idx)
-    res = df.where(v.isNotNull()).crossJoin(e)
+    res = df.where(v.isNotNull()).withColumn("_edges", e["edges"]).withColumn("_nd", e["nd"])
     res = (res.withColumn("_by_value", F.col("_nd") < F.lit(min_distinct))
               .withColumn("bracket", F.when(F.col("_by_value"), F.lit(None).cast("int")).otherwise(by_edges))
               .withColumn("bracket_lower", F.when(F.col("_by_value"), v)
@@ -133,6 +139,5 @@ def quantile_bins(df: DataFrame, value: str, q: int = 4, min_distinct: int = 4)
 
 def share_pct(df: DataFrame, count_col: str, out: str = "share_pct") -> DataFrame:
     """A15 on already-aggregated rows: count / total ×100."""
-    tot = global_scalars(df, F.sum(count_col).alias("_tot"))
-    return df.crossJoin(tot).withColumn(out, F.try_divide(F.col(count_col).cast("double"),
-                                                          F.col("_tot").cast("double")) * 100.0).drop("_tot")
+    tot = scalars(df, F.sum(count_col).alias("tot"))
+    return df.withColumn(out, F.try_divide(F.col(count_col).cast("double"), tot["tot"].cast("double")) * 100.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import is_failed, is_passed, pct, week_start_monday
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.stats import impact
+from cohortlens.operators.stats import first_row, impact, scalars
 
 TREND_UP, TREND_DOWN = 0.15, -0.15
 
@@ -41,8 +41,8 @@ def weakest_concept(t, scope: Scope = ALL, min_attempts: int = 5) -> DataFrame:
 def hardest_concepts_top10(t, scope: Scope = ALL, min_attempts: int = 5) -> DataFrame:
     """Ten highest fail rates; rows whose concept is the weakest one flagged."""
     top = _ranked(t, scope, min_attempts).limit(10)
-    w = F.broadcast(weakest_concept(t, scope, min_attempts).select(F.col("concept_name").alias("_w")))
-    return (top.crossJoin(w).withColumn("is_weakest", F.col("concept_name") == F.col("_w")).drop("_w"))
+    w = first_row(weakest_concept(t, scope, min_attempts).select("concept_name"))["concept_name"]
+    return top.withColumn("is_weakest", F.col("concept_name") == w)
 
 
 def _weakest_rows(t, scope: Scope, min_attempts: int) -> DataFrame:
@@ -70,15 +70,15 @@ def concept_trend_status(t, scope: Scope = ALL, min_attempts: int = 5) -> DataFr
     """Slope of weekly pass % on days since the first week: > 0.15 improving, < −0.15
     degrading, else flat; one week or none: not enough data. One row."""
     wk = weakest_concept_weekly(t, scope, min_attempts)
-    first = F.broadcast(wk.agg(F.min("week").alias("_w0"), F.count(F.lit(1)).alias("weeks")))
-    x = wk.crossJoin(first).withColumn("days_elapsed", F.datediff("week", "_w0"))
-    s = x.groupBy().agg(F.max("weeks").alias("weeks"),
+    first = scalars(wk, F.min("week").alias("w0"))
+    x = wk.withColumn("days_elapsed", F.datediff("week", first["w0"]))
+    s = x.groupBy().agg(F.count(F.lit(1)).alias("weeks"),
                         impact("pass_rate", "days_elapsed", 1.0).alias("slope"))
-    name = F.broadcast(weakest_concept(t, scope, min_attempts).select("concept_name"))
+    name = first_row(weakest_concept(t, scope, min_attempts).select("concept_name"))["concept_name"]
     st = (F.when(F.coalesce(F.col("weeks"), F.lit(0)) <= 1, F.lit("not enough data"))
            .when(F.col("slope") > TREND_UP, F.lit("improving"))
            .when(F.col("slope") < TREND_DOWN, F.lit("degrading"))
            .otherwise(F.lit("flat")))
-    return (name.crossJoin(s).select("concept_name", F.coalesce("weeks", F.lit(0)).alias("weeks"),
-                                     F.when(F.col("weeks") > 1, F.col("slope")).alias("slope"),
-                                     st.alias("trend_status")))
+    return (s.select(name.alias("concept_name"), F.coalesce("weeks", F.lit(0)).alias("weeks"),
+                     F.when(F.col("weeks") > 1, F.col("slope")).alias("slope"), st.alias("trend_status"))
+             .where(F.col("concept_name").isNotNull()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import hours_between, is_attended, pct
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.stats import five_number, global_scalars, impact, ols_columns, scalar_quantiles
+from cohortlens.operators.stats import five_number, impact, ols_columns, scalar_quantiles, scalars
 from cohortlens.plans import profile
 
 
@@ -15,10 +15,10 @@ def engagement_profile(t, scope: Scope = ALL) -> DataFrame:
     return scope.apply(profile.engagement_profile(t))
 
 
-def platform_attendance(t) -> DataFrame:
-    """1 row: attended share of ALL attendance rows ×100 (0 when empty)."""
-    return global_scalars(t.view("attendance"), F.coalesce(
-        pct(F.count_if(is_attended("status")), F.count(F.lit(1))), F.lit(0.0)).alias("platform_avg"))
+def platform_attendance(t):
+    """Scalar: attended share of ALL attendance rows ×100 (0 when empty)."""
+    return scalars(t.view("attendance"), F.coalesce(
+        pct(F.count_if(is_attended("status")), F.count(F.lit(1))), F.lit(0.0)).alias("platform_avg"))["platform_avg"]
 
 
 def group_attendance(t, scope: Scope = ALL) -> DataFrame:
@@ -27,7 +27,7 @@ def group_attendance(t, scope: Scope = ALL) -> DataFrame:
     g = (p.withColumn("group_label", F.concat("group_id", F.lit(" ("), "course_name", F.lit(")")))
           .where(F.col("group_label").isNotNull())
           .groupBy("group_label").agg(F.avg("attendance_rate").alias("attendance_rate")))
-    return (g.crossJoin(platform_attendance(t))
+    return (g.withColumn("platform_avg", platform_attendance(t))
              .withColumn("at_or_above_platform", F.coalesce(F.col("attendance_rate") >= F.col("platform_avg"),
                                                            F.lit(False))))
 
@@ -54,8 +54,8 @@ def submission_timing(t, quantile_cap: float = 0.98) -> DataFrame:
     a = (t.view("assessments")
           .where((F.col("type") == "assignment") & F.col("deadline").isNotNull() & F.col("submitted_at").isNotNull())
           .withColumn("hours_before_deadline", hours_between("submitted_at", "deadline")))
-    cap = scalar_quantiles(a, "hours_before_deadline", {"_cap": quantile_cap})
-    return (a.crossJoin(cap).where(F.col("hours_before_deadline") <= F.col("_cap"))
+    cap = scalar_quantiles(a, "hours_before_deadline", {"cap": quantile_cap})
+    return (a.where(F.col("hours_before_deadline") <= cap["cap"])
              .select("assessment_id", "student_id", "score", "hours_before_deadline",
                      F.when(F.col("hours_before_deadline") < 0, F.lit("Late Submission"))
                       .otherwise(F.lit("On-Time")).alias("submission_status")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.session import materialize
@@ -10,7 +10,7 @@ from cohortlens.session import materialize
 from cohortlens.functions.exprs import is_attended, pct, title_case
 from cohortlens.operators.scope import ALL, Scope
 from cohortlens.operators.quantiles import exact_quantiles
-from cohortlens.operators.stats import five_number
+from cohortlens.operators.stats import five_number, scalars
 
 
 def filter_options(t, scope: Scope = ALL) -> DataFrame:
@@ -41,14 +41,14 @@ def platform_kpis(t, scope: Scope = ALL) -> DataFrame:
                F.count_distinct("course_name").alias("n_courses"),
                F.count_distinct("group_id").alias("n_groups"),
                F.avg(F.col("age").cast("double")).alias("avg_age"))
-    at = t.view("attendance").agg(F.coalesce(pct(F.count_if(is_attended("status")), F.count(F.lit(1))),
-                                             F.lit(0.0)).alias("attendance_pct"))
-    ev = (t.view("learn_events").where(F.col("event_type") == "video_watch")
-           .agg(F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("_vsec")))
-    out = ro.crossJoin(at).crossJoin(ev)
-    return out.select("n_students", "n_instructors", "n_courses", "n_groups", "avg_age", "attendance_pct",
-                      F.coalesce(F.try_divide(F.col("_vsec") / 3600.0, F.col("n_students").cast("double")),
-                                 F.lit(0.0)).alias("video_hours_per_student"))
+    at = scalars(t.view("attendance"), F.coalesce(pct(F.count_if(is_attended("status")), F.count(F.lit(1))),
+                                                  F.lit(0.0)).alias("attendance_pct"))
+    ev = scalars(t.view("learn_events").where(F.col("event_type") == "video_watch"),
+                 F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("vsec"))
+    return ro.select("n_students", "n_instructors", "n_courses", "n_groups", "avg_age",
+                     at["attendance_pct"].alias("attendance_pct"),
+                     F.coalesce(F.try_divide(ev["vsec"] / 3600.0, F.col("n_students").cast("double")),
+                                F.lit(0.0)).alias("video_hours_per_student"))
 
 
 def students_per_course(t, scope: Scope = ALL) -> DataFrame:
@@ -91,10 +91,11 @@ def assessment_volatility(t, scope: Scope = ALL) -> DataFrame:
     """A8 + W8: sample std per title-cased type, ascending; the maximum flagged (all ties)."""
     v = (graded(t, scope).where(F.col("assessment_type").isNotNull())
          .groupBy("assessment_type").agg(F.stddev_samp("score").alias("std_score")))
-    mx = v.agg(F.max("std_score").alias("_mx"))
-    return (v.crossJoin(F.broadcast(mx))
-             .withColumn("is_most_volatile", F.coalesce(F.col("std_score") == F.col("_mx"), F.lit(False)))
-             .drop("_mx").orderBy("std_score", "assessment_type"))
+    # the flag compares each aggregated row with the maximum of the SAME rows (a window over
+    # one row per type), so both sides are the identical doubles
+    mx = F.max("std_score").over(Window.partitionBy())
+    return (v.withColumn("is_most_volatile", F.coalesce(F.col("std_score") == mx, F.lit(False)))
+             .orderBy("std_score", "assessment_type"))
 
 
 def assessment_distribution(t, scope: Scope = ALL, bins: int = 10) -> DataFrame:

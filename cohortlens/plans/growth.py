@@ -1,18 +1,19 @@
 """Growth tab: active window, enrolment velocity, cumulative history and linear forecast.
 
-The month grid comes from ``sequence`` over the 1-row window (its length is the span in
-months, independent of data volume); enrolments are counted per month with a partial
-aggregate and accumulated with a running ``sum`` — no range join, no per-month scan.
+The window is a scalar subquery (one row); the month grid comes from ``sequence`` over it
+(its length is the span in months, independent of data volume); enrolments are counted
+per month with a partial aggregate and accumulated with a running ``sum`` — no range
+join, no per-month scan, no cross join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import month_start, whole_days_between
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.stats import global_scalars
+from cohortlens.operators.stats import first_row, scalars
 
 FALLBACK_DAYS = 180
 MIN_DAYS = 30
@@ -26,16 +27,20 @@ def _enrolled(t, scope: Scope = ALL) -> DataFrame:
 
 def active_window(t) -> DataFrame:
     """1 row: start = first enrolment (all students), end = last event, else start + 180 d."""
-    s = global_scalars(_enrolled(t), F.min("enrollment_date").alias("start_date"))
-    e = global_scalars(t.view("learn_events"), F.max("event_datetime").alias("_end"))
-    return s.crossJoin(e).select("start_date", F.coalesce(
-        "_end", F.col("start_date") + F.make_interval(days=F.lit(FALLBACK_DAYS))).alias("end_date"))
+    e = scalars(t.view("learn_events"), F.max("event_datetime").alias("end"))
+    return (_enrolled(t).agg(F.min("enrollment_date").alias("start_date"))
+            .select("start_date", F.coalesce(e["end"], F.col("start_date")
+                                             + F.make_interval(days=F.lit(FALLBACK_DAYS))).alias("end_date")))
 
 
-def _velocity(df: DataFrame, w: DataFrame, by: list[str]) -> DataFrame:
-    days = F.greatest(whole_days_between("start_date", "end_date"), F.lit(MIN_DAYS))
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("students")) if by else df.agg(F.count(F.lit(1)).alias("students"))
-    return (g.crossJoin(w).where(F.col("students") > 0)
+def _window(t) -> Column:
+    return first_row(active_window(t))
+
+
+def _velocity(df: DataFrame, w: Column, by: list[str]) -> DataFrame:
+    days = F.greatest(whole_days_between(w["start_date"], w["end_date"]), F.lit(MIN_DAYS))
+    g = (df.groupBy(*by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("students"))
+    return (g.where(F.col("students") > 0)
              .withColumn("days_elapsed", days)
              .withColumn("months_elapsed", F.col("days_elapsed") / F.lit(DAYS_PER_MONTH))
              .withColumn("velocity", F.col("students") / F.col("months_elapsed")))
@@ -43,18 +48,17 @@ def _velocity(df: DataFrame, w: DataFrame, by: list[str]) -> DataFrame:
 
 def enrollment_velocity(t, scope: Scope = ALL) -> DataFrame:
     """rows ÷ (max(whole days, 30) / 30.44)."""
-    return _velocity(_enrolled(t, scope), active_window(t), []).select(
+    return _velocity(_enrolled(t, scope), _window(t), []).select(
         "students", "days_elapsed", "months_elapsed", "velocity")
 
 
-def _history(df: DataFrame, w: DataFrame, by: list[str]) -> DataFrame:
+def _history(df: DataFrame, w: Column, by: list[str]) -> DataFrame:
     """Cumulative enrolments with a date on or before each calendar month's last day."""
-    months = F.explode(F.sequence(month_start("start_date"), month_start("end_date"),
+    months = F.explode(F.sequence(month_start(w["start_date"]), month_start(w["end_date"]),
                                   F.expr("INTERVAL 1 MONTH"))).alias("month")
-    # one row per key (a partial aggregate), the 1-row window attached, then the month
-    # sequence generated per key: the grid is keys × span, formed without a join of pairs
-    keys = df.select(*by).distinct() if by else None
-    grid = (keys.crossJoin(w) if by else w).select(*by, months)
+    # one row per key (or one row), then the month sequence generated per row
+    keys = df.select(*by).distinct() if by else df.sparkSession.range(1)
+    grid = keys.select(*by, months)
     per = df.groupBy(*by, month_start("enrollment_date").alias("month")).agg(F.count(F.lit(1)).alias("_n"))
     win = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("month") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -65,19 +69,22 @@ def _history(df: DataFrame, w: DataFrame, by: list[str]) -> DataFrame:
 
 
 def enrollment_history(t, scope: Scope = ALL) -> DataFrame:
-    return _history(_enrolled(t, scope), active_window(t), [])
+    return _history(_enrolled(t, scope), _window(t), [])
 
 
-def _forecast(df: DataFrame, w: DataFrame, by: list[str], horizon=HORIZON) -> DataFrame:
+def _forecast(df: DataFrame, w: Column, by: list[str], horizon=HORIZON) -> DataFrame:
     v = _velocity(df, w, by)
     h = _history(df, w, by)
-    last = (h.groupBy(*by).agg(F.max_by("cumulative", "month").alias("_last"))
-            if by else h.agg(F.max_by("cumulative", "month").alias("_last")))
     end = F.make_date(F.lit(horizon[0]), F.lit(horizon[1]), F.lit(1))
-    base = (v.join(last, by, "left") if by else v.crossJoin(last))
+    if by:
+        last = h.groupBy(*by).agg(F.max_by("cumulative", "month").alias("_last"))
+        base = v.join(last, by, "left")
+    else:
+        last = scalars(h, F.max_by("cumulative", "month").alias("last"))["last"]
+        base = v.withColumn("_last", last)
     base = base.withColumn("_base", F.coalesce(F.col("_last"), F.col("students")).cast("double"))
-    steps = F.when(month_start("end_date") <= end,
-                   F.sequence(month_start("end_date"), end, F.expr("INTERVAL 1 MONTH"))) \
+    m0 = month_start(w["end_date"])
+    steps = F.when(m0 <= end, F.sequence(m0, end, F.expr("INTERVAL 1 MONTH"))) \
              .otherwise(F.array().cast("array<date>"))
     return (base.select(*by, "_base", "velocity", F.posexplode(steps).alias("step", "month"))
                 .withColumn("cumulative", F.col("_base") + F.col("step") * F.col("velocity"))
@@ -86,25 +93,23 @@ def _forecast(df: DataFrame, w: DataFrame, by: list[str], horizon=HORIZON) -> Da
 
 def enrollment_forecast(t, scope: Scope = ALL) -> DataFrame:
     """From the end month to Dec 2030: last history value + i·velocity (i=0 joins history)."""
-    return _forecast(_enrolled(t, scope), active_window(t), [])
+    return _forecast(_enrolled(t, scope), _window(t), [])
 
 
 def enrollment_projection(t, scope: Scope = ALL) -> DataFrame:
     """1 row: current total, velocity, projected total (truncated), multiplier."""
-    f = enrollment_forecast(t, scope)
+    p = scalars(enrollment_forecast(t, scope), F.max_by("cumulative", "step").alias("p"))["p"]
     v = enrollment_velocity(t, scope)
-    last = f.agg(F.max_by("cumulative", "step").alias("_p"))
-    return (v.crossJoin(last).select(
-        F.col("students").alias("current_total"), "velocity",
-        F.col("_p").cast("bigint").alias("projected_total"),
-        F.try_divide(F.col("_p").cast("bigint").cast("double"), F.col("students").cast("double")).alias("multiplier")))
+    return v.select(F.col("students").alias("current_total"), "velocity",
+                    p.cast("bigint").alias("projected_total"),
+                    F.try_divide(p.cast("bigint").cast("double"), F.col("students").cast("double")).alias("multiplier"))
 
 
 def course_forecast(t, scope: Scope = ALL) -> DataFrame:
     """History and forecast per course over the GLOBAL window, one job partitioned by
     course (no per-course loop)."""
     df = _enrolled(t, scope).where(F.col("course_name").isNotNull())
-    w = active_window(t)
+    w = _window(t)
     h = _history(df, w, ["course_name"]).select("course_name", "month", F.lit("history").alias("kind"),
                                                 F.col("cumulative").cast("double").alias("cumulative"))
     f = _forecast(df, w, ["course_name"]).select("course_name", "month", F.lit("forecast").alias("kind"),

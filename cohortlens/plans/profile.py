@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import is_attended, is_failed
-from cohortlens.operators.stats import global_scalars, min_max_scale, scalar_quantiles
+from cohortlens.operators.stats import min_max_scale, scalar_quantiles, scalars
 
 _NARROW = ["student_id", "_src", "_x", "_flag", "_rid", "_etype", "_ts"]
 
@@ -27,11 +27,10 @@ def _narrow(df: DataFrame, src: int, x=None, flag=None, rid=None, etype=None, ts
                      lit_or(ts, "timestamp_ntz").alias("_ts"))
 
 
-def event_midpoint(t) -> DataFrame:
-    """1-row: min + (max - min) / 2 over all event times."""
-    ev = t.view("learn_events")
-    return global_scalars(ev, F.min("event_datetime").alias("_mn"), F.max("event_datetime").alias("_mx")) \
-        .select((F.col("_mn") + (F.col("_mx") - F.col("_mn")) / 2).alias("_mid"))
+def event_midpoint(t):
+    """Scalar: min + (max - min) / 2 over all event times."""
+    s = scalars(t.view("learn_events"), F.min("event_datetime").alias("mn"), F.max("event_datetime").alias("mx"))
+    return s["mn"] + (s["mx"] - s["mn"]) / 2
 
 
 def student_facts(t, halves: bool = False) -> DataFrame:
@@ -59,7 +58,7 @@ def _student_facts(t, halves: bool) -> DataFrame:
         F.count_if((src == 4) & F.col("_flag")).alias("fails"),
     ]
     if halves:
-        u = u.crossJoin(event_midpoint(t))
+        u = u.withColumn("_mid", event_midpoint(t))
         aggs += [F.count_if((src == 3) & (F.col("_ts") < F.col("_mid"))).alias("h1"),
                  F.count_if((src == 3) & (F.col("_ts") >= F.col("_mid"))).alias("h2")]
     f = u.groupBy("student_id").agg(*aggs)
@@ -74,10 +73,9 @@ def engagement_profile(t, cap_quantile: float | None = 0.98) -> DataFrame:
     p98 over students with video; 0 if none). Grade and attendance stay NULL when absent."""
     f = student_facts(t)
     if cap_quantile is not None:
-        cap = scalar_quantiles(f.where(F.col("video_hours").isNotNull()), "video_hours", {"_cap": cap_quantile})
-        f = f.crossJoin(cap).withColumn(
-            "video_hours", F.when(F.col("video_hours").isNull(), None)
-            .otherwise(F.least(F.col("video_hours"), F.coalesce(F.col("_cap"), F.col("video_hours"))))).drop("_cap")
+        cap = scalar_quantiles(f.where(F.col("video_hours").isNotNull()), "video_hours", {"cap": cap_quantile})
+        f = f.withColumn("video_hours", F.when(F.col("video_hours").isNull(), None)
+                         .otherwise(F.least(F.col("video_hours"), F.coalesce(cap["cap"], F.col("video_hours")))))
     r = t.view("roster_core").select("student_id", "course_name", "group_id")
     return (r.join(f.select("student_id", "avg_grade", "attendance_rate", "logins", "video_hours"), "student_id", "left")
              .select("student_id", "course_name", "group_id", "avg_grade", "attendance_rate",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.stats import global_scalars, scalar_quantiles, share_pct
+from cohortlens.operators.stats import first_row, scalar_quantiles, scalars, share_pct
 from cohortlens.plans import profile
 
 SEGMENTS = ("High Achievers", "Struggling but Engaged", "Independent / Coasting", "Disengaged & At-Risk")
@@ -21,12 +21,13 @@ def student_profile(t, scope: Scope = ALL) -> DataFrame:
 def student_segments(t, scope: Scope = ALL) -> DataFrame:
     """Medians of grade and effort within the scope split the 2×2 segments (≥ is high)."""
     p = student_profile(t, scope)
-    med = scalar_quantiles(p, "avg_grade", {"_mg": 0.5}).crossJoin(scalar_quantiles(p, "effort_score", {"_me": 0.5}))
-    hg = F.col("avg_grade") >= F.col("_mg")
-    he = F.col("effort_score") >= F.col("_me")
+    mg = scalar_quantiles(p, "avg_grade", {"m": 0.5})["m"]
+    me = scalar_quantiles(p, "effort_score", {"m": 0.5})["m"]
+    hg = F.col("avg_grade") >= mg
+    he = F.col("effort_score") >= me
     seg = (F.when(hg & he, SEGMENTS[0]).when(~hg & he, SEGMENTS[1])
             .when(hg & ~he, SEGMENTS[2]).otherwise(SEGMENTS[3]))
-    return p.crossJoin(med).withColumn("segment", seg).drop("_mg", "_me")
+    return p.withColumn("segment", seg)
 
 
 def segment_profiles(t, scope: Scope = ALL) -> DataFrame:
@@ -43,14 +44,14 @@ def risk_scores(t, scope: Scope = ALL) -> DataFrame:
     """((100−grade)/100·30 + (100−att)/100·25 + fails/max_fails·25 + drop/max_drop·20)·100,
     maxima within the scope (1 when not positive)."""
     p = student_profile(t, scope)
-    mx = global_scalars(p, F.max("failed_concepts").alias("_mf"), F.max("engagement_drop").alias("_md"))
-    mf = F.when(F.col("_mf") > 0, F.col("_mf")).otherwise(F.lit(1)).cast("double")
-    md = F.when(F.col("_md") > 0, F.col("_md")).otherwise(F.lit(1)).cast("double")
+    mx = scalars(p, F.max("failed_concepts").alias("mf"), F.max("engagement_drop").alias("md"))
+    mf = F.when(mx["mf"] > 0, mx["mf"]).otherwise(F.lit(1)).cast("double")
+    md = F.when(mx["md"] > 0, mx["md"]).otherwise(F.lit(1)).cast("double")
     risk = (((F.lit(100.0) - F.col("avg_grade")) / 100.0 * 30.0)
             + ((F.lit(100.0) - F.col("attendance_rate")) / 100.0 * 25.0)
             + (F.col("failed_concepts") / mf * 25.0)
             + (F.col("engagement_drop") / md * 20.0)) * 100.0
-    return p.crossJoin(mx).withColumn("risk_score", risk).drop("_mf", "_md")
+    return p.withColumn("risk_score", risk)
 
 
 def _top(r: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -98,16 +99,17 @@ def at_risk_group_focus(t, scope: Scope = ALL, k: int = TOP_K, min_hits: int = 3
     ``branch`` tells which comparison the rows hold."""
     f = _flagged(t, scope, k)
     top = f.where("is_top")
-    mode = F.broadcast(top.groupBy("group_id").agg(F.count(F.lit(1)).alias("hits"))
-                       .orderBy(F.desc("hits"), F.asc("group_id")).limit(1)
-                       .select(F.col("group_id").alias("mode_group"), "hits"))
-    inside = (f.crossJoin(mode).where((F.col("hits") >= min_hits) & (F.col("group_id") == F.col("mode_group")))
+    mode = first_row(top.groupBy("group_id").agg(F.count(F.lit(1)).alias("hits"))
+                     .orderBy(F.desc("hits"), F.asc("group_id")).limit(1)
+                     .select(F.col("group_id").alias("mode_group"), "hits"))
+    f = f.withColumn("mode_group", mode["mode_group"]).withColumn("hits", mode["hits"])
+    inside = (f.where((F.col("hits") >= min_hits) & (F.col("group_id") == F.col("mode_group")))
                .groupBy("mode_group", "hits", "is_top")
                .agg(F.avg("avg_grade").alias("avg_grade"), F.avg("failed_concepts").alias("avg_fails"))
                .select("mode_group", "hits", F.lit("group").alias("branch"),
                        F.when(F.col("is_top"), "At-Risk Target").otherwise("Healthy Classmates").alias("status"),
                        "avg_grade", "avg_fails", F.lit(None).cast("double").alias("avg_effort")))
-    effort = (f.crossJoin(mode).where(F.col("hits") < min_hits)
+    effort = (f.where(F.col("hits") < min_hits)
                .groupBy("mode_group", "hits", "is_top").agg(F.avg("effort_score").alias("avg_effort"))
                .select("mode_group", "hits", F.lit("effort").alias("branch"),
                        F.when(F.col("is_top"), "Top 10 At-Risk").otherwise("Rest of Platform").alias("status"),
