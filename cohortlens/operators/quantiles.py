@@ -18,10 +18,11 @@ in passes over a narrow, checkpointed copy of (group, value):
 
 Memory per task is bounded by the band, not by the group size.
 
-Strategy choice is size-checked, like a broadcast threshold: one aggregate over the
-checkpointed copy gives the largest group's row count; when it is at most
-``local_limit`` rows, Spark's single-pass ``percentile`` is used (its map cannot exceed
-that many entries per task); beyond it, the distributed selection above.
+Strategy choice is size-checked, like a broadcast threshold: when Catalyst's estimate of
+the input is at most 64 MiB the single-pass ``percentile`` runs directly; otherwise the
+input is written once, one aggregate gives the largest group's row count, and groups of
+at most ``local_limit`` rows still use the single pass (its map cannot exceed that many
+entries per task); beyond it, the distributed selection above.
 """
 
 from __future__ import annotations
@@ -35,6 +36,21 @@ from cohortlens.session import materialize as cut_lineage
 
 ACCURACY = 100_000
 LOCAL_LIMIT = 2_000_000
+LOCAL_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (no job runs). Without column statistics joins
+    and filters are estimated from input sizes, i.e. over-stated, never under-stated by
+    selectivity guesses."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _single_pass(base: DataFrame, keys: list[str], by: list[str], probs: list[float]) -> DataFrame:
+    return (base.groupBy(*keys)
+                .agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"))
+                .select(*by, "n", "q"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -53,15 +69,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     delta = 3.0 / accuracy
     base = df.select(*(by or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v")) \
              .where(F.col("_v").isNotNull())
+    if local_limit is not None and estimated_bytes(base) <= LOCAL_BYTES:
+        # the whole input is provably small: one pass, nothing written
+        return _single_pass(base, keys, by, probs)
     if materialize:
         base = cut_lineage(base, "quantile_input")
     if local_limit is not None:
         largest = base.groupBy(*keys).count().agg(F.max("count").alias("m")).first().m
         if largest is None or largest <= local_limit:
-            return (base.groupBy(*keys)
-                        .agg(F.count(F.lit(1)).alias("n"),
-                             F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"))
-                        .select(*by, "n", "q"))
+            return _single_pass(base, keys, by, probs)
 
     def small(d: DataFrame) -> DataFrame:
         return d if by else F.broadcast(d)

@@ -60,7 +60,9 @@ def five_number(df: DataFrame, by: str | list[str], value: str, approx: bool = F
         q = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                   F.percentile_approx("_v", [0.0, 0.25, 0.5, 0.75, 1.0], 100000).alias("q"))
     else:
-        base = materialize(base, "quantile_input")
+        from cohortlens.operators.quantiles import LOCAL_BYTES, estimated_bytes
+        if estimated_bytes(base) > LOCAL_BYTES:
+            base = materialize(base, "quantile_input")   # read by several passes below
         q = exact_quantiles(base, "_v", [0.0, 0.25, 0.5, 0.75, 1.0], by, materialize=False)
     q = (q.select(*by, "n", *[F.col("q")[i].alias(c) for i, c in
                               enumerate(("minimum", "q1", "median", "q3", "maximum"))])
