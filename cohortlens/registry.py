@@ -244,7 +244,7 @@ reg("concept_trend_status", concepts.concept_trend_status, W(
     FROM x""", *_CV, round_cols=("slope",)))
 
 # ---------------------------------------------------------------- segments and risk
-_SP = _FACTS + """,
+_SP_T = _FACTS + """,
     mid AS (SELECT min(event_datetime) + (max(event_datetime) - min(event_datetime)) / 2 AS mid FROM learn_events),
     ec AS (SELECT student_id, count(*) AS events, count_if(event_datetime < mid) AS h1,
                   count_if(event_datetime >= mid) AS h2 FROM learn_events CROSS JOIN mid GROUP BY student_id),
@@ -259,7 +259,8 @@ _SP = _FACTS + """,
     mm AS (SELECT min(platform_events) AS mn, max(platform_events) AS mx FROM sp0),
     sp1 AS (SELECT sp0.*, CASE WHEN mx > mn THEN (platform_events - mn) / (mx - mn) * 100 ELSE 0 END
             AS normalized_events FROM sp0 CROSS JOIN mm),
-    sp AS (SELECT sp1.*, attendance_rate * 0.6 + normalized_events * 0.4 AS effort_score FROM sp1),
+    spa AS (SELECT sp1.*, attendance_rate * 0.6 + normalized_events * 0.4 AS effort_score FROM sp1),
+    sp AS (SELECT * FROM spa WHERE {scope}),
     med AS (SELECT quantile_cont(avg_grade, 0.5) AS mg, quantile_cont(effort_score, 0.5) AS me FROM sp),
     seg AS (SELECT sp.*, CASE WHEN avg_grade >= mg AND effort_score >= me THEN 'High Achievers'
                  WHEN avg_grade < mg AND effort_score >= me THEN 'Struggling but Engaged'
@@ -272,6 +273,7 @@ _SP = _FACTS + """,
            FROM sp CROSS JOIN rmax),
     top AS (SELECT * FROM rs ORDER BY risk_score DESC, student_id LIMIT 10),
     flagged AS (SELECT rs.*, rs.student_id IN (SELECT student_id FROM top) AS is_top FROM rs)"""
+_SP = _SP_T.replace("{scope}", "true")
 _SPV = ("roster", "assessments", "attendance", "learn_events", "concepts")
 _SP_ROUND = ("avg_grade", "attendance_rate", "normalized_events", "effort_score")
 
@@ -629,3 +631,20 @@ reg("clean_concepts", cleaning.clean_concepts, W(
 reg("clean_documents", cleaning.clean_documents, W(
     """SELECT min(doc_id) AS doc_id, text, lang, source, n_chars FROM documents
     WHERE NOT COALESCE(regexp_matches(text, '[ÃÂ¤â‚¬@?]'), false) GROUP BY text, lang, source, n_chars"""))
+
+
+# ---------------------------------------------------------------- scoped variants
+from cohortlens.operators.scope import Scope  # noqa: E402
+
+_BUILDING = Scope(course="BUILDING")
+_SPB = _SP_T.replace("{scope}", "course_name = 'BUILDING'")
+reg("student_segments_building", partial(segments.student_segments, scope=_BUILDING), W(
+    f", {_SPB} SELECT * FROM seg", *_SPV, round_cols=_SP_ROUND))
+reg("risk_scores_building", partial(segments.risk_scores, scope=_BUILDING), W(
+    f", {_SPB} SELECT * FROM rs", *_SPV, round_cols=_SP_ROUND + ("risk_score",)))
+reg("concept_failure_rates_building", partial(concepts.concept_failure_rates, scope=_BUILDING), W(
+    f", {_CL.replace('FROM concepts c LEFT JOIN roster r ON c.student_id = r.student_id', 'FROM concepts c LEFT JOIN roster r ON c.student_id = r.student_id WHERE r.course_name = ' + chr(39) + 'BUILDING' + chr(39))} "
+    "SELECT * FROM cr", *_CV, round_cols=("fail_rate",)))
+reg("students_per_group_building", partial(grades.students_per_group, scope=_BUILDING), W(
+    "SELECT group_id, count(*) AS students FROM roster WHERE group_id IS NOT NULL AND course_name = 'BUILDING' "
+    "GROUP BY group_id", "roster"))
