@@ -55,3 +55,14 @@ def test_scope_filters_roster_and_assessments(spark):
     assert m and all(r.group_id.startswith("BUILDING-") for r in m)
     one = grades.students_per_group(t, Scope(group=g[0].group_id)).collect()
     assert [r.group_id for r in one] == [g[0].group_id]
+
+
+def test_nested_documents_are_bounded(spark):
+    import datetime as dt
+    df = spark.range(2500).select(F.lit(1).cast("long").alias("student_id"), F.lit("quiz").alias("type"),
+                                  F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("date"),
+                                  F.col("id").cast("double").alias("score")).coalesce(1)
+    docs = nested.nest_grades(df, doc_max=1000)
+    sizes = [r.n for r in docs.select(F.size("grades").alias("n")).collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 2500
+    assert nested.flatten_grades(docs).count() == 2500
