@@ -23,7 +23,8 @@ def _assessments(t, scope: Scope) -> DataFrame:
     a = t.view("assessments")
     if scope.course is not None:
         ids = _roster(t, Scope(course=scope.course)).select("course_id").distinct()
-        a = a.join(F.broadcast(ids), "course_id", "left_semi")
+        # the number of course ids is not bounded by construction: AQE decides at run time
+        a = a.join(ids, "course_id", "left_semi")
     if scope.group is not None:
         a = a.where(F.col("group_id") == scope.group)
     return a
