@@ -5,9 +5,10 @@ of Spark SQL and DuckDB, so the oracle uses the very same expressions (FIXTURES.
 The modulo expressions below derive values (which email is missing, which duration is
 negative); they never subset rows.
 
-Join shapes at scale: ``nation``/``region`` are fixed 25/5-row dimensions and are broadcast;
-every other join is fact-to-fact on its key and left to AQE (sort-merge, or broadcast when
-the runtime size of one side is under the threshold).
+Join shapes at scale: ``nation``/``region`` are 25/5-row dimensions whose scanned size the
+planner checks against the broadcast threshold (so they are broadcast without a hint);
+every other join is fact-to-fact on its key and left to AQE (sort-merge with skew
+splitting, or broadcast when the runtime size of one side is under the threshold).
 """
 
 from __future__ import annotations
@@ -64,12 +65,13 @@ EVENT_COLS = [
 
 
 def _geo(t) -> DataFrame:
-    """customer ⋈ nation ⋈ region; the two dimensions are fixed-size, so broadcast."""
+    """customer ⋈ nation ⋈ region. The two dimensions are tiny files; the planner
+    broadcasts them after checking their scanned size against the broadcast threshold."""
     c = t.read("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = t.read("nation")
     r = t.read("region")
-    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-             .join(F.broadcast(r), n.n_regionkey == r.r_regionkey))
+    return (c.join(n, c.c_nationkey == n.n_nationkey)
+             .join(r, n.n_regionkey == r.r_regionkey))
 
 
 def roster(t) -> DataFrame:
@@ -89,7 +91,7 @@ def roster_core(t) -> DataFrame:
 def assessments(t) -> DataFrame:
     o = t.read("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = t.read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = F.broadcast(t.read("nation").select("n_nationkey", "n_name"))
+    n = t.read("nation").select("n_nationkey", "n_name")
     sh = (t.read("lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("shipped")))
     base = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return (base.join(sh, base.o_orderkey == sh.l_orderkey, "left")
