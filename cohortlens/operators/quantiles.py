@@ -43,7 +43,10 @@ def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (no job runs). Without column statistics joins
     and filters are estimated from input sizes, i.e. over-stated, never under-stated by
     selectivity guesses."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): assume large
+        return 1 << 62
 
 
 def _single_pass(base: DataFrame, keys: list[str], by: list[str], probs: list[float]) -> DataFrame:

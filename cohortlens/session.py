@@ -65,14 +65,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local tests, fall back to a fresh folder under the system temp directory.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc_dir = None
+    try:
+        opt = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc_dir = opt.get() if opt.isDefined() else None
+    except Exception:  # noqa: BLE001 - no SparkContext handle (remote session)
+        pass
+    d = d or sc_dir
     if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
-    if not d:
+        # unset (local tests only): a fresh folder; on a cluster the setting is always given
         d = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(d)
+    if sc_dir is None:
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:  # noqa: BLE001
+            pass
     return d
 
 
