@@ -91,9 +91,11 @@ def nearest_other(targets: DataFrame, candidates: DataFrame, key: str, value: st
     target itself (J12). Ties: smallest |diff|, then smallest candidate key.
 
     Candidates are first reduced to one row per distinct value carrying its smallest and
-    second-smallest key (an equi-join on the value, no pairs). The neighbour below and above
-    each target come from running ``last`` windows in value order over the union of those
-    rows and the targets; both inputs are per-group aggregates, one row per group.
+    second-smallest key (an equi-join on the value, no pairs) and the neighbouring distinct
+    values (``lag``/``lead``). The neighbour below and above each target come from running
+    ``last`` windows in value order over the union of those rows and the targets; when the
+    neighbour is the target itself, the second key at that value or the next value over
+    is used. Both inputs are per-group aggregates, one row per group.
     Output: target columns + ``nearest_key``, ``nearest_value``.
     """
     c = candidates.select(F.col(key).alias("_ck"), F.col(value).cast("double").alias("_v")) \
@@ -101,15 +103,20 @@ def nearest_other(targets: DataFrame, candidates: DataFrame, key: str, value: st
     g1 = c.groupBy("_v").agg(F.min("_ck").alias("_g1"))
     g2 = (c.join(g1, "_v").where(F.col("_ck") > F.col("_g1"))
            .groupBy("_v").agg(F.min("_ck").alias("_g2")))
-    d = g1.join(g2, "_v", "left")
+    wd = Window.orderBy("_v")
+    d = (g1.join(g2, "_v", "left")
+           .withColumn("_pv", F.lag("_v").over(wd)).withColumn("_pk", F.lag("_g1").over(wd))
+           .withColumn("_nv", F.lead("_v").over(wd)).withColumn("_nk", F.lead("_g1").over(wd)))
 
     t = targets.withColumn("_tv", F.col(value).cast("double"))
     # same value: the smallest key other than the target itself, at distance 0
-    eq = (t.select(key, "_tv").join(d.withColumnRenamed("_v", "_tv"), "_tv")
+    eq = (t.select(key, "_tv").join(d.select(F.col("_v").alias("_tv"), "_g1", "_g2"), "_tv")
            .select(key, F.when(F.col("_g1") != F.col(key), F.col("_g1")).otherwise(F.col("_g2")).alias("_eqk")))
 
-    cand_rows = d.select(F.col("_v").alias("_o"), F.struct(F.col("_v").alias("v"), F.col("_g1").alias("k")).alias("_c"),
-                         F.lit(None).cast("string").alias("_tk"))
+    cand = F.struct(F.col("_v").alias("v"), F.col("_g1").alias("k"), F.col("_g2").alias("k2"),
+                    F.col("_pv").alias("pv"), F.col("_pk").alias("pk"), F.col("_nv").alias("nv"),
+                    F.col("_nk").alias("nk"))
+    cand_rows = d.select(F.col("_v").alias("_o"), cand.alias("_c"), F.lit(None).cast("string").alias("_tk"))
     tgt_rows = t.select(F.col("_tv").alias("_o"), F.lit(None).cast(cand_rows.schema["_c"].dataType).alias("_c"),
                         F.col(key).cast("string").alias("_tk"))
     u = cand_rows.unionByName(tgt_rows)
@@ -122,16 +129,27 @@ def nearest_other(targets: DataFrame, candidates: DataFrame, key: str, value: st
            .where(F.col("_tk").isNotNull()).select(F.col("_tk").alias(key), "_lo", "_hi"))
 
     res = t.join(nb, key, "left").join(eq, key, "left")
-    dlo = F.abs(F.col("_tv") - F.col("_lo.v"))
-    dhi = F.abs(F.col("_tv") - F.col("_hi.v"))
-    pick_lo = (F.col("_hi").isNull() | (dlo < dhi) | ((dlo == dhi) & (F.col("_lo.k") < F.col("_hi.k"))))
+    me = F.col(key)
+
+    def skip_self(s: str, far_v: str, far_k: str):
+        """(value, key) of neighbour ``s``, stepping past the target itself."""
+        own = F.col(f"{s}.k") == me
+        k = (F.when(~own, F.col(f"{s}.k")).when(F.col(f"{s}.k2").isNotNull(), F.col(f"{s}.k2"))
+              .otherwise(F.col(f"{s}.{far_k}")))
+        v = (F.when(~own, F.col(f"{s}.v")).when(F.col(f"{s}.k2").isNotNull(), F.col(f"{s}.v"))
+              .otherwise(F.col(f"{s}.{far_v}")))
+        return v, k
+
+    lo_v, lo_k = skip_self("_lo", "pv", "pk")
+    hi_v, hi_k = skip_self("_hi", "nv", "nk")
+    res = res.withColumn("_lv", lo_v).withColumn("_lk", lo_k).withColumn("_hv", hi_v).withColumn("_hk", hi_k)
+    dlo = F.abs(F.col("_tv") - F.col("_lv"))
+    dhi = F.abs(F.col("_tv") - F.col("_hv"))
+    pick_lo = F.col("_hk").isNull() | (dlo < dhi) | ((dlo == dhi) & (F.col("_lk") < F.col("_hk")))
+    has_lo = F.col("_lk").isNotNull()
     nk = (F.when(F.col("_eqk").isNotNull(), F.col("_eqk"))
-           .when(F.col("_lo").isNull() & F.col("_hi").isNull(), F.lit(None))
-           .when(F.col("_lo").isNotNull() & pick_lo, F.col("_lo.k"))
-           .otherwise(F.col("_hi.k")))
+           .when(has_lo & pick_lo, F.col("_lk")).otherwise(F.col("_hk")))
     nv = (F.when(F.col("_eqk").isNotNull(), F.col("_tv"))
-           .when(F.col("_lo").isNull() & F.col("_hi").isNull(), F.lit(None))
-           .when(F.col("_lo").isNotNull() & pick_lo, F.col("_lo.v"))
-           .otherwise(F.col("_hi.v")))
+           .when(has_lo & pick_lo, F.col("_lv")).otherwise(F.col("_hv")))
     return (res.withColumn("nearest_key", nk).withColumn("nearest_value", nv)
-               .drop("_tv", "_lo", "_hi", "_eqk"))
+               .drop("_tv", "_lo", "_hi", "_eqk", "_lv", "_lk", "_hv", "_hk"))
