@@ -26,6 +26,25 @@ VIEWS: dict[str, str] = {
 }
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's ``count_if`` returns HUGEINT; Spark's returns BIGINT. Wrap each call."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j])
+        out.append(f"CAST({sql[j:k + 1]} AS BIGINT)")
+        i = k + 1
+
+
 def with_views(body: str, *names: str, round_cols: tuple[str, ...] = (), digits: int = 9) -> str:
     """``WITH <views> <body>``; doubles listed in ``round_cols`` are rounded in an outer select."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
@@ -39,6 +58,7 @@ def with_views(body: str, *names: str, round_cols: tuple[str, ...] = (), digits:
         sql = f"WITH {ctes}{body}"
     else:
         sql = f"WITH {ctes}\n{body}"
+    sql = _bigint_count_if(sql)
     if round_cols:
         rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in round_cols)
         sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"

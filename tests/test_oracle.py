@@ -12,6 +12,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
@@ -57,6 +61,10 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in rel.description]
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    spark_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {oracle_sql()[name]}").fetchall()}
+    assert spark_types == duck_types
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
 
