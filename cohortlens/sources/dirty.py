@@ -49,12 +49,6 @@ def lineitem_logged_course(t) -> DataFrame:
               .select("l_orderkey", "l_partkey", F.coalesce(logged, F.col("p_type")).alias("logged_course")))
 
 
-def assessments_prefixed(t) -> DataFrame:
-    a = t.view("assessments")
-    return a.withColumn("id_prefix", F.when(F.col("assessment_id") % BAD_PREFIX_MOD == 0, F.lit(BAD_PREFIX))
-                        .otherwise(F.substring("course_id", 1, 2)))
-
-
 def attendance_batches(t) -> tuple[DataFrame, DataFrame]:
     """Monthly batches: sessions before 1998 arrive with the column named ``datetime``."""
     a = t.view("attendance")
