@@ -55,17 +55,11 @@ class Tables:
         return os.path.join(self.root, f"{name}.parquet")
 
     def read(self, name: str) -> DataFrame:
-        """One relation per table and handle: the files are listed once, and every view
-        built on the table shares the same scan subtree (so Spark can reuse exchanges)."""
-        key = f"table:{name}"
-        if key not in self._views:
-            schema = SCHEMAS[name]
-            p = self.path(name)
-            if name in OPTIONAL and not os.path.exists(p):
-                self._views[key] = self.spark.createDataFrame([], schema)
-            else:
-                self._views[key] = self.spark.read.schema(schema).parquet(p)
-        return self._views[key]
+        schema = SCHEMAS[name]
+        p = self.path(name)
+        if name in OPTIONAL and not os.path.exists(p):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(p)
 
     def __post_init__(self) -> None:
         from cohortlens.session import checkpoint_dir
