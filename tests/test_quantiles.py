@@ -46,3 +46,14 @@ def test_small_groups_take_the_single_pass_path(data):
     exp = _expected(data, ["g"])
     for g in exp:
         assert got[g] == pytest.approx(exp[g], abs=1e-9)
+
+
+def test_five_number_exact_and_sketch_paths(spark, data):
+    from cohortlens.operators.stats import five_number
+    exact = {r.g: r for r in five_number(data, "g", "v").collect()}
+    sketch = {r.g: r for r in five_number(data, "g", "v", approx=True).collect()}
+    assert set(exact) == set(sketch) == {"a", "b", "c", "d", "e"}
+    for g, r in exact.items():
+        assert r.minimum <= r.q1 <= r.median <= r.q3 <= r.maximum
+        assert sketch[g].n == r.n and sketch[g].minimum == r.minimum and sketch[g].maximum == r.maximum
+    assert exact["d"].outliers == 0 and exact["d"].q1 == exact["d"].q3 == 5.0
