@@ -59,28 +59,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it); only when it is unset, as in
-    local tests, fall back to a fresh folder under the system temp directory.
+    Only a single-machine session (master ``local``/``local[n]``) that leaves it unset gets a
+    fresh folder of its own; a cluster session without the setting is an error, since other
+    machines could not read what one of them wrote.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    sc_dir = None
-    try:
-        opt = spark.sparkContext._jsc.sc().getCheckpointDir()
-        sc_dir = opt.get() if opt.isDefined() else None
-    except Exception:  # noqa: BLE001 - no SparkContext handle (remote session)
-        pass
-    d = d or sc_dir
     if not d:
-        # unset (local tests only): a fresh folder; on a cluster the setting is always given
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         d = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc_dir is None:
-        try:
-            spark.sparkContext.setCheckpointDir(d)
-        except Exception:  # noqa: BLE001
-            pass
     return d
 
 
