@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import licenses, simhash
+from cohortlens.llm import fuzzy_lines, licenses, simhash, target_ratio, url_templates
 from cohortlens.llm.common import table
 
 
@@ -18,6 +18,19 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup)}
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
 
-ORACLES = {"op1_license_scan": licenses.scan_sql()}
+
+def op7_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_ratio.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_simhash_dedup, op5_url_templates, op7_target_ratio, op10_fuzzy_lines)}
+
+ORACLES = {"op1_license_scan": licenses.scan_sql(), "op5_url_templates": url_templates.judge_sql()}
