@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; installed on every machine with its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def columns(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; other columns (whatever their names) are left out."""
     return df.select(*[df[c].cast(t).alias(c) for c, t in types.items()])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import fuzzy_lines, licenses, simhash, target_ratio, url_templates
-from cohortlens.llm.common import table
+from cohortlens.llm import chunk_bpe, fuzzy_lines, licenses, simhash, target_ratio, url_templates
+from cohortlens.llm.common import table, tokenizer_file
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_ratio.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +35,6 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_simhash_dedup, op5_url_templates, op7_target_ratio, op10_fuzzy_lines)}
+    op1_license_scan, op2_simhash_dedup, op5_url_templates, op6_chunk_bpe, op7_target_ratio, op10_fuzzy_lines)}
 
 ORACLES = {"op1_license_scan": licenses.scan_sql(), "op5_url_templates": url_templates.judge_sql()}
