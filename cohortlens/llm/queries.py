@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chunk_bpe, fuzzy_lines, leak_search, licenses, simhash, target_ratio, url_templates
+from cohortlens.llm import chunk_bpe, fuzzy_lines, language, leak_search, licenses, simhash, target_ratio, url_templates
 from cohortlens.llm.common import table, tokenizer_file
 
 
@@ -34,12 +34,17 @@ def op8_leak_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_search.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_simhash_dedup, op5_url_templates, op6_chunk_bpe, op7_target_ratio, op8_leak_search,
+    op1_license_scan, op2_simhash_dedup, op5_url_templates, op6_chunk_bpe, op7_target_ratio, op8_leak_search, op9_language,
     op10_fuzzy_lines)}
 
 ORACLES = {"op1_license_scan": licenses.scan_sql(), "op5_url_templates": url_templates.judge_sql()}
