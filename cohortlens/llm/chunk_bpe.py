@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.common import columns
+from cohortlens.llm.common import Memo, columns, text_batches
 
 WINDOW = 16
 MEAN_CHUNK = 512  # bytes between cuts on average (a power of two)
@@ -63,31 +63,6 @@ def cut_points(data: bytes) -> list[int]:
     return out
 
 
-class Memo:
-    """A dict bounded in bytes: when the younger half is full it becomes the older half, whose
-    entries return to the younger one when they are asked for."""
-
-    def __init__(self, limit: int):
-        self.young: dict = {}
-        self.old: dict = {}
-        self.limit, self.size = limit // 2, 0
-
-    def get(self, key: str, default=None):
-        if key in self.young:
-            return self.young[key]
-        if key in self.old:
-            value = self.old[key]
-            self.put(key, value, 64)
-            return value
-        return default
-
-    def put(self, key: str, value, n_bytes: int) -> None:
-        self.size += 2 * len(key) + n_bytes + 200
-        if self.size > self.limit:
-            self.old, self.young, self.size = self.young, {}, 0
-        self.young[key] = value
-
-
 class ChunkCoder:
     """Encodes whole texts by chunks; ``tokenizer_file`` is a byte-level BPE of the tokenizers
     library without normalizer, prefix space or post-processor."""
@@ -178,22 +153,6 @@ def _coder(tokenizer_file: str) -> ChunkCoder:
     return ChunkCoder(tokenizer_file)
 
 
-BATCH_CHARS = 1 << 21
-
-
-def _batches(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about ``BATCH_CHARS`` together (a longer text is alone)."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > BATCH_CHARS:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
-
-
 def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """One row per input row: ``doc_id, ids array<int>, decoded string``.
 
@@ -205,7 +164,7 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         coder = _coder(tokenizer_file)
         for f in frames:
             at = 0
-            for texts in _batches([t or "" for t in f["text"]]):
+            for texts in text_batches([t or "" for t in f["text"]]):
                 ids = coder.encode(texts)
                 yield pd.DataFrame({"doc_id": f["doc_id"].iloc[at:at + len(texts)].to_numpy(), "ids": ids,
                                     "decoded": [coder.decode(i) for i in ids]})
@@ -221,7 +180,7 @@ def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         coder = _coder(tokenizer_file)
         for f in frames:
             ids_hash, text_hash, n = [], [], []
-            for texts in _batches([t or "" for t in f["text"]]):
+            for texts in text_batches([t or "" for t in f["text"]]):
                 for ids in coder.encode(texts):
                     n.append(len(ids))
                     ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())

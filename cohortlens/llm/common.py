@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,44 @@ def split_words(c: Column, separators: str = ASCII_SPACE) -> Column:
     head = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
     tail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
     return F.slice(parts, head + 1, F.greatest(F.size(parts) - head - tail, F.lit(0)))
+
+
+BATCH_CHARS = 1 << 21
+
+
+def text_batches(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``BATCH_CHARS`` together (a longer text is alone)."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > BATCH_CHARS:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
+class Memo:
+    """A dict bounded in bytes: when the younger half is full it becomes the older half, whose
+    entries return to the younger one when they are asked for."""
+
+    def __init__(self, limit: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.limit, self.size = limit // 2, 0
+
+    def get(self, key: str, default=None):
+        if key in self.young:
+            return self.young[key]
+        if key in self.old:
+            value = self.old[key]
+            self.put(key, value, 64)
+            return value
+        return default
+
+    def put(self, key: str, value, n_bytes: int) -> None:
+        self.size += 2 * len(key) + n_bytes + 200
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value

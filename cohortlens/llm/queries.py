@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chunk_bpe, fuzzy_lines, language, leak_search, licenses, simhash, target_ratio, url_templates
+from cohortlens.llm import chunk_bpe, fuzzy_lines, language, leak_search, licenses, pseudonyms, simhash, target_ratio, trie_counts, url_templates
 from cohortlens.llm.common import table, tokenizer_file
 
 
@@ -18,6 +18,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.replace_private(table(spark, sf_dir, "documents"))
+
+
+def op4_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
@@ -44,7 +52,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_simhash_dedup, op5_url_templates, op6_chunk_bpe, op7_target_ratio, op8_leak_search, op9_language,
+    op1_license_scan, op2_simhash_dedup, op3_pseudonyms, op4_trie_counts, op5_url_templates, op6_chunk_bpe, op7_target_ratio, op8_leak_search, op9_language,
     op10_fuzzy_lines)}
 
 ORACLES = {"op1_license_scan": licenses.scan_sql(), "op5_url_templates": url_templates.judge_sql()}
