@@ -81,16 +81,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df, name: str = "cut"):
+def materialize(df, name: str = "cut", **options: str):
     """Cut the lineage by writing ``df`` as a Parquet table in the shared checkpoint folder
     and reading it back (lazily).
 
     One compute pass (an eager ``checkpoint()`` of an uncached plan computes it twice:
     once to count, once to write). Task retries and the job commit protocol make the write
     safe under executor loss; the table lives in ``spark.checkpoint.dir``, never in a
-    machine-local folder.
+    machine-local folder. ``options`` go to the Parquet writer (``compression="zstd"``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.parquet(path)
