@@ -8,8 +8,9 @@ other urls: per host, paths form a tree of segments.
 2. Sibling branches whose share of blocked labels does not differ from the other siblings'
    (two-proportion test, ``Z_LIMIT``; no label: no difference to show) merge into one branch.
 3. A template's purity is its share of blocked labels, smoothed towards its parent's with
-   ``STRENGTH`` pseudo-labels (the host's towards the corpus share). From ``REJECT`` on, the
-   template is rejected and its urls are blocked.
+   ``STRENGTH`` pseudo-labels (the host's towards the corpus share, or one half if that is less,
+   so that a host without labels is not rejected). From ``REJECT`` on, the template is rejected
+   and its urls are blocked.
 
 The tree is built from counts per (host, generalised path); the pages themselves only meet the
 finished templates in one equi-join, which may be split on a hot host.
@@ -75,7 +76,7 @@ def _templates(paths: DataFrame) -> DataFrame:
         named = named.select(*parent, seg, F.when(F.col(seg) == "", "").when(
             (F.col("fan") > FANOUT) | ((F.col("fan") > 1) & ~F.col("differs")), "*").otherwise(F.col(seg)).alias(f"t{k}"))
         tree = materialize(tree.join(named, [*parent, seg]), "url_tree")
-    total = tree.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("q"))
+    total = tree.agg(F.least((F.sum("blocked") + 1) / (F.sum("labelled") + 2), F.lit(0.5)).alias("q"))
     up = tree.groupBy("host").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
     up = up.select("host", ((F.col("bad") + STRENGTH * F.coalesce(total.scalar(), F.lit(0.5)))
                             / (F.col("lab") + STRENGTH)).alias("q"))
@@ -147,7 +148,7 @@ name{k} AS (SELECT {par}, s{k}, CASE WHEN s{k} = '' THEN '' WHEN fan > {FANOUT}
             THEN '*' ELSE s{k} END AS t{k} FROM sib{k}),
 tree{k} AS (SELECT tree{k - 1}.*, name{k}.t{k} FROM tree{k - 1} JOIN name{k} USING ({par}, s{k}))""")
     ctes.append(f"""
-q0 AS (SELECT host, (sum(blocked) + {STRENGTH} * (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) FROM tree{LEVELS}))
+q0 AS (SELECT host, (sum(blocked) + {STRENGTH} * (SELECT least((sum(blocked) + 1) / (sum(labelled) + 2), 0.5) FROM tree{LEVELS}))
               / (sum(labelled) + {STRENGTH}) AS q FROM tree{LEVELS} GROUP BY host)""")
     for k in range(1, LEVELS + 1):
         par, node = (", ".join(["host", *[f"t{i}" for i in range(1, j)]]) for j in (k, k + 1))
