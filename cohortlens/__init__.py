@@ -7,7 +7,6 @@ functions/  column-expression helpers (rates, week rules, time deltas, parsing)
 operators/  reusable relational operators (scope, statistics, as-of / anti / nearest joins)
 plans/      the composite questions (grades, engagement, trends, concepts, segments,
             cohorts, growth, integrity audit) and the 33 data-quality rules
-streaming/  intentionally empty: the reference has no streaming behaviour
 """
 
 from cohortlens.session import build_session, checkpoint_dir  # noqa: F401

@@ -129,7 +129,7 @@ def title_case(c: str | Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(
         F.regexp_extract(p, "^([^a-z]*)", 1),
         F.upper(F.substring(F.regexp_replace(p, "^[^a-z]*", ""), 1, 1)),
-        F.substring(F.regexp_replace(p, "^[^a-z]*", ""), 2, 1 << 20))), "")
+        F.substr(F.regexp_replace(p, "^[^a-z]*", ""), F.lit(2)))), "")
 
 
 def sum0(c: str | Column) -> Column:

@@ -75,9 +75,10 @@ def null_safe_anti(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]
 
     Pairs named in ``null_safe`` compare with ``<=>`` (pandas merges NULL to NULL); the rest
     with ``=``. Spark plans both forms as an equi-join, so this is a shuffle (or AQE
-    broadcast) anti join, never a nested loop.
+    broadcast) anti join, never a nested loop. The right side is first reduced to its distinct
+    keys (a partial aggregate below the exchange), so a hot key is one row there.
     """
-    r = right.select(*[F.col(rc).alias(f"_r_{i}") for i, (_, rc) in enumerate(keys)])
+    r = right.select(*[F.col(rc).alias(f"_r_{i}") for i, (_, rc) in enumerate(keys)]).distinct()
     cond = None
     for i, (lc, _) in enumerate(keys):
         c = (F.col(lc).eqNullSafe(F.col(f"_r_{i}")) if lc in null_safe

@@ -2,27 +2,22 @@
 
 Spark's exact ``percentile`` merges a value→count map per group in one task, so a
 continuous measure over billions of rows (or one group holding a third of them) does not
-fit. Here the exact answer (linear interpolation, pandas/DuckDB ``quantile_cont``) is found
-in passes over a narrow, checkpointed copy of (group, value):
+fit. Here the exact answer (linear interpolation, pandas/DuckDB ``quantile_cont``) always
+comes from the same path:
 
-1. per group: ``count`` and ``percentile_approx`` at p ± δ (a mergeable sketch whose rank
+1. values are counted per (group, value): the shuffle key holds the value, so a hot group is
+   spread over all tasks, and repeated values are combined before the shuffle;
+2. per group: ``count`` and ``percentile_approx`` at p ± δ (a mergeable sketch whose rank
    error is at most n/accuracy, δ = 3/accuracy) → a bracket [lo, hi] around each wanted
-   order statistic;
-2. per group: how many values fall below each ``lo`` (conditional counts, partial
-   aggregates) and the rows inside each bracket — a band of about 6n/accuracy rows,
-   emitted with ``explode`` of the matching bracket indices (no fan-out of all rows);
-3. band rows are collapsed to (value, count) and ranked by a running sum, which yields
-   the two order statistics around p·(n−1) exactly;
-4. a group whose bracket does not contain the ranks (never expected given the sketch's
-   guarantee) falls back to Spark's exact ``percentile`` for that group only.
-
-Memory per task is bounded by the band, not by the group size.
-
-Strategy choice is size-checked, like a broadcast threshold: when Catalyst's estimate of
-the input is at most 64 MiB the single-pass ``percentile`` runs directly; otherwise the
-input is written once, one aggregate gives the largest group's row count, and groups of
-at most ``local_limit`` rows still use the single pass (its map cannot exceed that many
-entries per task); beyond it, the distributed selection above.
+   order statistic (of fewer than ``accuracy`` values: all of them); only sketches are
+   shuffled by group;
+3. per group: how many values lie below each ``lo`` (partial aggregates), and the counted
+   values inside each bracket: a band of about 6n/accuracy rows at most;
+4. the band is ranked by a running sum, which yields the two order statistics around
+   p·(n−1) exactly. The sketch's error bound puts them inside the bracket; should a rank ever
+   lie outside, the query fails instead of returning a wrong value.
+
+Nothing is written and no job runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -32,33 +27,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import materialize as cut_lineage
-
 ACCURACY = 100_000
-LOCAL_LIMIT = 2_000_000
-LOCAL_BYTES = 64 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (no job runs). Without column statistics joins
-    and filters are estimated from input sizes, i.e. over-stated, never under-stated by
-    selectivity guesses."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): assume large
-        return 1 << 62
-
-
-def _single_pass(base: DataFrame, keys: list[str], by: list[str], probs: list[float]) -> DataFrame:
-    return (base.groupBy(*keys)
-                .agg(F.count(F.lit(1)).alias("n"),
-                     F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"))
-                .select(*by, "n", "q"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = ACCURACY, materialize: bool = True,
-                    local_limit: int | None = LOCAL_LIMIT) -> DataFrame:
+                    accuracy: int = ACCURACY) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` and ``q`` (array aligned with ``probs``).
 
     Groups without a non-NULL value produce no row. Without ``by`` the per-group tables
@@ -72,33 +45,26 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     delta = 3.0 / accuracy
     base = df.select(*(by or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v")) \
              .where(F.col("_v").isNotNull())
-    if local_limit is not None and estimated_bytes(base) <= LOCAL_BYTES:
-        # the whole input is provably small: one pass, nothing written
-        return _single_pass(base, keys, by, probs)
-    if materialize:
-        base = cut_lineage(base, "quantile_input")
-    if local_limit is not None:
-        largest = base.groupBy(*keys).count().agg(F.max("count").alias("m")).first().m
-        if largest is None or largest <= local_limit:
-            return _single_pass(base, keys, by, probs)
+    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
 
     def small(d: DataFrame) -> DataFrame:
         return d if by else F.broadcast(d)
 
     lows = [max(0.0, p - delta) for p in probs]
     highs = [min(1.0, p + delta) for p in probs]
-    sk = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+    sk = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
                                  F.percentile_approx("_v", lows + highs, accuracy).alias("_b"))
-    sk = sk.select(*keys, "n", *[F.col("_b")[i].alias(f"_lo{i}") for i in range(k)],
-                   *[F.col("_b")[k + i].alias(f"_hi{i}") for i in range(k)])
-    x = base.join(small(sk), keys, "inner")
+    narrow = F.col("n") >= accuracy  # below, three ranks do not fit in the margin: all values
+    sk = sk.select(*keys, "n",
+                   *[F.when(narrow, F.col("_b")[i]).otherwise(F.col("_mn")).alias(f"_lo{i}") for i in range(k)],
+                   *[F.when(narrow, F.col("_b")[k + i]).otherwise(F.col("_mx")).alias(f"_hi{i}") for i in range(k)])
+    x = counted.join(small(sk), keys, "inner")
     # counts strictly below each bracket (conditional counts, partial aggregates)
-    below = x.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_c{i}") for i in range(k)])
+    below = x.groupBy(*keys).agg(*[F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_cnt")).otherwise(0)).alias(f"_c{i}") for i in range(k)])
     # band rows: each value emits only the indices of the brackets it falls in
     hit = F.filter(F.array(*[F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i))
                              for i in range(k)]), lambda e: e.isNotNull())
-    band = (x.select(*keys, "_v", F.explode(hit).alias("_i"))
-             .groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_cnt")))
+    band = x.select(*keys, "_v", "_cnt", F.explode(hit).alias("_i"))
 
     tcols = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(p).alias("_p"), F.col(f"_c{i}").alias("_below"))
                       for i, p in enumerate(probs)])
@@ -118,14 +84,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
           & ((F.col("_frac") == 0) | F.col("_v1").isNotNull()))
     val = F.when(F.col("_frac") == 0, F.col("_v0")).otherwise(
         F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0")))
-    res = res.select(*keys, "n", "_i", F.when(ok, val).alias("_q"), ok.alias("_ok"))
-
-    # fallback: Spark's exact percentile, only for groups whose brackets missed (none expected)
-    bad = res.where(~F.col("_ok")).select(*keys).distinct()
-    fb = (base.join(small(bad), keys, "left_semi").groupBy(*keys)
-              .agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_fq")))
-    res = (res.join(fb, keys, "left")
-              .withColumn("_q", F.coalesce(F.col("_q"), F.element_at(F.col("_fq"), F.col("_i") + 1))))
+    miss = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    res = res.select(*keys, "n", "_i", F.when(ok, val).otherwise(miss).alias("_q"))
     out = (res.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_a"))
               .select(*by, "n", F.transform("_a", lambda s: s["_q"]).alias("q")))
     return out

@@ -37,6 +37,7 @@ def clean_roster(t, dummy_groups=q.DUMMY_GROUPS, max_age: int = q.MAX_AGE) -> Da
     r = r.withColumn("email", F.when(email.rlike(q.EMAIL_PATTERN), email))
     # 25: gender contradicting the name reference → the reference value
     look = dirty.name_gender_lookup(t)
+    look = look.where(F.col("full_name") != PLACEHOLDER_NAME)
     r = (r.join(look, "full_name", "left")
           .withColumn("gender", F.coalesce("true_gender", "gender")).drop("true_gender"))
     return r
@@ -61,14 +62,15 @@ def clean_attendance(t, days=q.SCHEDULE_DAYS) -> DataFrame:
     # 19: schema generations; 20: canonical status spelling
     a = q.unify_batches(old, new, {"session_datetime": "datetime"})
     a = a.withColumn("status", q.canonical(F.col("status")))
+    # 10: one record per student and original second (the lowest record id), before rule 8
+    # moves sessions: rows that only the move makes equal are both genuine
+    a = a.withColumn("_sec", floor_ntz("session_datetime", "second"))
+    a = q.dedupe_by_key(a, ["student_id", "_sec"], order=["record_id"]).drop("_sec")
     # 8: sessions on unscheduled weekdays move to the nearest earlier scheduled day
     a = a.withColumn("session_datetime", q.nearest_scheduled_day(F.col("session_datetime"), days))
     # 9: flag sessions after the course end
     a = a.withColumn("after_course_end",
                      F.coalesce(F.col("session_datetime") > F.lit(q.COURSE_END).cast("timestamp_ntz"), F.lit(False)))
-    # 10: one record per student and second (the lowest record id)
-    a = a.withColumn("_sec", floor_ntz("session_datetime", "second"))
-    a = q.dedupe_by_key(a, ["student_id", "_sec"], order=["record_id"]).drop("_sec")
     # 12: flag absences on a day the student was graded
     graded = t.view("assessments").select(F.col("student_id").alias("_s"), F.to_date("date").alias("_d")).distinct() \
         .withColumn("_g", F.lit(True))
@@ -93,7 +95,7 @@ def clean_events(t, term=q.TERM, cap: int = q.MAX_WATCH_SECONDS) -> DataFrame:
 
 
 def clean_concepts(t) -> DataFrame:
-    c = t.view("concepts")
+    c = dirty.concepts_garbled(t).withColumn("concept_name", F.col("raw_concept_name")).drop("raw_concept_name")
     # 18: test ids; 33: garbled names
     ok_id = F.coalesce(F.col("record_id").rlike(q.TEST_ID_PATTERN), F.lit(False))
     ok_text = ~F.coalesce(F.col("concept_name").rlike(q.GARBLED_CLASS), F.lit(False))
@@ -102,10 +104,9 @@ def clean_concepts(t) -> DataFrame:
 
 def clean_documents(t) -> DataFrame:
     d = t.read("documents")
-    # 33: garbled text; 16: full-row copies (ignoring the id) keep the lowest id
-    d = d.where(~F.coalesce(F.col("text").rlike(q.GARBLED_CLASS), F.lit(False)))
-    return (d.groupBy("text", "lang", "source", "n_chars").agg(F.min("doc_id").alias("doc_id"))
-             .select("doc_id", "text", "lang", "source", "n_chars"))
+    # 16: full-row copies (ignoring the id) keep the lowest id; the texts themselves stay in place
+    first = d.groupBy(*q.document_key(d)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return d.join(first, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 CLEANERS = {"roster": clean_roster, "assessments": clean_assessments, "attendance": clean_attendance,

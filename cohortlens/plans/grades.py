@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import materialize
 
 from cohortlens.functions.exprs import is_attended, pct, title_case
 from cohortlens.operators.scope import ALL, Scope
-from cohortlens.operators.quantiles import LOCAL_BYTES, estimated_bytes, exact_quantiles
+from cohortlens.operators.quantiles import exact_quantiles
 from cohortlens.operators.stats import five_number, scalars
 
 
@@ -106,9 +105,7 @@ def assessment_distribution(t, scope: Scope = ALL, bins: int = 10) -> DataFrame:
     """
     g = (graded(t, scope).where(F.col("type").isNotNull() & F.col("score").isNotNull())
          .select("type", F.col("score").cast("double").alias("score")))
-    if estimated_bytes(g) > LOCAL_BYTES:
-        g = materialize(g, "type_scores")   # read by the quantile passes and the histogram
-    s = exact_quantiles(g, "score", [0.0, 0.25, 0.5, 0.75, 1.0], ["type"], materialize=False) \
+    s = exact_quantiles(g, "score", [0.0, 0.25, 0.5, 0.75, 1.0], ["type"]) \
         .select("type", F.col("q")[0].alias("_mn"), F.col("q")[4].alias("_mx"),
                 F.slice("q", 2, 3).alias("_q"))
     width = (F.col("_mx") - F.col("_mn")) / F.lit(float(bins))

@@ -14,7 +14,7 @@ redundant column tests are single-pass aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,12 +180,6 @@ def r06(t):
     return null_safe_anti(li, ref, [("l_partkey", "p_partkey"), ("logged_course", "p_type")]).select("l_orderkey")
 
 
-
-
-
-
-
-
 def r10(t):
     a = t.view("attendance").withColumn("session_datetime", floor_ntz("session_datetime", "second"))
     return duplicate_keys(a, ["student_id", "session_datetime"]).select("student_id", "session_datetime")
@@ -201,7 +195,7 @@ def r11(t):
 def r12(t):
     a = t.view("assessments").withColumn("_d", F.to_date("date"))
     absent = (t.view("attendance").where(lower_eq("status", "absent"))
-              .select(F.col("student_id").alias("_s"), F.to_date("session_datetime").alias("_sd")))
+              .select(F.col("student_id").alias("_s"), F.to_date("session_datetime").alias("_sd")).distinct())
     return a.join(absent, (F.col("student_id") == F.col("_s")) & (F.col("_d") == F.col("_sd")), "left_semi") \
         .select("assessment_id")
 
@@ -212,22 +206,26 @@ def r13(t):
 
 
 def r14(t):
-    c = t.read("customer").select(F.lit(True).alias("is_active"))
-    v = static_columns(c, ["is_active"])
-    return v.where(F.col("static")).select(F.lit(1).alias("static_col"))
+    """The course id is static within every course's export of the roster."""
+    n = t.view("roster_core").groupBy("course_name").agg(F.count_distinct("course_id").alias("n"))
+    return n.agg(F.max("n").alias("n")).where(F.col("n") <= 1).select(F.lit(1).alias("static_col"))
 
 
 def r15(t):
     return duplicate_keys(t.read("lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
 
 
-def r16(t):
-    d = t.read("documents").drop("doc_id")
-    return duplicate_keys(d, ["text", "lang", "source", "n_chars"]).select("text")
-
-
+def document_key(d: DataFrame) -> list[Column]:
+    """Rule 16: a document's content as grouping columns, its text by length and SHA-256, so
+    that no text is a shuffle key."""
+    return [F.length("text").alias("_len"), F.sha2("text", 256).alias("_sha"), d["lang"], d["source"], d["n_chars"]]
 
 
+def r16(t):
+    d = t.read("documents")
+    first = (d.groupBy(*document_key(d)).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > 1).select("doc_id"))
+    return d.join(first, "doc_id", "left_semi").select("text")
 
 
 def unify_batches(old: DataFrame, new: DataFrame, renames: dict[str, str]) -> DataFrame:
@@ -245,37 +243,11 @@ def r19(t):
     return u.where("_renamed").select("record_id")
 
 
-
-
-
-
-
-
-
-
-
-
 def r25(t):
     r = dirty.roster_dirty(t).join(dirty.name_gender_lookup(t), "full_name")
     return r.where(F.col("gender") != F.col("true_gender")).select("student_id")
 
 
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
 # ------------------------------------------------------------------ single-view filter rules
 # Most rules are a predicate over one (dirtied) view. Findings are the matching rows; the
 # report counts every predicate of a view in ONE conditional-aggregate pass over it.
@@ -290,8 +262,7 @@ FRAMES: dict[str, Callable] = {
     "roster": dirty.roster_dirty,                      # roster + raw ages, raw email, gender
     "assessments": _assessments_audit,                 # assessments + is_late, max_score, raw_score, id_prefix
     "events": dirty.events_long_watch,                 # events + raw_duration
-    "concepts": lambda t: t.view("concepts"),
-    "documents": lambda t: t.read("documents"),
+    "concepts": dirty.concepts_garbled,                # concepts + raw_concept_name
 }
 
 
@@ -324,7 +295,7 @@ PREDICATES: dict[int, tuple[str, Callable[[], Column], tuple[str, ...]]] = {
     31: ("assessments", lambda: F.col("raw_score").isNull() | (F.col("raw_score") < 0) | (F.col("raw_score") > 100),
          ("assessment_id",)),
     32: ("events", _outside_term, ("event_id",)),
-    33: ("documents", lambda: F.col("text").rlike(GARBLED_CLASS), ("doc_id",)),
+    33: ("concepts", lambda: F.col("raw_concept_name").rlike(GARBLED_CLASS), ("record_id",)),
 }
 
 
@@ -360,7 +331,7 @@ RULES: tuple[Rule, ...] = (
     Rule(11, "repeated submissions", "submissions", "dropped", r11),
     Rule(12, "absent but graded", "assessments", "flagged", r12),
     Rule(13, "redundant columns", "roster", "dropped", r13),
-    Rule(14, "static columns", "students", "dropped", r14),
+    Rule(14, "static columns", "roster", "dropped", r14),
     Rule(15, "primary-key duplicates", "lineitem", "dropped", r15),
     Rule(16, "full-row duplicates", "documents", "dropped", r16),
     Rule(17, "dummy groups", "roster", "dropped", predicate_findings(17)),
@@ -379,7 +350,7 @@ RULES: tuple[Rule, ...] = (
     Rule(30, "ten-point max score", "assessments", "fixed", predicate_findings(30)),
     Rule(31, "scores out of range", "assessments", "fixed", predicate_findings(31)),
     Rule(32, "outside the term", "events", "dropped", predicate_findings(32)),
-    Rule(33, "garbled text", "documents", "dropped", predicate_findings(33)),
+    Rule(33, "garbled text", "concepts", "dropped", predicate_findings(33)),
 )
 
 
@@ -394,9 +365,10 @@ def dq_report(t, share_views: bool = True) -> DataFrame:
     Single-view filter rules are counted in one conditional-aggregate pass per view; the
     join-derived views that several rules still read (attendance, assessments) are, with
     ``share_views``, written once to the shared checkpoint folder so no rule re-derives
-    their fact-to-fact joins.
+    their fact-to-fact joins. The caller's handle keeps its own views.
     """
     if share_views:
+        t = replace(t, _views=dict(t._views))
         for v in SHARED_VIEWS:
             t.materialize(f"shared_{v}", lambda v=v: t.view(v))
             t._views[v] = t._views[f"shared_{v}"]

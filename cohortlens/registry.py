@@ -468,6 +468,8 @@ reg("audit_exploit_summary", partial(integrity.exploit_summary, event_types=("lo
          UNION ALL SELECT 'Ghost Submissions', (SELECT count(*) FROM ({_GHOST}) g))
     SELECT exploit, flags, CASE WHEN flags = 0 THEN 'clean' ELSE 'alert' END AS status FROM c""",
     "raw_submissions", "learn_events"))
+_GHOST_ANY = _GHOST.replace("e.event_type = 'login' AND ", "")
+reg("audit_ghost_submissions_any", integrity.ghost_submissions, W(_GHOST_ANY, "raw_submissions", "learn_events"))
 reg("audit_sixty_boundary", integrity.sixty_boundary, W(
     """SELECT count_if(lower(mastery_status) = 'passed') AS passed, count_if(lower(mastery_status) = 'failed') AS failed
     FROM concepts WHERE score_pct = 60""", "concepts"))
@@ -512,8 +514,8 @@ _RULE_SQL: dict[int, tuple[str, tuple[str, ...]]] = {
          ("assessments", "attendance")),
     13: ("SELECT 1 AS redundant FROM roster HAVING sum(CASE WHEN course_id = course_name THEN 0 ELSE 1 END) = 0",
          ("roster",)),
-    14: ("SELECT 1 AS static_col FROM (SELECT true AS is_active FROM customer) t "
-         "HAVING count(DISTINCT is_active) <= 1", ()),
+    14: ("SELECT 1 AS static_col FROM (SELECT course_name, count(DISTINCT course_id) AS n FROM roster "
+         "GROUP BY course_name) x HAVING max(n) <= 1", ("roster",)),
     15: ("SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1", ()),
     16: ("SELECT text FROM documents GROUP BY text, lang, source, n_chars HAVING count(*) > 1", ()),
     17: ("SELECT student_id FROM roster WHERE group_id = 'BUILDING-NATION_9'", ("roster",)),
@@ -542,7 +544,8 @@ _RULE_SQL: dict[int, tuple[str, tuple[str, ...]]] = {
          "FROM assessments) t WHERE score IS NULL OR score < 0 OR score > 100", ("assessments",)),
     32: ("SELECT event_id FROM learn_events WHERE event_datetime < TIMESTAMP '2024-01-03 00:00:00' OR "
          "event_datetime >= TIMESTAMP '2024-01-28 00:00:00'", ("learn_events",)),
-    33: ("SELECT doc_id FROM documents WHERE regexp_matches(text, '[ÃÂ¤â‚¬@?]')", ()),
+    33: ("SELECT record_id FROM concepts WHERE student_id % 97 = 0 OR regexp_matches(concept_name, '[ÃÂ¤â‚¬@?]')",
+         ("concepts",)),
 }
 _RULE_ROUND = {3: ("score",)}
 
@@ -580,8 +583,9 @@ reg("clean_roster", cleaning.clean_roster, W(
            course_name, group_id, instructor, stated_num_students, gender FROM rr)
     SELECT fx.student_id, fx.full_name, fx.email, fx.age, fx.course_name, fx.group_id, fx.instructor,
            fx.stated_num_students, COALESCE(lk.true_gender, fx.gender) AS gender
-    FROM fx LEFT JOIN (SELECT c_name AS full_name, c_custkey % 2 AS true_gender FROM customer) lk
-      ON lk.full_name = fx.full_name""", "roster"))
+    FROM fx LEFT JOIN (SELECT c_name AS full_name, min(c_custkey % 2) AS true_gender FROM customer
+      GROUP BY c_name HAVING count(DISTINCT c_custkey % 2) = 1) lk
+      ON lk.full_name = fx.full_name AND lk.full_name <> 'Unknown'""", "roster"))
 
 reg("clean_assessments", cleaning.clean_assessments, W(
     """, ra AS (SELECT assessment_id, student_id,
@@ -603,11 +607,11 @@ reg("clean_attendance", cleaning.clean_attendance, W(
     """, a0 AS (SELECT record_id, student_id, CASE WHEN record_id % 3 = 0 THEN upper(concat(status, ' '))
            ELSE status END AS raw_status, session_datetime FROM attendance),
     a1 AS (SELECT record_id, student_id, COALESCE(CASE lower(trim(raw_status)) WHEN 'attended' THEN 'Attended'
-           WHEN 'absent' THEN 'Absent' END, raw_status) AS status,
-           CASE dayofweek(session_datetime) WHEN 0 THEN session_datetime - INTERVAL 2 DAY
-                WHEN 6 THEN session_datetime - INTERVAL 1 DAY ELSE session_datetime END AS session_datetime FROM a0),
-    a2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY student_id, session_datetime
-           ORDER BY record_id, status) AS rn FROM a1) x WHERE rn = 1),
+           WHEN 'absent' THEN 'Absent' END, raw_status) AS status, session_datetime AS planted FROM a0),
+    a2 AS (SELECT record_id, student_id, status, CASE dayofweek(planted) WHEN 0 THEN planted - INTERVAL 2 DAY
+                WHEN 6 THEN planted - INTERVAL 1 DAY ELSE planted END AS session_datetime
+           FROM (SELECT *, row_number() OVER (PARTITION BY student_id, date_trunc('second', planted)
+                 ORDER BY record_id, status) AS rn FROM a1) x WHERE rn = 1),
     gd AS (SELECT DISTINCT student_id, CAST(date AS DATE) AS d FROM assessments)
     SELECT record_id, student_id, status, session_datetime,
            COALESCE(session_datetime > TIMESTAMP '2001-01-01 00:00:00', false) AS after_course_end,
@@ -626,11 +630,11 @@ reg("clean_events", cleaning.clean_events, W(
 
 reg("clean_concepts", cleaning.clean_concepts, W(
     """SELECT * FROM concepts WHERE COALESCE(regexp_matches(record_id, '^CP[0-9]+$'), false)
-      AND NOT COALESCE(regexp_matches(concept_name, '[ÃÂ¤â‚¬@?]'), false)""", "concepts", round_cols=("score_pct",)))
+      AND COALESCE(student_id % 97 <> 0, true) AND NOT COALESCE(regexp_matches(concept_name, '[ÃÂ¤â‚¬@?]'), false)""", "concepts", round_cols=("score_pct",)))
 
 reg("clean_documents", cleaning.clean_documents, W(
     """SELECT min(doc_id) AS doc_id, text, lang, source, n_chars FROM documents
-    WHERE NOT COALESCE(regexp_matches(text, '[ÃÂ¤â‚¬@?]'), false) GROUP BY text, lang, source, n_chars"""))
+    GROUP BY text, lang, source, n_chars"""))
 
 
 # ---------------------------------------------------------------- scoped variants

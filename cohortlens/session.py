@@ -30,10 +30,12 @@ def cluster_settings(total_cores: int, input_bytes: int) -> dict[str, str]:
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "cohortlens", extra: dict[str, str] | None = None) -> SparkSession:
+                  app_name: str = "cohortlens", extra: dict[str, str] | None = None,
+                  total_cores: int | None = None, input_bytes: int = 0) -> SparkSession:
     """Return (or create) a session with the settings every plan assumes.
 
-    UTC session time zone (timestamps are wall-clock NTZ in the inputs), ANSI on (Spark 4
+    With ``total_cores`` the partition sizes of ``cluster_settings`` apply. UTC session time
+    zone (timestamps are wall-clock NTZ in the inputs), ANSI on (Spark 4
     default; all rates go through ``try_divide``), AQE with partition coalescing and
     skew-join splitting, and no UI server.
     """
@@ -50,7 +52,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
+    sized = cluster_settings(total_cores, input_bytes) if total_cores else {}
+    for k, v in (sized | (extra or {})).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

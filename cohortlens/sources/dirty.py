@@ -16,6 +16,7 @@ CHAIN_BREAK_MOD, CHAIN_BREAK_COURSE = 40, "HOUSEHOLD"
 FOREIGN_CONCEPT_MOD, FOREIGN_CONCEPT_COURSE = 60, "SMALL"
 BAD_PREFIX_MOD, BAD_PREFIX = 70, "ZZ"
 RENAMED_BEFORE = "1998-01-01 00:00:00"
+GARBLED_MOD = 97
 STATUS_FORMAT_MOD = 3
 NEG_AGE_MOD, HIGH_AGE_MOD, HIGH_AGE_ADD = 45, 60, 150
 BAD_EMAIL_MOD, BAD_EMAIL = 33, "missing@"
@@ -78,8 +79,18 @@ def roster_dirty(t) -> DataFrame:
 
 
 def name_gender_lookup(t) -> DataFrame:
-    """Name → gender reference (parity of the id stands in for the true gender)."""
-    return t.read("customer").select(F.col("c_name").alias("full_name"), (F.col("c_custkey") % 2).alias("true_gender"))
+    """Name → gender reference (parity of the id stands in for the true gender), one row per
+    name; names that stand for both genders are left out."""
+    g = t.read("customer").select(F.col("c_name").alias("full_name"), (F.col("c_custkey") % 2).alias("g"))
+    return (g.groupBy("full_name").agg(F.min("g").alias("true_gender"), F.max("g").alias("_other"))
+             .where(F.col("true_gender") == F.col("_other")).drop("_other"))
+
+
+def concepts_garbled(t) -> DataFrame:
+    """Concept log with garbled names for the students of every 97th id."""
+    return t.view("concepts").withColumn(
+        "raw_concept_name", F.when(F.col("student_id") % GARBLED_MOD == 0, F.concat("concept_name", F.lit("Ã¤")))
+        .otherwise(F.col("concept_name")))
 
 
 def assessments_dirty(t) -> DataFrame:

@@ -1,10 +1,9 @@
 """Nested grade documents (S4 read, S7 flatten) and the replace-publish sink.
 
 The raw grade export is one JSON document per student holding a list of grade objects.
-We write and read JSON *Lines* (splittable, unlike a top-level array read with
-``multiLine``). The writer nests per (student, day, run of at most 1,000 input rows)
-rather than per student, so no document grows with a hot student's history; the reader
-and flattener accept any document grain.
+We write JSON *Lines* (splittable); the reader also takes a file that holds one top-level
+array. The writer nests per (student, day) rather than per student, so no document grows
+with a student's whole history; the reader and flattener accept any document grain.
 """
 
 from __future__ import annotations
@@ -27,23 +26,14 @@ GRADES_DOC = T.StructType([
 ])
 
 
-DOC_MAX = 1000
-
-
-def nest_grades(flat: DataFrame, doc_max: int = DOC_MAX) -> DataFrame:
-    """(student_id, type, date, score[, max_score]) → documents (student_id, grades[]).
-
-    Documents are keyed by (student, day, run of ``doc_max`` consecutive input rows), so no
-    document holds more than ``doc_max`` grades even when one student and day carry a
-    third of all rows.
-    """
+def nest_grades(flat: DataFrame) -> DataFrame:
+    """(student_id, type, date, score[, max_score]) → documents (student_id, grades[]), one
+    document per student and day."""
     ms = F.col("max_score") if "max_score" in flat.columns else F.lit(None).cast("double")
     g = flat.select("student_id", F.to_date("date").alias("_day"),
-                    F.floor(F.monotonically_increasing_id() / doc_max).alias("_run"),
                     F.struct(F.col("type").cast("string").alias("type"), F.col("date").cast("string").alias("date"),
                              F.col("score").cast("double").alias("score"), ms.alias("max_score")).alias("_g"))
-    return (g.groupBy("student_id", "_day", "_run").agg(F.collect_list("_g").alias("grades"))
-             .drop("_day", "_run"))
+    return g.groupBy("student_id", "_day").agg(F.collect_list("_g").alias("grades")).drop("_day")
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
@@ -58,9 +48,10 @@ def write_nested_grades(spark: SparkSession, flat: DataFrame) -> str:
     return publish(nest_grades(flat), scratch_path(spark, "raw_grades"), "json")
 
 
-def read_nested_grades(spark: SparkSession, path: str) -> DataFrame:
-    """Declared-schema JSON read (no inference pass)."""
-    return spark.read.schema(GRADES_DOC).json(path)
+def read_nested_grades(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+    """Declared-schema JSON read (no inference pass). ``array_file``: each file holds one
+    top-level array of documents instead of a document per line."""
+    return spark.read.schema(GRADES_DOC).option("multiLine", array_file).json(path)
 
 
 def flatten_grades(docs: DataFrame) -> DataFrame:

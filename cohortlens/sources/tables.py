@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -56,10 +57,12 @@ class Tables:
 
     def read(self, name: str) -> DataFrame:
         schema = SCHEMAS[name]
-        p = self.path(name)
-        if name in OPTIONAL and not os.path.exists(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(p)
+        try:
+            return self.spark.read.schema(schema).parquet(self.path(name))
+        except AnalysisException as e:  # Spark looks the path up, whatever file system it is on
+            if name in OPTIONAL and e.getCondition() == "PATH_NOT_FOUND":
+                return self.spark.createDataFrame([], schema)
+            raise
 
     def __post_init__(self) -> None:
         from cohortlens.session import checkpoint_dir
@@ -86,5 +89,15 @@ class Tables:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S3: header CSV with a declared schema (no inference pass over the data)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """S3: header CSV with a declared schema (no inference pass over the data).
+
+    Columns are matched by the header's names, in any order; a header with other names than
+    the schema's raises. Quoted fields may hold newlines and doubled quotes. A malformed row
+    fails the job rather than turning into NULLs.
+    """
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    header = spark.read.options(**options).csv(path).columns
+    if sorted(header) != sorted(schema.names):
+        raise ValueError(f"the header of {path} is {header}, not {schema.names}")
+    as_written = T.StructType([schema[name] for name in header])
+    return spark.read.options(**options).schema(as_written).csv(path).select(*schema.names)

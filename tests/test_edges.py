@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.exprs import (hours_between, is_attended, rate_pct, title_case, week_ending_monday,
                                         week_start_monday, whole_days_between)
 from cohortlens.operators.joins import asof_backward, nearest_other, null_safe_anti
-from cohortlens.operators.stats import impact, min_max_scale, ols_columns, quantile, quantile_bins
+from cohortlens.operators.stats import impact, min_max_scale, ols_columns, quantile_bins, scalar_quantiles
 
 D = dt.datetime
 
@@ -68,7 +68,7 @@ def test_quantile_bins_duplicate_edges(spark):
 
 def test_p98_linear(spark):
     df = spark.createDataFrame([(x,) for x in (18.0, 19.0, 20.0, 25.0)], "x double")
-    assert df.agg(quantile("x", 0.98).alias("q")).first().q == pytest.approx(24.7)
+    assert df.select(scalar_quantiles(df, "x", {"p98": 0.98})["p98"].alias("q")).first().q == pytest.approx(24.7)
 
 
 def test_slope_and_guards(spark):

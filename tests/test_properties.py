@@ -53,8 +53,7 @@ def test_nearest_other_matches_brute_force(spark, cands, targets):
        probs=st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.98, 1.0]), min_size=1, max_size=3, unique=True))
 def test_distributed_quantiles_match_numpy(spark, values, probs):
     df = spark.createDataFrame(values, "g string, v double")
-    got = {r.g: r.q for r in exact_quantiles(df, "v", probs, ["g"], accuracy=20, local_limit=None,
-                                             materialize=False).collect()}
+    got = {r.g: r.q for r in exact_quantiles(df, "v", probs, ["g"], accuracy=20).collect()}
     for g in {x for x, _ in values}:
         arr = np.array([v for x, v in values if x == g])
         exp = np.percentile(arr, [p * 100 for p in probs], method="linear")

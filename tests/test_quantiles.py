@@ -28,7 +28,7 @@ def _expected(df, by):
 
 @pytest.mark.parametrize("accuracy", [100000, 40])
 def test_grouped_selection_is_exact(data, accuracy):
-    got = {r.g: r.q for r in exact_quantiles(data, "v", PROBS, ["g"], accuracy=accuracy, local_limit=None).collect()}
+    got = {r.g: r.q for r in exact_quantiles(data, "v", PROBS, ["g"], accuracy=accuracy).collect()}
     exp = _expected(data, ["g"])
     assert set(got) == set(exp)
     for g in exp:
@@ -36,16 +36,14 @@ def test_grouped_selection_is_exact(data, accuracy):
 
 
 def test_global_selection_is_exact(data):
-    r = exact_quantiles(data, "v", PROBS, accuracy=40, local_limit=None).first()
+    r = exact_quantiles(data, "v", PROBS, accuracy=40).first()
     assert r.q == pytest.approx(_expected(data, [])[None], abs=1e-9)
     assert r.n == 5004
 
 
-def test_small_groups_take_the_single_pass_path(data):
-    got = {r.g: r.q for r in exact_quantiles(data, "v", PROBS, ["g"]).collect()}
-    exp = _expected(data, ["g"])
-    for g in exp:
-        assert got[g] == pytest.approx(exp[g], abs=1e-9)
+def test_no_job_and_no_group_only_shuffle(spark, data):
+    plan = exact_quantiles(data, "v", PROBS, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "hashpartitioning(g#" in plan and "_v#" in plan
 
 
 def test_five_number_exact_and_sketch_paths(spark, data):

@@ -1,6 +1,8 @@
 """Session helpers: the shared checkpoint folder is read from the session, and cluster
 partition sizing follows cores and volume."""
 
+import pytest
+
 from cohortlens.session import checkpoint_dir, cluster_settings, materialize, scratch_path
 
 
@@ -22,3 +24,20 @@ def test_cluster_settings_scale_with_cores_and_volume():
     assert int(small["spark.sql.shuffle.partitions"]) == 200
     assert int(big["spark.sql.shuffle.partitions"]) == 51200
     assert big["spark.sql.files.maxPartitionBytes"] == str(512 << 20)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://shared/folder"
+    assert checkpoint_dir(Session()) == "hdfs://shared/folder"
+    assert "spark.checkpoint.dir" not in Conf({"spark.master": "local-cluster[2,1,1024]"})
+    Session.conf = Conf({"spark.master": "local-cluster[2,1,1024]"})
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())

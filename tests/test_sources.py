@@ -3,6 +3,8 @@ ingest, and the course/group scope."""
 
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,12 +59,42 @@ def test_scope_filters_roster_and_assessments(spark):
     assert [r.group_id for r in one] == [g[0].group_id]
 
 
-def test_nested_documents_are_bounded(spark):
+def test_nested_documents_per_student_and_day(spark):
     import datetime as dt
-    df = spark.range(2500).select(F.lit(1).cast("long").alias("student_id"), F.lit("quiz").alias("type"),
+    df = spark.range(2500).select((F.col("id") % 2).alias("student_id"), F.lit("quiz").alias("type"),
                                   F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("date"),
-                                  F.col("id").cast("double").alias("score")).coalesce(1)
-    docs = nested.nest_grades(df, doc_max=1000)
-    sizes = [r.n for r in docs.select(F.size("grades").alias("n")).collect()]
-    assert max(sizes) <= 1000 and sum(sizes) == 2500
+                                  F.col("id").cast("double").alias("score"))
+    docs = nested.nest_grades(df)
+    assert sorted(r.n for r in docs.select(F.size("grades").alias("n")).collect()) == [1250, 1250]
     assert nested.flatten_grades(docs).count() == 2500
+
+
+def test_json_array_and_lines_read_alike(spark, tmp_path):
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"student_id": 1, "grades": [{"type": "quiz", "score": 3.0}]}\n{"student_id": 2, "grades": []}\n')
+    array = tmp_path / "array.json"
+    array.write_text("[" + ",\n ".join(lines.read_text().splitlines()) + "]")
+    a = nested.read_nested_grades(spark, str(lines)).orderBy("student_id").collect()
+    assert a == nested.read_nested_grades(spark, str(array), array_file=True).orderBy("student_id").collect()
+    assert [r.student_id for r in a] == [1, 2]
+
+
+def test_optional_table_by_uri(spark, tmp_path):
+    assert Tables(spark, "file://" + SF_SMALL).read("labels").count() == Tables(spark, SF_SMALL).read("labels").count() > 0
+    assert Tables(spark, f"file://{tmp_path}").read("labels").count() == 0
+    with pytest.raises(AnalysisException):
+        Tables(spark, f"file://{tmp_path}").read("customer")
+
+
+def test_csv_by_header(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    path = tmp_path / "a.csv"
+    path.write_text('name,id\n"two\nlines, ""quoted""",7\nplain,8\n')
+    got = read_csv(spark, str(path), schema).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(7, 'two\nlines, "quoted"'), (8, "plain")]
+    path.write_text("name,number\na,1\n")
+    with pytest.raises(ValueError):
+        read_csv(spark, str(path), schema)
+    path.write_text("name,id\na,notanumber\n")
+    with pytest.raises(Exception):
+        read_csv(spark, str(path), schema).collect()
