@@ -36,7 +36,7 @@ from cohortlens.session import materialize
 
 WALKS = 3
 SAMPLES = 3
-SAMPLE_STEPS = 4
+SAMPLE_STEPS = 6
 BITMAP = 1 << 25
 MAX_EDITS = 0.2
 PIECE = 1 << 20  # bytes hashed at a time
@@ -117,8 +117,10 @@ def window_keys(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         keys = [np.full(len(starts), s, np.uint64) for s in seeds]
         at, end = starts.copy(), starts + size
         for step in range(max(int(p[-1]) for p in picks) + 1):
-            word = words[np.minimum(at, end - 1)]
-            word = np.where(at < end, word, np.uint64(0)) if step >= size else word
+            if step < size:  # the pointer is still inside the window
+                word = words[at]
+            else:
+                word = np.where(at < end, words[np.minimum(at, end - 1)], np.uint64(0))
             for k, p in zip(range(SAMPLES), picks):
                 if step in p:
                     keys[k] = (keys[k] ^ word) * np.uint64(FACTOR)
@@ -148,6 +150,25 @@ def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(ends[end]), end - int(np.argmin(back)), end
 
 
+def closest_passage(item: np.ndarray, text: np.ndarray, places, most: int) -> tuple[int, int, int] | None:
+    """The closest passage of at most ``most`` edits that begins near one of ``places``, or none.
+
+    A passage within the limit lies at most that far beside its place and holds all but that
+    many of the item's words; the second condition is tested first, as it needs no alignment.
+    """
+    best = None
+    for p in places:
+        low, high = max(0, p - most - 1), min(len(text), p + len(item) + most + 1)
+        if high <= low or np.isin(item, text[low:high]).sum() < len(item) - most:
+            continue
+        edits, start, end = best_passage(item, text[low:high])
+        if edits <= most and (best is None or edits < best[0]):
+            best = (edits, low + start, low + end)
+            if not edits:
+                break
+    return best
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
@@ -239,28 +260,22 @@ def find(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) ->
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"),
                              benchmark["text"].cast("string").alias("item")).distinct()
     met = materialize(met, "leak_candidates")
+    of_doc = met.join(items, "item_id").groupBy("doc", "row").agg(
+        F.sort_array(F.collect_list(F.struct("item_id", "item", "places"))).alias("items"))
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc, item_id, places, item, text in zip(f["doc"], f["item_id"], f["places"], f["item"], f["text"]):
-                a, b = text_words(item), text_words(text)
-                slack = int(max_edits * len(a))
-                best = None
-                for p in places:
-                    low, high = max(0, p - slack - 1), min(len(b), p + len(a) + slack + 1)
-                    if not len(a) or high <= low:
-                        continue
-                    edits, start, end = best_passage(a, b[low:high])
-                    if best is None or edits < best[0]:
-                        best = (edits, low + start, low + end)
-                    if best[0] == 0:
-                        break
-                if best and best[0] <= slack:
-                    out.append((doc, item_id, best[1], best[2], best[0], len(a)))
+            for doc, candidates, text in zip(f["doc"], f["items"], f["text"]):
+                words = text_words(text)
+                for c in candidates:
+                    item = text_words(c["item"])
+                    best = closest_passage(item, words, c["places"], int(max_edits * len(item)))
+                    if best:
+                        out.append((doc, c["item_id"], *best[1:], best[0], len(item)))
             yield pd.DataFrame(out, columns=["doc", "item_id", "start_word", "end_word", "edits", "item_words"])
 
-    found = (met.join(items, "item_id").join(rows, ["doc", "row"]).select("doc", "item_id", "places", "item", "text")
+    found = (of_doc.join(rows, ["doc", "row"]).select("doc", "items", "text")
              .mapInPandas(verify, "doc long, item_id long, start_word int, end_word int, edits int, item_words int"))
     first = F.min(F.struct("edits", "end_word", "start_word", "item_words")).alias("x")
     return (found.groupBy("doc", "item_id").agg(first)
