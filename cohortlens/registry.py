@@ -652,3 +652,24 @@ reg("concept_failure_rates_building", partial(concepts.concept_failure_rates, sc
 reg("students_per_group_building", partial(grades.students_per_group, scope=_BUILDING), W(
     "SELECT group_id, count(*) AS students FROM roster WHERE group_id IS NOT NULL AND course_name = 'BUILDING' "
     "GROUP BY group_id", "roster"))
+
+_GROUP = Scope(group="BUILDING-NATION_3")
+_EPC = _EP.replace("ep AS (", "ep_all AS (") + ", ep AS (SELECT * FROM ep_all WHERE {where})"
+reg("engagement_profile_building", partial(engagement.engagement_profile, scope=_BUILDING), W(
+    f", {_EPC.replace('{where}', 'course_name = ' + chr(39) + 'BUILDING' + chr(39))} SELECT * FROM ep", *_EV,
+    round_cols=("avg_grade", "attendance_rate", "video_hours")))
+reg("group_attendance_one_group", partial(engagement.group_attendance, scope=_GROUP), W(
+    f""", {_EPC.replace('{where}', 'group_id = ' + chr(39) + 'BUILDING-NATION_3' + chr(39))}, {_PLATFORM},
+    g AS (SELECT group_id || ' (' || course_name || ')' AS group_label, avg(attendance_rate) AS attendance_rate
+          FROM ep WHERE group_id || ' (' || course_name || ')' IS NOT NULL GROUP BY 1)
+    SELECT g.*, pa.platform_avg, COALESCE(g.attendance_rate >= pa.platform_avg, false) AS at_or_above_platform
+    FROM g CROSS JOIN pa""", *_EV, round_cols=("attendance_rate", "platform_avg")))
+reg("phantom_seats_building", partial(cohorts.phantom_seats, scope=_BUILDING), W(
+    """SELECT group_id, count(*) AS verified_count, max(stated_num_students) AS stated_count,
+       max(stated_num_students) - count(*) AS phantom_seats FROM roster
+    WHERE group_id IS NOT NULL AND course_name = 'BUILDING' GROUP BY group_id""", "roster"))
+reg("monthly_group_scores_one_group", partial(cohorts.monthly_group_scores, scope=_GROUP), W(
+    f", {_MG} SELECT * FROM mg WHERE group_id = 'BUILDING-NATION_3'", "assessments", round_cols=("avg_score",)))
+reg("enrollment_history_building", partial(growth.enrollment_history, scope=_BUILDING), W(
+    f", {_WIN.replace('en AS (SELECT * FROM roster WHERE enrollment_date IS NOT NULL)', 'en AS (SELECT * FROM roster WHERE enrollment_date IS NOT NULL AND course_name = ' + chr(39) + 'BUILDING' + chr(39) + ')')} "
+    "SELECT * FROM hist", *_GV))
