@@ -9,9 +9,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from cohortlens.session import build_session
-    s = build_session("local[4]", shuffle_partitions=4, app_name="cohortlens-tests")
+    s = build_session("local[4]", shuffle_partitions=4, app_name="cohortlens-tests",
+                      extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
     s.stop()
 
