@@ -1,7 +1,8 @@
 """Connected components of an edge table: distributed union-find by contraction.
 
 Each round renames every node by a bijective bit mix, hooks it to the smallest name in its
-closed neighbourhood, and rewrites the edges between the hooks; edges inside a class vanish.
+closed neighbourhood and on to that node's hook, and rewrites the edges between the hooks;
+edges inside a class vanish.
 Every step is a grouped minimum (map-side combined, so a node with any number of links
 sends one row per task) or an equi-join that AQE may split; no class is ever gathered.
 The mix makes each round's order independent of the ids, so long chains shrink by a
@@ -37,9 +38,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = (e.select(F.col("src").alias("node"), F.col("dst").alias("other"))
                  .union(e.select(F.col("dst").alias("node"), F.col("src").alias("other"))))
-        hook = materialize(
-            both.groupBy("node").agg(F.min(_mix(F.col("other"), salt)).alias("m"))
-                .select("node", F.least("m", _mix(F.col("node"), salt)).alias("hook")), "hooks")
+        near = (both.groupBy("node").agg(F.min(_mix(F.col("other"), salt)).alias("m"))
+                .select("node", _mix(F.col("node"), salt).alias("name"), "m")
+                .select("node", "name", F.least("m", "name").alias("hook")))
+        next_ = near.select(F.col("name").alias("hook"), F.col("hook").alias("hook2"))
+        hook = materialize(near.join(next_, "hook").select("node", F.col("hook2").alias("hook")), "hooks")
         a = hook.select(F.col("node").alias("src"), F.col("hook").alias("a"))
         b = hook.select(F.col("node").alias("dst"), F.col("hook").alias("b"))
         e = materialize(e.join(a, "src").join(b, "dst").where("a <> b")
