@@ -58,3 +58,17 @@ def components(edges: DataFrame) -> DataFrame:
         names = names.join(step, "hook", "left").select("node", F.coalesce("next", "hook").alias("hook"))
     smallest = names.groupBy("hook").agg(F.min("node").alias("component"))
     return names.join(smallest, "hook").select("node", "component")
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` components (as ``components`` returns them) after further ``links(src, dst)``: only
+    the classes that the links touch are united, the rest is carried over."""
+    own = known.select(F.col("node").alias("src"), F.col("component").alias("a"))
+    other = known.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    between = links.join(own, "src", "left").join(other, "dst", "left").select(
+        F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+    united = components(between).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    ends = links.select(F.col("src").alias("node"), F.col("src").alias("component")).union(
+        links.select(F.col("dst").alias("node"), F.col("dst").alias("component")))
+    every = known.union(ends).groupBy("node").agg(F.min("component").alias("component"))
+    return every.join(united, "component", "left").select("node", F.coalesce("into", "component").alias("component"))

@@ -70,6 +70,12 @@ def test_line_dedup_of_odd_rows(spark):
     assert [tuple(x) for x in dropped[7]] == [(0, 1, 0)] and [tuple(x) for x in dropped[6]] == [(0, 5, 0)]
 
 
+def test_lines_of_negative_ids(spark):
+    d = spark.createDataFrame([(-5, "b\na common line"), (-2, "x\ny\na common line")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.dropped] for r in fuzzy_lines.line_classes(d).collect()}
+    assert got == {-5: [], -2: [(2, -5, 1)]}
+
+
 def test_quality_of_odd_rows(spark):
     got = {r.doc_id: r for r in target_ratio.judge(frame(spark, ROWS), labels(spark)).collect()}
     assert got[2].n_words == got[3].n_words == got[4].n_words == 0 and not got[2].kept and got[2].score == 0
