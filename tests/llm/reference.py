@@ -73,7 +73,12 @@ def line_shingles(line):
     return frozenset((a, b[:6]) for a, b in zip(w, [*w[1:], ""]))
 
 
-def dropped_lines(docs, threshold=0.8):
+def character_shingles(line):
+    s = " ".join(words(line))
+    return {s[i:i + 5] for i in range(max(1, len(s) - 4))}
+
+
+def dropped_lines(docs, threshold=0.8, shingles=line_shingles):
     """doc_id to the list of (line_no, class_doc, class_line) it loses."""
     first, places = {}, []
     for i, t in sorted(docs, key=lambda d: d[0]):
@@ -83,7 +88,7 @@ def dropped_lines(docs, threshold=0.8):
                 first.setdefault(line, (i, n))
     sets, holders, classes = {}, defaultdict(list), Sets()
     for line in first:
-        sets[line] = line_shingles(line)
+        sets[line] = shingles(line)
         shared = Counter(o for g in sets[line] for o in holders[g])
         for o, k in shared.items():
             if k >= threshold * (len(sets[line]) + len(sets[o]) - k):

@@ -243,3 +243,23 @@ def test_fuzzy_line_rounds(spark):
            for r in fuzzy_lines.line_classes(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
     want = reference.dropped_lines(lines)
     assert sum(got[n] == want[n] for n, _ in lines) >= 147  # banding misses a pair in 150 at the threshold
+
+
+def test_fuzzy_lines_by_character(docs, texts):
+    """Shingles at every offset: the whole small table against brute force."""
+    got = {r.doc_id: [tuple(x) for x in r.dropped] for r in fuzzy_lines.line_classes(docs).collect()}
+    assert got == reference.dropped_lines(texts, shingles=reference.character_shingles)
+
+
+def test_fuzzy_lines_one_changed_character(spark):
+    """One inner character changed in short lines, in unspaced ones and across piece borders."""
+    rnd = random.Random(11)
+    lines = [" ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(4, 9))) for _ in range(n)) for n in range(10, 18)]
+    lines += ["".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (60, 64, 68, 69, 300)]
+    lines += ["".join(chr(rnd.randrange(0x20000, 0x2A000)) for _ in range(80)), "tiny"]
+    rows = [(n, line) for n, line in enumerate(lines)]
+    rows += [(100 + n, line[:30] + "Z" + line[31:]) for n, line in rows if len(line) > 30] + [(200, " tiny\t"), (201, "tin")]
+    got = {r.doc_id: [tuple(x) for x in r.dropped]
+           for r in fuzzy_lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == reference.dropped_lines(rows, shingles=reference.character_shingles)
+    assert all(got[100 + n] == [(0, n, 0)] for n in range(len(lines) - 1)) and got[200] == [(0, len(lines) - 1, 0)]
