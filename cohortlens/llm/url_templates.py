@@ -3,10 +3,10 @@
 Fixed rules judge first. Their verdicts are also the labels from which the tree judges all
 other urls: per host, paths form a tree of segments.
 
-1. Variable segments become wildcards: runs of digits and long hexadecimal names by their
-   form, and all children of a node with more than ``FANOUT`` distinct ones.
+1. Variable segments become wildcards: runs of digits and long hexadecimal names by their form.
 2. Sibling branches whose share of blocked labels does not differ from the other siblings'
-   (two-proportion test, ``Z_LIMIT``; no label: no difference to show) merge into one branch.
+   (two-proportion test, ``Z_LIMIT``; no label: no difference to show) merge into one branch,
+   however many they are. (``judge_sql`` also merges all children beyond ``FANOUT``.)
 3. A template's purity is its share of blocked labels, smoothed towards its parent's with
    ``STRENGTH`` pseudo-labels (the host's towards the corpus share, or one half if that is less,
    so that a host without labels is not rejected). From ``REJECT`` on, the template is rejected
@@ -74,7 +74,7 @@ def _templates(paths: DataFrame) -> DataFrame:
                       >= {Z_LIMIT} * sqrt((all_bad / all_lab) * (1 - all_bad / all_lab)
                                           * (1 / lab + 1 / (all_lab - lab))) end"""))
         named = named.select(*parent, seg, F.when(F.col(seg) == "", "").when(
-            (F.col("fan") > FANOUT) | ((F.col("fan") > 1) & ~F.col("differs")), "*").otherwise(F.col(seg)).alias(f"t{k}"))
+            (F.col("fan") > 1) & ~F.col("differs"), "*").otherwise(F.col(seg)).alias(f"t{k}"))
         tree = materialize(tree.join(named, [*parent, seg]), "url_tree")
     total = tree.agg(F.least((F.sum("blocked") + 1) / (F.sum("labelled") + 2), F.lit(0.5)).alias("q"))
     up = tree.groupBy("host").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))

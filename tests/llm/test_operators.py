@@ -263,3 +263,13 @@ def test_fuzzy_lines_one_changed_character(spark):
            for r in fuzzy_lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == reference.dropped_lines(rows, shingles=reference.character_shingles)
     assert all(got[100 + n] == [(0, n, 0)] for n in range(len(lines) - 1)) and got[200] == [(0, len(lines) - 1, 0)]
+
+
+def test_url_tree_keeps_a_bad_branch_among_many(spark):
+    """24 clean siblings and a blocked one: the blocked one stays apart."""
+    rules = (("h.com/x/bad/1", "block"), ("h.com/x/c", "allow"))
+    urls = [f"x://h.com/x/bad/1{i}" for i in range(200)] + [f"x://h.com/x/c{chr(97 + i % 24)}/{i}" for i in range(960)]
+    urls += ["x://h.com/x/bad/q", "x://h.com/x/other"]
+    got = {r.path: r for r in url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got["/x/bad/q"].verdict == "block" and got["/x/bad/q"].template.startswith("/x/bad/")
+    assert got["/x/other"].verdict == "allow"
