@@ -6,7 +6,10 @@ other urls: per host, paths form a tree of segments.
 1. Variable segments become wildcards: runs of digits and long hexadecimal names by their form.
 2. Sibling branches whose share of blocked labels does not differ from the other siblings'
    (two-proportion test, ``Z_LIMIT``; no label: no difference to show) merge into one branch,
-   however many they are. (``judge_sql`` also merges all children beyond ``FANOUT``.)
+   however many they are. (``judge_sql`` also merges all children
+   beyond ``FANOUT`` and reads ``LEVELS`` segments only: the same where neither is exceeded.)
+   The first ``LEVELS`` levels are always built; below them a branch goes on as deep as its paths
+   do while its labels disagree, and ends where they all agree or none is left.
 3. A template's purity is its share of blocked labels, smoothed towards its parent's with
    ``STRENGTH`` pseudo-labels (the host's towards the corpus share, or one half if that is less,
    so that a host without labels is not rejected). From ``REJECT`` on, the template is rejected
@@ -18,6 +21,8 @@ finished templates in one equi-join, which may be split on a hot host.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,42 +56,49 @@ def _rule(rules) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def _segment(k: int) -> Column:
-    """The k-th path segment (from 1), variable forms generalised; absent: empty."""
-    part = F.coalesce(F.get(F.split("path", "/"), F.lit(k)), F.lit(""))
-    if k > LEVELS:
-        return part
-    return F.when(part.rlike("^[0-9a-f]{8,}$"), F.lit("<hex>")).otherwise(F.regexp_replace(part, "[0-9]+", "<n>"))
+def _segments() -> Column:
+    """The path's segments, variable forms generalised, without the empty ones at its end."""
+    parts = F.split(F.rtrim("path", F.lit("/")), "/")
+    return F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.when(
+        x.rlike("^[0-9a-f]{8,}$"), F.lit("<hex>")).otherwise(F.regexp_replace(x, "[0-9]+", "<n>")))
 
 
 def _templates(paths: DataFrame) -> DataFrame:
-    """``(host, s1.., labelled, blocked)`` per path to ``(host, s1.., template, purity)``."""
-    keys = ["host", *[f"s{k}" for k in range(1, LEVELS + 1)]]
-    tree = paths
-    for k in range(1, LEVELS + 1):
-        parent, seg = ["host", *[f"t{i}" for i in range(1, k)]], f"s{k}"
-        child = tree.groupBy(*parent, seg).agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
-        whole = child.groupBy(*parent).agg(F.count("*").alias("fan"), F.sum("lab").alias("all_lab"),
-                                           F.sum("bad").alias("all_bad"))
-        named = child.join(whole, parent).withColumn("differs", F.expr(f"""
+    """``(host, segs, labelled, blocked)`` per path to ``(host, segs, template, purity)``."""
+    total = paths.agg(F.least((F.sum("blocked") + 1) / (F.sum("labelled") + 2), F.lit(0.5)).alias("q"))
+    hosts = paths.groupBy("host").agg(((F.sum("blocked") + STRENGTH * F.coalesce(total.scalar(), F.lit(0.5)))
+                                       / (F.sum("labelled") + STRENGTH)).alias("q"))
+    tree = paths.join(hosts, "host").select("*", F.array().cast("array<string>").alias("t"))
+    ended, k = [], 0
+    while True:
+        k += 1
+        child = tree.groupBy("host", "t", F.coalesce(F.get("segs", F.lit(k - 1)), F.lit("")).alias("seg")).agg(
+            F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"), F.max(F.size("segs")).alias("depth"), F.min("q").alias("q"))
+        whole = child.groupBy("host", "t").agg(F.count("*").alias("fan"), F.sum("lab").alias("all_lab"),
+                                               F.sum("bad").alias("all_bad"))
+        named = child.join(whole, ["host", "t"]).withColumn("differs", F.expr(f"""
             case when lab = 0 or all_lab = lab or all_bad = 0 or all_bad = all_lab then false
                  else abs(bad / lab - (all_bad - bad) / (all_lab - lab))
                       >= {Z_LIMIT} * sqrt((all_bad / all_lab) * (1 - all_bad / all_lab)
                                           * (1 / lab + 1 / (all_lab - lab))) end"""))
-        named = named.select(*parent, seg, F.when(F.col(seg) == "", "").when(
-            (F.col("fan") > 1) & ~F.col("differs"), "*").otherwise(F.col(seg)).alias(f"t{k}"))
-        tree = materialize(tree.join(named, [*parent, seg]), "url_tree")
-    total = tree.agg(F.least((F.sum("blocked") + 1) / (F.sum("labelled") + 2), F.lit(0.5)).alias("q"))
-    up = tree.groupBy("host").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
-    up = up.select("host", ((F.col("bad") + STRENGTH * F.coalesce(total.scalar(), F.lit(0.5)))
-                            / (F.col("lab") + STRENGTH)).alias("q"))
-    for k in range(1, LEVELS + 1):
-        node, parent = ["host", *[f"t{i}" for i in range(1, k + 1)]], ["host", *[f"t{i}" for i in range(1, k)]]
-        here = tree.groupBy(*node).agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("bad"))
-        up = here.join(up, parent).select(*node, ((F.col("bad") + STRENGTH * F.col("q")) / (F.col("lab") + STRENGTH)).alias("q"))
-    levels = [f"t{k}" for k in range(1, LEVELS + 1)]
-    path = F.regexp_replace(F.concat_ws("/", F.lit(""), *levels), "/+$", "/")
-    return tree.join(up, ["host", *levels]).select(*keys, path.alias("template"), F.col("q").alias("purity"))
+        named = named.withColumn("name", F.when(F.col("seg") == "", "").when(
+            (F.col("fan") > 1) & ~F.col("differs"), "*").otherwise(F.col("seg")))
+        node = named.groupBy("host", "t", "name").agg(
+            ((F.sum("bad") + STRENGTH * F.min("q")) / (F.sum("lab") + STRENGTH)).alias("q"),
+            (F.lit(k < LEVELS) | ((F.max("depth") > k) & (F.sum("bad") > 0) & (F.sum("bad") < F.sum("lab")))).alias("open"))
+        named = named.select("host", "t", "seg", "name").join(node, ["host", "t", "name"])
+        tree = tree.withColumn("seg", F.coalesce(F.get("segs", F.lit(k - 1)), F.lit(""))).drop("q").join(
+            named, ["host", "t", "seg"])
+        tree = materialize(tree.select("host", "segs", "labelled", "blocked", "q", "open",
+                                       F.concat("t", F.array("name")).alias("t")), "url_tree")
+        if k >= LEVELS:
+            ended.append(tree.where("not open"))
+            tree = tree.where("open")
+            if tree.isEmpty():
+                break
+        tree = tree.drop("open")
+    path = F.regexp_replace(F.concat_ws("/", F.lit(""), F.col("t")), "/+$", "/")
+    return functools.reduce(DataFrame.unionByName, ended).select("host", "segs", path.alias("template"), F.col("q").alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -103,8 +115,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     p = p.withColumn("rule", _rule(rules))
     verdict = F.create_map(*[F.lit(x) for r in rules for x in r])
     p = p.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.try_element_at(verdict, F.col("rule"))))
-    p = p.withColumns({f"s{k}": _segment(k) for k in range(1, LEVELS + 1)})
-    keys = ["host", *[f"s{k}" for k in range(1, LEVELS + 1)]]
+    p = p.withColumn("segs", _segments())
+    keys = ["host", "segs"]
     paths = materialize(p.groupBy(*keys).agg(
         F.count("verdict").alias("labelled"), F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked")), "url_paths")
     templates = materialize(_templates(paths), "url_templates")

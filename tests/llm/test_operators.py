@@ -273,3 +273,17 @@ def test_url_tree_keeps_a_bad_branch_among_many(spark):
     got = {r.path: r for r in url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
     assert got["/x/bad/q"].verdict == "block" and got["/x/bad/q"].template.startswith("/x/bad/")
     assert got["/x/other"].verdict == "allow"
+
+
+def test_url_tree_tells_deep_branches_apart(spark):
+    """Paths that differ first at the fifth segment."""
+    rules = (("h.com/a/b/c/d/bad/1", "block"), ("h.com/a/b/c/d/good/1", "allow"))
+    urls = [f"x://h.com/a/b/c/d/{w}/1{i}" for w in ("bad", "good") for i in range(40)]
+    urls += ["x://h.com/a/b/c/d/bad/q/r/s", "x://h.com/a/b/c/d/good/q", "x://h.com/a/b/c/d", "x://h.com/a/b/c//", "x://k.com/a"]
+    got = {(r.host, r.path): r for r in url_templates.judge(
+        spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert len(got) == len(urls)
+    bad, good = got["h.com", "/a/b/c/d/bad/q/r/s"], got["h.com", "/a/b/c/d/good/q"]
+    assert (bad.verdict, good.verdict) == ("block", "allow")
+    assert bad.template.endswith("/bad") and good.template.endswith("/good")
+    assert got["k.com", "/a"].template == "/a/"
