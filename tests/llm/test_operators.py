@@ -287,3 +287,12 @@ def test_url_tree_tells_deep_branches_apart(spark):
     assert (bad.verdict, good.verdict) == ("block", "allow")
     assert bad.template.endswith("/bad") and good.template.endswith("/good")
     assert got["k.com", "/a"].template == "/a/"
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_labelled_junk_is_rejected(spark, sf):
+    d, labels = (table(spark, f"/root/testdata/{sf}", t) for t in ("documents", "labels"))
+    got = target_ratio.judge(d, labels).where("not base_failed").join(labels, "doc_id")
+    seen = {(r.bad, r.kept): r["count"] for r in got.where("quality = 0 or (quality = 1 and not toxic = 1)")
+            .selectExpr("quality = 0 as bad", "kept").groupBy("bad", "kept").count().collect()}
+    assert seen.keys() == {(True, False), (False, True)}, seen
