@@ -4,8 +4,8 @@ Texts are sequences of words (runs of letters, digits and non-ASCII characters,
 walk reads a window word by word: at every step it emits the word under its pointer, and a random
 bit that depends on the step and on that word decides whether the pointer advances. Windows at
 small edit distance give walks at small Hamming distance, since the pointers meet again soon
-after an edit. Bit-sampling LSH takes a few steps of a walk as a key; ``WALKS`` walks with
-``SAMPLES`` samples each make the chance of missing a leaked passage small.
+after an edit. Bit-sampling LSH takes a few steps of a walk as a key; ``walks``
+with ``SAMPLES`` samples each find items at the edit limit with at least ``TARGET_RECALL``.
 
 Windows are item-sized by class: an item of L words has window size w, the largest power of two
 up to L / 2 (1 at least). Documents are cut into windows of each size at every half
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import materialize
 
-WALKS = 3
+WALKS = 3  # for windows of up to 16 words
 SAMPLES = 3
-SAMPLE_STEPS = 6
+SAMPLE_STEPS = 4
+TARGET_RECALL = 0.99  # of items with MAX_EDITS edits, per item length; tested
 BITMAP = 1 << 25
 MAX_EDITS = 0.2
 PIECE = 1 << 20  # bytes hashed at a time
@@ -99,6 +100,11 @@ def window_size(n_words: int) -> int:
     return 1 << max(0, (n_words // 2).bit_length() - 1)
 
 
+def walks(size: int) -> int:
+    """Longer windows hold more edits: as many more walks as ``TARGET_RECALL`` needs."""
+    return WALKS * max(1, size // 16)
+
+
 @functools.lru_cache(maxsize=256)
 def _plan(size: int, walk: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """A walk's random bits per step, and the sampled steps and salt of each table."""
@@ -111,8 +117,8 @@ def _plan(size: int, walk: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
 
 def window_keys(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """The LSH keys, one row per table, of the windows of ``size`` words at ``starts``."""
-    out = np.empty((WALKS * SAMPLES, len(starts)), np.uint64)
-    for walk in range(WALKS):
+    out = np.empty((walks(size) * SAMPLES, len(starts)), np.uint64)
+    for walk in range(walks(size)):
         salt, picks, seeds = _plan(size, walk)
         keys = [np.full(len(starts), s, np.uint64) for s in seeds]
         at, end = starts.copy(), starts + size

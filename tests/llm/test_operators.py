@@ -296,3 +296,26 @@ def test_labelled_junk_is_rejected(spark, sf):
     seen = {(r.bad, r.kept): r["count"] for r in got.where("quality = 0 or (quality = 1 and not toxic = 1)")
             .selectExpr("quality = 0 as bad", "kept").groupBy("bad", "kept").count().collect()}
     assert seen.keys() == {(True, False), (False, True)}, seen
+
+
+def leak_recall(n_words, n=200, mixed=False):
+    """Share of items of ``n_words`` words, edited up to the limit, that share a key with a document window."""
+    rng, size, found = np.random.default_rng([n_words, mixed]), leak_search.window_size(n_words), 0
+    for _ in range(n):
+        item = rng.integers(0, 1 << 62, n_words).astype(np.uint64)
+        w = list(item)
+        for p in sorted(rng.choice(n_words, int(leak_search.MAX_EDITS * n_words), replace=False), reverse=True):
+            new = np.uint64(rng.integers(0, 1 << 62))
+            w[p:p + 1] = [[new], [], [w[p], new]][rng.integers(0, 3) if mixed else 0]
+        pad = [rng.integers(0, 1 << 62, 40 + rng.integers(0, size)).astype(np.uint64) for _ in range(2)]
+        text = np.concatenate([pad[0], np.array(w, np.uint64), pad[1]])
+        a = leak_search.window_keys(item, np.arange(n_words - size + 1), size)
+        b = leak_search.window_keys(text, np.arange(0, len(text) - size + 1, max(1, size // 2)), size)
+        found += any(np.isin(x, y).any() for x, y in zip(a, b))
+    return found / n
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_leak_recall_at_the_edit_limit(mixed):
+    for n_words in (10, 20, 40, 80, 160):
+        assert leak_recall(n_words, mixed=mixed) >= leak_search.TARGET_RECALL, n_words
