@@ -1,11 +1,12 @@
-"""Registered queries of the ten operators: each over its whole intended table."""
+"""Registered queries of the operators: each over its whole intended table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chunk_bpe, fuzzy_lines, language, leak_search, licenses, pseudonyms, simhash, target_ratio, trie_counts, url_templates
+from cohortlens.llm import (chunk_bpe, filter_audit, fuzzy_lines, language, leak_search, licenses, pseudonyms,
+                            signature_trees, simhash, spelling, target_ratio, trie_counts, url_templates)
 from cohortlens.llm.common import table, tokenizer_file
 
 
@@ -51,8 +52,21 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_trees.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_simhash_dedup, op3_pseudonyms, op4_trie_counts, op5_url_templates, op6_chunk_bpe, op7_target_ratio, op8_leak_search, op9_language,
-    op10_fuzzy_lines)}
+    op10_fuzzy_lines, op11_signature_join, op12_filter_audit, op13_spelling_groups)}
 
-ORACLES = {"op1_license_scan": licenses.scan_sql(), "op5_url_templates": url_templates.judge_sql()}
+ORACLES = {"op1_license_scan": licenses.scan_sql(), "op5_url_templates": url_templates.judge_sql(),
+           "op12_filter_audit": filter_audit.audit_sql()}

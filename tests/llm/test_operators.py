@@ -34,7 +34,7 @@ def test_query_equals_its_sql(spark, name):
     got = llm_queries.QUERIES[name](spark, SF).toPandas()
     want = duckdb.sql(llm_queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    key = "page_id" if "page_id" in got else "doc_id"
+    key = [c for c in ("page_id", "doc_id", "part", "filter_order", "step") if c in got]
     cols = sorted(got.columns)
     clean = lambda df: df[cols].sort_values(key).astype(object).where(lambda x: x.notna(), None).values.tolist()
     for a, b in zip(clean(got), clean(want), strict=True):
