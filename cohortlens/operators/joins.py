@@ -154,3 +154,37 @@ def nearest_other(targets: DataFrame, candidates: DataFrame, key: str, value: st
            .when(has_lo & pick_lo, F.col("_lv")).otherwise(F.col("_hv")))
     return (res.withColumn("nearest_key", nk).withColumn("nearest_value", nv)
                .drop("_tv", "_lo", "_hi", "_eqk", "_lv", "_lk", "_hv", "_hk"))
+
+
+def periods(dim: DataFrame, by: str, valid_from: str) -> DataFrame:
+    """Effective-dated rows with ``valid_to``: each row of a key holds until the key's next one (null: still).
+    Rows without a start are left out; of several with one start the greatest counts."""
+    rest = [c for c in dim.columns if c not in (by, valid_from)]
+    one = (dim.where(F.col(valid_from).isNotNull()).groupBy(by, valid_from)
+           .agg(F.max(F.struct(*rest)).alias("_rest")).select(by, valid_from, *[F.col(f"_rest.{c}").alias(c) for c in rest]))
+    return one.withColumn("valid_to", F.lead(valid_from).over(Window.partitionBy(by).orderBy(valid_from)))
+
+
+def effective_at(facts: DataFrame, dim: DataFrame, by: str, on: str, valid_from: str, bucket_days: int = 64) -> DataFrame:
+    """``facts`` with the columns of the ``dim`` row that is in force for key ``by`` at time ``on`` (null: none).
+
+    No range join: the periods of a key are listed for each bucket of ``bucket_days`` days that they touch
+    (clipped to the span of the facts, so open periods end), and facts meet them on (key, bucket);
+    the exact bounds are tested on the few periods of one bucket. Periods of a key do not
+    overlap, so no row is multiplied. Facts without a key or time have no period.
+    """
+    rest = [c for c in dim.columns if c not in (by, valid_from)]
+    span = facts.agg(F.struct(F.min(on).alias("low"), F.max(on).alias("high"))).scalar()
+    p = (periods(dim, by, valid_from).withColumn("_span", span)
+         .where((F.col(valid_from) <= F.col("_span.high")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_span.low")))))
+
+    def bucket(c: Column) -> Column:
+        return F.floor(day_number(c) / bucket_days).cast("long")
+
+    first = bucket(F.greatest(F.col(valid_from), F.col("_span.low")))
+    last = bucket(F.least(F.coalesce("valid_to", F.col("_span.high")), F.col("_span.high")))
+    listed = p.select(F.col(by).alias("_by"), F.col(valid_from).alias("_from"), F.col("valid_to").alias("_to"),
+                      *[F.col(c).alias(f"_x_{c}") for c in rest], F.explode(F.sequence(first, last)).alias("_b"))
+    hit = ((F.col(by) == F.col("_by")) & (bucket(F.col(on)) == F.col("_b")) & (F.col(on) >= F.col("_from"))
+           & (F.col("_to").isNull() | (F.col(on) < F.col("_to"))))
+    return facts.join(listed, hit, "left").select(*[facts[c] for c in facts.columns], *[F.col(f"_x_{c}").alias(c) for c in rest])

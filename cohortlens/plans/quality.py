@@ -106,7 +106,8 @@ def drop_columns_if(verdict: DataFrame, flag: str) -> list[str]:
 
 
 def parse_with_fallbacks(c: Column, formats: Sequence[str]) -> Column:
-    """Rule 20: first format that parses wins; bad text → NULL."""
+    """First format that parses wins; bad text → NULL. For values without a batch to infer the format
+    from (``operators.formats``)."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
 
 
@@ -138,6 +139,17 @@ def nearest_scheduled_day(ts: Column, days: Sequence[int] = SCHEDULE_DAYS) -> Co
     return ts - F.make_interval(days=back)
 
 
+def nearest_day_of(ts: Column, days: Column) -> Column:
+    """Rule 8 fix for a schedule in a column (bit 0: Sunday): the session's nearest earlier scheduled weekday at
+    the same time; null without a schedule. The highest scheduled bit at or below the session's day, in two weeks
+    of bits side by side, is that day."""
+    at = F.dayofweek(ts) + 6
+    two = days.bitwiseOR(F.shiftleft(days, 7))
+    below = two.bitwiseAND((F.pow(F.lit(2), at + 1) - 1).cast("int"))
+    back = at - F.floor(F.log2(below)).cast("int")
+    return F.when(below > 0, ts - F.make_interval(days=back))
+
+
 # ------------------------------------------------------------------ findings per rule
 def _learn(t):
     return t.view("learn_events")

@@ -636,6 +636,152 @@ reg("clean_documents", cleaning.clean_documents, W(
     """SELECT min(doc_id) AS doc_id, text, lang, source, n_chars FROM documents
     GROUP BY text, lang, source, n_chars"""))
 
+# -- submissions, grades and lines; rules 8 and 9 per group and course; rule 20 per batch
+_NO_GRADE = ("NOT EXISTS (SELECT 1 FROM raw_quiz_grades g WHERE g.student_id = s.student_id "
+             "AND CAST(g.date AS DATE) = CAST(s.submitted_at AS DATE))")
+_NO_LOGIN = ("NOT EXISTS (SELECT 1 FROM learn_events e WHERE e.event_type = 'login' AND e.student_id = s.student_id "
+             "AND CAST(e.event_datetime AS DATE) = CAST(s.submitted_at AS DATE))")
+_NO_ACTIVITY = ("NOT EXISTS (SELECT 1 FROM learn_events e WHERE e.event_type IN ('login', 'video_watch', 'quiz_attempt') "
+                "AND e.student_id = g.student_id AND CAST(e.event_datetime AS DATE) = CAST(g.date AS DATE))")
+reg("clean_submissions", cleaning.clean_submissions, W(
+    f"SELECT student_id, submitted_at, {_NO_GRADE} AS no_grade, {_NO_LOGIN} AS no_login FROM raw_submissions s",
+    "learn_events", "raw_submissions", "raw_quiz_grades"))
+reg("clean_grades", cleaning.clean_grades, W(
+    f"SELECT student_id, type, date, CASE WHEN score IS NOT NULL THEN least(greatest(score, 0), 100) END AS score, "
+    f"{_NO_ACTIVITY} AS no_activity FROM raw_quiz_grades g", "learn_events", "raw_quiz_grades", round_cols=("score",)))
+_LINES = """l0 AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS student_id, l_quantity, l_shipdate,
+        CASE WHEN l_orderkey % 60 = 0 THEN 'SMALL' ELSE p_type END AS logged_course, p_type
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey),
+    l1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l0 WHERE l_orderkey % 85 = 0),
+    l2 AS (SELECT * FROM l1 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+             ORDER BY l_partkey, student_id, logged_course, l_quantity, l_shipdate) = 1),
+    l3 AS (SELECT * EXCLUDE (p_type) FROM l2 WHERE logged_course = p_type)"""
+reg("clean_lines", cleaning.clean_lines, W(
+    f"""WITH {_LINES} SELECT * FROM l3 QUALIFY row_number() OVER (PARTITION BY student_id, l_partkey
+        ORDER BY l_orderkey, l_linenumber, logged_course, l_quantity, l_shipdate) = 1""", round_cols=("l_quantity",)))
+reg("rejected_lines", cleaning.rejected_lines, W(
+    f"""WITH {_LINES} SELECT * EXCLUDE (p_type), 6 AS dropped_by FROM l2
+        WHERE NOT COALESCE(logged_course = p_type, false)""", round_cols=("l_quantity",)))
+
+# Effective-dated schedules: the period in force, and the nearest earlier day of its weekdays.
+_PLANS = """gk AS (SELECT DISTINCT group_id, CAST(stated_num_students - 5 AS INT) AS k FROM roster WHERE group_id IS NOT NULL),
+    pl AS (SELECT group_id, TIMESTAMP '1992-06-01' AS valid_from, 62 - (1 << (k % 5 + 1)) AS days FROM gk
+      UNION ALL SELECT group_id, TIMESTAMP '1995-01-01' + to_days(k * 20), 124 - (1 << (k % 5 + 2)) FROM gk),
+    pr AS (SELECT *, lead(valid_from) OVER (PARTITION BY group_id ORDER BY valid_from) AS valid_to FROM pl),
+    ce AS (SELECT DISTINCT course_id, TIMESTAMP '1998-12-01' - to_days(CAST(length(course_id) * 30 AS INT)) AS course_end FROM roster
+      WHERE course_id IS NOT NULL)"""
+_MOVED = """s.session_datetime - to_days(CAST(list_filter([0, 1, 2, 3, 4, 5, 6], lambda i:
+      ((pr.days >> CAST((dayofweek(s.session_datetime) - i + 7) % 7 AS INT)) & 1) = 1)[1] AS INT))"""
+_IN_FORCE = """LEFT JOIN roster r ON r.student_id = s.student_id
+    LEFT JOIN pr ON pr.group_id = r.group_id AND s.session_datetime >= pr.valid_from
+      AND (pr.valid_to IS NULL OR s.session_datetime < pr.valid_to) LEFT JOIN ce ON ce.course_id = r.course_id"""
+reg("dq_rule_08_by_group", cleaning.off_group_schedule, W(
+    f""", {_PLANS} SELECT s.record_id, s.student_id, s.session_datetime, {_MOVED} AS scheduled FROM attendance s {_IN_FORCE}
+    WHERE s.session_datetime <> {_MOVED}""", "roster", "attendance"))
+reg("dq_rule_09_by_course", cleaning.after_own_course_end, W(
+    f""", {_PLANS} SELECT s.record_id, s.student_id, s.session_datetime, ce.course_end FROM attendance s
+    JOIN roster r ON r.student_id = s.student_id JOIN ce ON ce.course_id = r.course_id
+    WHERE s.session_datetime > ce.course_end""", "roster", "attendance"))
+_ONE_SECOND = """a1 AS (SELECT record_id, student_id, COALESCE(CASE lower(trim(raw_status)) WHEN 'attended' THEN 'Attended'
+           WHEN 'absent' THEN 'Absent' END, raw_status) AS status, session_datetime, raw_status FROM
+         (SELECT *, CASE WHEN record_id % 3 = 0 THEN upper(concat(status, ' ')) ELSE status END AS raw_status FROM attendance)),
+    a2 AS (SELECT * FROM a1 QUALIFY row_number() OVER (PARTITION BY student_id, date_trunc('second', session_datetime)
+           ORDER BY record_id, status, session_datetime) = 1),
+    gd AS (SELECT DISTINCT student_id, CAST(date AS DATE) AS d FROM assessments)"""
+_BY_GROUP = f"""bg AS (SELECT s.record_id, s.student_id, s.status, s.session_datetime AS planted, ce.course_end,
+      COALESCE({_MOVED}, s.session_datetime) AS session_datetime FROM a2 s {_IN_FORCE})"""
+_WHILE_ABSENT = """COALESCE(status = 'Absent' AND EXISTS (SELECT 1 FROM gd WHERE gd.student_id = x.student_id
+    AND gd.d = CAST(x.session_datetime AS DATE)), false)"""
+reg("clean_attendance_by_group", cleaning.clean_attendance_by_group, W(
+    f""", {_PLANS}, {_ONE_SECOND}, {_BY_GROUP}
+    SELECT record_id, student_id, status, session_datetime, COALESCE(session_datetime > course_end, false) AS after_course_end,
+           {_WHILE_ABSENT} AS graded_while_absent FROM bg x""", "roster", "assessments", "attendance"))
+
+_TEXTS = """tx AS (SELECT record_id, strftime(session_datetime, '%Y-%m') AS batch, 
+      CASE (year(session_datetime) * 12 + month(session_datetime)) % 3 WHEN 0 THEN strftime(session_datetime, '%Y-%m-%d %H:%M:%S')
+      WHEN 1 THEN strftime(session_datetime, '%d/%m/%Y %H:%M:%S') ELSE strftime(session_datetime, '%m/%d/%Y %H:%M:%S') END
+      AS session_text FROM attendance),
+    tp AS (SELECT record_id, batch, session_text, try_strptime(session_text, '%Y-%m-%d %H:%M:%S') AS t0,
+      try_strptime(session_text, '%d/%m/%Y %H:%M:%S') AS t1, try_strptime(session_text, '%m/%d/%Y %H:%M:%S') AS t2 FROM tx),
+    tb AS (SELECT batch, count(session_text) AS n_values, count(t0) AS c0, count(t1) AS c1, count(t2) AS c2,
+      greatest(count(t0), count(t1), count(t2)) AS n_parsed FROM tp GROUP BY batch),
+    tf AS (SELECT batch, n_values, n_parsed, CASE WHEN n_parsed = 0 THEN NULL WHEN c0 = n_parsed THEN 'iso'
+        WHEN c1 = n_parsed THEN 'day first' ELSE 'month first' END AS time_format,
+      n_parsed > 0 AND (c0 = n_parsed)::INT + (c1 = n_parsed)::INT + (c2 = n_parsed)::INT > 1 AS ambiguous FROM tb)"""
+reg("session_time_formats", cleaning.session_time_formats, W(
+    f", {_TEXTS} SELECT batch, n_values, time_format, n_parsed, ambiguous FROM tf", "attendance"))
+reg("clean_session_times", cleaning.clean_session_times, W(
+    f""", {_TEXTS} SELECT record_id, tp.batch, time_format, ambiguous,
+      CASE time_format WHEN 'iso' THEN t0 WHEN 'day first' THEN t1 WHEN 'month first' THEN t2 END AS session_datetime
+    FROM tp JOIN tf ON tp.batch IS NOT DISTINCT FROM tf.batch""", "attendance"))
+reg("clean_gender_labels", cleaning.clean_gender_labels, W(
+    """SELECT student_id, CASE WHEN student_id % 41 = 0 THEN NULL WHEN student_id % 2 = 1 THEN 'male' ELSE 'female' END AS gender
+    FROM roster""", "roster"))
+
+# What each rule meets in its place of the order: rows an earlier rule dropped do not count.
+_NAMES = """lk AS (SELECT c_name AS full_name, min(c_custkey % 2) AS true_gender FROM customer
+      GROUP BY c_name HAVING count(DISTINCT c_custkey % 2) = 1)"""
+_ORDERED = f"""{_PLANS}, {_ONE_SECOND}, {_BY_GROUP}, {_LINES}, {_NAMES},
+    r0 AS (SELECT *, CASE WHEN student_id % 33 = 0 THEN 'missing@' ELSE email END AS mail, CASE WHEN student_id % 45 = 0 THEN -age
+        WHEN student_id % 60 = 0 THEN age + 150 ELSE age END AS raw_age, CASE WHEN student_id % 70 = 0 THEN 1 - student_id % 2
+        ELSE student_id % 2 END AS gender FROM roster),
+    r1 AS (SELECT * FROM r0 WHERE NOT COALESCE(group_id = 'BUILDING-NATION_9', false)),
+    s0 AS (SELECT assessment_id, student_id, submitted_at, deadline,
+        CASE WHEN assessment_id % 40 = 0 THEN 'HOUSEHOLD' ELSE course_id END AS logged,
+        CASE WHEN assessment_id % 70 = 0 THEN 'ZZ' ELSE substr(course_id, 1, 2) END AS id_prefix,
+        CASE WHEN assessment_id % 90 = 0 THEN NULL WHEN assessment_id % 91 = 0 THEN -5 WHEN assessment_id % 92 = 0 THEN 140
+             WHEN assessment_id % 25 = 0 THEN score / 10 ELSE score END
+          * CASE WHEN assessment_id % 25 = 0 THEN 10 ELSE 1 END AS scaled FROM assessments),
+    s1 AS (SELECT * FROM s0 WHERE submitted_at IS NOT NULL),
+    s2 AS (SELECT * FROM s1 WHERE COALESCE(id_prefix = substr(logged, 1, 2), false)),
+    a3 AS (SELECT *, CASE dayofweek(session_datetime) WHEN 0 THEN session_datetime - INTERVAL 2 DAY
+        WHEN 6 THEN session_datetime - INTERVAL 1 DAY ELSE session_datetime END AS moved FROM a2),
+    e1 AS (SELECT * FROM learn_events WHERE event_datetime >= TIMESTAMP '2024-01-03 00:00:00'
+        AND event_datetime < TIMESTAMP '2024-01-28 00:00:00')"""
+_SEEN: list[tuple[str, int, str, str]] = [
+    ("roster", 17, "drop", "FROM r0 WHERE group_id = 'BUILDING-NATION_9'"),
+    ("roster", 21, "fix", "FROM r1 WHERE raw_age < 0"),
+    ("roster", 22, "fix", "FROM r1 WHERE abs(raw_age) > 100"),
+    ("roster", 23, "fix", "FROM r1 WHERE NULLIF(trim(full_name), '') IS NULL OR NULLIF(trim(mail), '') IS NULL"),
+    ("roster", 24, "fix", "FROM r1 WHERE NOT regexp_matches(NULLIF(trim(mail), ''), '^[^@ ]+@[^@ ]+[.][^@ ]+$')"),
+    ("roster", 25, "fix", "FROM r1 JOIN lk ON lk.full_name = trim(r1.full_name) WHERE gender <> true_gender"),
+    ("assessments", 26, "drop", "FROM s0 WHERE submitted_at IS NULL"),
+    ("assessments", 27, "fix", "FROM s1 WHERE assessment_id % 30 = 0"),
+    ("assessments", 30, "fix", "FROM s1 WHERE assessment_id % 25 = 0"),
+    ("assessments", 31, "fix", "FROM s1 WHERE scaled IS NULL OR scaled < 0 OR scaled > 100"),
+    ("assessments", 7, "drop", "FROM s1 WHERE NOT COALESCE(id_prefix = substr(logged, 1, 2), false)"),
+    ("assessments", 5, "drop", "FROM s2 WHERE NOT EXISTS (SELECT 1 FROM roster r WHERE r.student_id = s2.student_id AND r.course_id = s2.logged)"),
+    *[(name, rule, does, sql) for name in ("attendance", "attendance_by_group") for rule, does, sql in (
+        (19, "fix", "FROM attendance WHERE session_datetime < TIMESTAMP '1998-01-01'"),
+        (20, "fix", "FROM a1 WHERE raw_status <> status"),
+        (10, "dedupe", "FROM (SELECT * FROM a1 EXCEPT ALL SELECT * FROM a2)"))],
+    ("attendance", 8, "fix", "FROM a3 WHERE moved <> session_datetime"),
+    ("attendance", 9, "flag", "FROM a3 WHERE moved > TIMESTAMP '2001-01-01 00:00:00'"),
+    ("attendance", 12, "flag", f"FROM (SELECT student_id, status, moved AS session_datetime FROM a3) x WHERE {_WHILE_ABSENT}"),
+    ("attendance_by_group", 8, "fix", "FROM bg WHERE planted <> session_datetime"),
+    ("attendance_by_group", 9, "flag", "FROM bg WHERE session_datetime > course_end"),
+    ("attendance_by_group", 12, "flag", f"FROM bg x WHERE {_WHILE_ABSENT}"),
+    ("events", 32, "drop", "FROM (SELECT * FROM learn_events EXCEPT ALL SELECT * FROM e1)"),
+    ("events", 28, "fix", "FROM e1 WHERE duration_seconds < 0"),
+    ("events", 29, "fix", "FROM e1 WHERE abs(duration_seconds * 10) > 97200"),
+    ("events", 1, "drop", "FROM e1 WHERE NOT COALESCE(student_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0), false)"),
+    ("concepts", 18, "drop", "FROM concepts WHERE NOT COALESCE(regexp_matches(record_id, '^CP[0-9]+$'), false)"),
+    ("concepts", 33, "drop", "FROM concepts WHERE COALESCE(regexp_matches(record_id, '^CP[0-9]+$'), false) AND (student_id % 97 = 0 "
+     "OR regexp_matches(concept_name, '[ÃÂ¤â‚¬@?]'))"),
+    ("submissions", 2, "flag", f"FROM raw_submissions s WHERE {_NO_GRADE}"),
+    ("submissions", 4, "flag", f"FROM raw_submissions s WHERE {_NO_LOGIN}"),
+    ("grades", 31, "fix", "FROM raw_quiz_grades WHERE score IS NULL OR score < 0 OR score > 100"),
+    ("grades", 3, "flag", f"FROM raw_quiz_grades g WHERE {_NO_ACTIVITY}"),
+    ("lines", 15, "dedupe", "FROM (SELECT * FROM l1 EXCEPT ALL SELECT * FROM l2)"),
+    ("lines", 6, "drop", "FROM l2 WHERE NOT COALESCE(logged_course = p_type, false)"),
+    ("lines", 11, "dedupe", "FROM (SELECT row_number() OVER (PARTITION BY student_id, l_partkey) AS i FROM l3) WHERE i > 1"),
+]
+reg("cleaning_findings", cleaning.cleaning_findings, W(
+    f", {_ORDERED} " + " UNION ALL ".join(
+        f"SELECT '{name}' AS source_table, {rule} AS rule_id, '{does}' AS disposition, (SELECT count(*) {sql}) AS findings"
+        for name, rule, does, sql in _SEEN), "roster", "assessments", "attendance", "concepts", "learn_events", "raw_submissions",
+    "raw_quiz_grades"))
+
 
 # ---------------------------------------------------------------- scoped variants
 from cohortlens.operators.scope import Scope  # noqa: E402

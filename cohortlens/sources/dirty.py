@@ -25,6 +25,11 @@ LATE_FLIP_MOD = 30
 TEN_POINT_MOD = 25
 NULL_SCORE_MOD, NEG_SCORE_MOD, HIGH_SCORE_MOD = 90, 91, 92
 WATCH_SCALE = 10
+TWICE_MOD = 85
+FIRST_PLAN, SECOND_PLAN, LATER_DAYS = "1992-06-01", "1995-01-01", 20
+WEEKDAYS, TUESDAY_ON = 0b0111110, 0b1111100  # bit 0: Sunday
+LAST_COURSE_END, EARLIER_DAYS = "1998-12-01", 30
+OTHER_GENDER_MOD = 41
 
 
 def known_students(t) -> DataFrame:
@@ -153,3 +158,58 @@ def raw_attendance_batches(t) -> tuple[DataFrame, DataFrame]:
 def raw_events(t) -> DataFrame:
     """Event export: watch time stored in tenths of a second (×10), negatives as is."""
     return t.view("learn_events").withColumn("duration_seconds", F.col("duration_seconds") * WATCH_SCALE)
+
+
+def raw_lines(t) -> DataFrame:
+    """Concept submissions: lines with their student and logged course; every 85th order arrives twice."""
+    li = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+    o = t.read("orders").select("o_orderkey", F.col("o_custkey").alias("student_id"))
+    p = t.read("part").select("p_partkey", "p_type")
+    logged = F.when(F.col("l_orderkey") % FOREIGN_CONCEPT_MOD == 0, F.lit(FOREIGN_CONCEPT_COURSE))
+    copies = F.sequence(F.lit(1), F.when(F.col("l_orderkey") % TWICE_MOD == 0, 2).otherwise(1))
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey, "left")
+              .select("l_orderkey", "l_linenumber", "l_partkey", "student_id", F.coalesce(logged, F.col("p_type")).alias("logged_course"),
+                      "l_quantity", "l_shipdate", F.explode(copies).alias("_copy")).drop("_copy"))
+
+
+def group_schedules(t) -> DataFrame:
+    """``group_id, valid_from, days``: every group's weekdays, which change once, at another time for
+    each nation's groups; one weekday differs by nation."""
+    nation = F.col("stated_num_students").cast("int") - 5
+    groups = t.view("roster_core").where(F.col("group_id").isNotNull()).select("group_id", nation.alias("k")).distinct()
+    off = F.col("k") % 5
+    first = F.struct(F.lit(FIRST_PLAN).cast("timestamp_ntz").alias("valid_from"),
+                     (F.lit(WEEKDAYS) - F.pow(F.lit(2), off + 1).cast("int")).alias("days"))
+    second = F.struct((F.lit(SECOND_PLAN).cast("timestamp_ntz") + F.make_interval(days=F.col("k") * LATER_DAYS)).alias("valid_from"),
+                      (F.lit(TUESDAY_ON) - F.pow(F.lit(2), off + 2).cast("int")).alias("days"))
+    return groups.select("group_id", F.inline(F.array(first, second)))
+
+
+def course_ends(t) -> DataFrame:
+    """``course_id, course_end``: courses with longer names end earlier."""
+    courses = t.view("roster_core").where(F.col("course_id").isNotNull()).select("course_id").distinct()
+    early = F.make_interval(days=F.length("course_id") * EARLIER_DAYS)
+    return courses.select("course_id", (F.lit(LAST_COURSE_END).cast("timestamp_ntz") - early).alias("course_end"))
+
+
+def raw_session_texts(t) -> DataFrame:
+    """Session times as text; the monthly batches take turns in ISO, day-first and month-first form."""
+    a = t.view("attendance")
+    s = F.col("session_datetime")
+    turn = (F.year(s) * 12 + F.month(s)) % 3
+    text = (F.when(turn == 0, F.date_format(s, "yyyy-MM-dd HH:mm:ss")).when(turn == 1, F.date_format(s, "dd/MM/yyyy HH:mm:ss"))
+             .otherwise(F.date_format(s, "MM/dd/yyyy HH:mm:ss")))
+    return a.select("record_id", F.date_format(s, "yyyy-MM").alias("batch"), text.alias("session_text"))
+
+
+def raw_gender_labels(t) -> DataFrame:
+    """Gender as the systems write it: letters, words with stray spaces and capitals, digits; some unknown."""
+    sid = F.col("student_id")
+    male = sid % 2 == 1
+
+    def one(m: str, f: str):
+        return F.when(male, F.lit(m)).otherwise(F.lit(f))
+
+    text = (F.when(sid % OTHER_GENDER_MOD == 0, F.lit("n/a")).when(sid % 3 == 0, one("M", "f"))
+             .when(sid % 3 == 1, one(" male", "FEMALE ")).otherwise(one("1", "0")))
+    return t.view("roster_core").select("student_id", text.alias("gender_text"))

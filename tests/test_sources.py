@@ -44,7 +44,7 @@ def test_ingest_publishes_every_table(spark):
     t = Tables(spark, SF_SMALL)
     out = scratch_path(spark, "ingest")
     paths = cleaning.ingest(t, out)
-    assert set(paths) == set(cleaning.CLEANERS) | {"dq_report"}
+    assert set(paths) == set(cleaning.CLEANERS) | {"dq_report", "rule_findings"}
     assert spark.read.parquet(paths["dq_report"]).count() == 33
     assert all(os.path.isdir(p) for p in paths.values())
 
