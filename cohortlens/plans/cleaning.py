@@ -18,10 +18,11 @@ from cohortlens.operators.formats import batch_formats, canonical_label, parse_b
 from cohortlens.operators.joins import effective_at
 from cohortlens.plans import quality as q
 from cohortlens.plans.rulebook import Job, Step, clean, findings, in_reference, judge, publish_job, rejected
-from cohortlens.sources import dirty
-from cohortlens.sources.nested import publish
+from cohortlens.session import scratch_path
+from cohortlens.sources import catalogue, dirty, snapshots
 
 PLACEHOLDER_NAME = "Unknown"
+SPOILT_ONE_IN = 500
 GENDERS = {"male": ("m", "male", "1"), "female": ("f", "female", "0")}
 
 
@@ -318,17 +319,25 @@ CLEANERS = {"roster": clean_roster, "assessments": clean_assessments, "attendanc
 
 
 def ingest(t, out_dir: str) -> dict[str, str]:
-    """Publish every cleaned table and the findings report under ``out_dir``; returns table → path.
-    Row rules are counted by the write of their table (``rule_findings``)."""
+    """Publish a new version of every cleaned table and of the findings under ``out_dir``; returns
+    table → path (read with ``snapshots.read``). Row rules are counted by the write of their table (``rule_findings``)."""
     paths, counted = {}, []
     for name, fn in CLEANERS.items():
         paths[name] = os.path.join(out_dir, name)
         if name in JOBS:
-            seen = publish_job(t, JOBS[name](), lambda df, name=name: publish(df, paths[name]))
+            seen = publish_job(t, JOBS[name](), lambda df, name=name: snapshots.publish(df, paths[name]))
             counted += [(name, rule, n) for rule, n in seen.items()]
         else:
-            publish(fn(t), paths[name])
+            snapshots.publish(fn(t), paths[name])
     rows = t.spark.createDataFrame(counted, "source_table string, rule_id int, findings long")
-    paths["rule_findings"] = publish(rows, os.path.join(out_dir, "rule_findings"))
-    paths["dq_report"] = publish(q.dq_report(t), os.path.join(out_dir, "dq_report"))
+    for name, df in (("rule_findings", rows), ("dq_report", q.dq_report(t))):
+        paths[name] = os.path.join(out_dir, name)
+        snapshots.publish(df, paths[name])
     return paths
+
+
+def export_load_report(t, spoilt_one_in: int = SPOILT_ONE_IN) -> DataFrame:
+    """The domain tables written as a school's exports, with every 500th student's rows spoilt, and loaded:
+    ``source_table, accepted, rejected`` (building the plan writes and loads the files)."""
+    exports = catalogue.export(t, scratch_path(t.spark, "exports"), spoilt_one_in)
+    return catalogue.load(t.spark, exports, scratch_path(t.spark, "loaded")).load_report()

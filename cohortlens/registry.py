@@ -782,6 +782,12 @@ reg("cleaning_findings", cleaning.cleaning_findings, W(
         for name, rule, does, sql in _SEEN), "roster", "assessments", "attendance", "concepts", "learn_events", "raw_submissions",
     "raw_quiz_grades"))
 
+reg("export_load_report", cleaning.export_load_report, W(" UNION ALL ".join(
+    f"SELECT '{v}' AS source_table, (SELECT count(*) FROM {v} WHERE student_id % 500 <> 0) AS accepted, "
+    f"(SELECT count(*) FROM {v} WHERE student_id % 500 = 0) AS rejected"
+    for v in ("roster", "assessments", "attendance", "concepts", "learn_events", "raw_submissions", "raw_quiz_grades")),
+    "roster", "assessments", "attendance", "concepts", "learn_events", "raw_submissions", "raw_quiz_grades"))
+
 
 # ---------------------------------------------------------------- scoped variants
 from cohortlens.operators.scope import Scope  # noqa: E402

@@ -1,4 +1,4 @@
-"""Nested grade documents (S4 read, S7 flatten) and the replace-publish sink.
+"""Nested grade documents (S4 read, S7 flatten) and a plain overwriting sink.
 
 The raw grade export is one JSON document per student holding a list of grade objects.
 We write JSON *Lines* (splittable); the reader also takes a file that holds one top-level
@@ -37,8 +37,8 @@ def nest_grades(flat: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Replace-publish. Overwrite is atomic per job commit; an empty input leaves an
-    empty (schema-only) table rather than a dropped one."""
+    """Writes a folder anew: Spark deletes the old rows first, so a failed write leaves nothing. For
+    scratch folders that nobody else reads; tables that others read go through ``snapshots.publish`` (S6)."""
     df.write.mode("overwrite").format(fmt).save(path)
     return path
 

@@ -12,7 +12,7 @@ from conftest import SF_SMALL
 from cohortlens.operators.scope import Scope
 from cohortlens.plans import cleaning, cohorts, grades
 from cohortlens.session import scratch_path
-from cohortlens.sources import nested
+from cohortlens.sources import nested, snapshots
 from cohortlens.sources.tables import Tables, read_csv
 
 
@@ -45,7 +45,11 @@ def test_ingest_publishes_every_table(spark):
     out = scratch_path(spark, "ingest")
     paths = cleaning.ingest(t, out)
     assert set(paths) == set(cleaning.CLEANERS) | {"dq_report", "rule_findings"}
-    assert spark.read.parquet(paths["dq_report"]).count() == 33
+    assert snapshots.read(spark, paths["dq_report"]).count() == 33
+    seen = {(r.source_table, r.rule_id): r.findings for r in snapshots.read(spark, paths["rule_findings"]).collect()}
+    want = {(r.source_table, r.rule_id): r.findings for r in cleaning.cleaning_findings(t).collect()
+            if r.source_table in cleaning.CLEANERS}
+    assert seen == want
     assert all(os.path.isdir(p) for p in paths.values())
 
 
