@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import split_words
 from cohortlens.session import materialize
 
 FILTERS = "ABCDE"
-SYMBOLS = "#$%&*|"
+SYMBOLS = b"#$%&*|"
+UPPER = bytes(range(ord("A"), ord("Z") + 1))
+CONTINUATION = bytes(range(0x80, 0xC0))  # bytes that do not begin a code point
+ROW = ("doc_id", "part", "h", "key")
 MIN_WORDS = 100
 SLOTS_PER_ROW = 8
 PROBES = 2
@@ -42,16 +44,19 @@ def _bit(letter: str) -> int:
     return 1 << FILTERS.index(letter)
 
 
-def text_mask(text: Column) -> Column:
-    """Bits of the filters A to D that one text fails."""
-    words = split_words(text)
-    body = F.coalesce(text, F.lit(""))
-    size = F.struct(F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("distinct"))
-    upper = F.length(body) - F.length(F.regexp_replace(body, "[A-Z]", ""))
-    return (F.transform(F.array(size), lambda s: (s["n"] < MIN_WORDS).cast("int") * _bit("A")
-                        + (100 * s["distinct"] < 80 * s["n"]).cast("int") * _bit("B"))[0]
-            + (100 * upper > 10 * F.length(body)).cast("int") * _bit("C")
-            + body.rlike(f"[{SYMBOLS}]").cast("int") * _bit("D"))
+def text_mask(text: bytes) -> int:
+    """Bits of the filters A to D that one text (UTF-8) fails."""
+    words = text.split()  # bytes split at ASCII white space
+    upper = len(text) - len(text.translate(None, UPPER))
+    points = len(text.translate(None, CONTINUATION))
+    return ((len(words) < MIN_WORDS) * _bit("A") + (100 * len(set(words)) < 80 * len(words)) * _bit("B")
+            + (100 * upper > 10 * points) * _bit("C") + (len(text) > len(text.translate(None, SYMBOLS))) * _bit("D"))
+
+
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        masks = pa.array([text_mask(x.as_py()) for x in b.column("text")], pa.int32())
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ROW], masks], [*ROW, "mask"])
 
 
 def _sketch_slots(rows: int) -> tuple[int, int]:
@@ -114,12 +119,11 @@ def possible_repeats(rows: DataFrame, hashes: DataFrame, n_rows: int) -> DataFra
 
 def failure_masks(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, part, mask`` (bit i: filter i fails)."""
-    text = docs["text"].cast("string")
-    body = F.coalesce(text, F.lit(""))
+    body = F.coalesce(docs["text"].cast("string"), F.lit(""))
     doc_id = docs["doc_id"].cast("long").alias("doc_id")
-    rows = materialize(docs.select(
-        doc_id, F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("part"), text_mask(text).alias("mask"),
-        F.xxhash64(body).alias("h"), F.sha2(body, 256).alias("key")), "masks")
+    read = docs.select(doc_id, F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("part"), F.xxhash64(body).alias("h"),
+                       F.sha2(body, 256).alias("key"), body.cast("binary").alias("text"))
+    rows = materialize(read.mapInArrow(_masked, "doc_id long, part string, h long, key string, mask int"), "masks")
     n_rows = rows.count()
     texts = docs.select(doc_id, body.alias("text"), F.xxhash64(body).alias("h"))
     first = (possible_repeats(texts, rows, n_rows).groupBy("text")
@@ -207,7 +211,7 @@ WITH RECURSIVE words AS (
 flags AS (
   SELECT part, len(w) < {MIN_WORDS} AS fA, 100 * len(list_distinct(w)) < 80 * len(w) AS fB,
          100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) AS fC,
-         regexp_matches(body, '[{SYMBOLS}]') AS fD,
+         regexp_matches(body, '[{SYMBOLS.decode()}]') AS fD,
          coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false) AS fE,
          coalesce(g.quality = 1, false) AS good, coalesce(g.toxic = 1, false) AS toxic
   FROM words LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS quality, max((toxic = 1)::INT) AS toxic
