@@ -68,17 +68,12 @@ def ratio_scores(docs, trusted, buckets):
     return [float(r[b].mean()) if len(b) else 0.0 for b in found]
 
 
-def line_shingles(line):
-    w = words(line)
-    return frozenset((a, b[:6]) for a, b in zip(w, [*w[1:], ""]))
-
-
 def character_shingles(line):
     s = " ".join(words(line))
     return {s[i:i + 5] for i in range(max(1, len(s) - 4))}
 
 
-def dropped_lines(docs, threshold=0.8, shingles=line_shingles):
+def dropped_lines(docs, threshold=0.8, shingles=character_shingles):
     """doc_id to the list of (line_no, class_doc, class_line) it loses."""
     first, places = {}, []
     for i, t in sorted(docs, key=lambda d: d[0]):
