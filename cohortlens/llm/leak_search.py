@@ -8,18 +8,19 @@ after an edit. Bit-sampling LSH takes a few steps of a walk as a key; ``walks``
 with ``SAMPLES`` samples each find items at the edit limit with at least ``TARGET_RECALL``.
 
 Windows are item-sized by class: an item of L words has window size w, the largest power of two
-up to L / 2 (1 at least). Documents are cut into windows of each size at every half
-window, items at every word; so whatever a leaked passage's offset in its document, a document
-window inside it stands opposite one of the item's, and usually several do.
+up to 2 L / 5 (1 at least). Documents are cut into windows of each size at every half
+window, items at every word; so whatever a leaked passage's offset in its document, several
+document windows inside it stand opposite one of the item's.
 
 1. Items: (class, table, key) of all their windows: a small table, one row per key and item. A
    bitmap of ``BITMAP`` bits over the keys has a fixed size and goes to every task.
 2. Documents: tasks compute their windows' keys and emit only those that the bitmap may know,
-   with the window's place. Text never leaves the task here.
-3. Keys meet in an equi-join (a hot key is split by AQE); per document and item the distinct
-   places are kept.
-4. Candidates are verified exactly: the smallest edit distance, in words, between the item and
-   any passage of the document. An item is found if it is at most ``MAX_EDITS`` of its length.
+   with the window's place and bit sets of its words and word pairs. Text never leaves the task here.
+3. Keys meet in an equi-join (a hot key is split by AQE). Windows that differ by more words and word pairs
+   than their share of the edits allows are cut there, on the bit sets; per document the distinct (item, place) are kept.
+4. Candidates are verified exactly, in texts read again behind a fixed-size bitmap of their documents: the smallest
+   edit distance, in words, between the item and any passage of the document. An item is found if it is at
+   most ``MAX_EDITS`` of its length.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ TARGET_RECALL = 0.99  # of items with MAX_EDITS edits, per item length; tested
 BITMAP = 1 << 25
 MAX_EDITS = 0.2
 PIECE = 1 << 20  # bytes hashed at a time
-NO_ID = 2**63 - 1  # stands for a missing doc_id
+ROW_BITS = 1 << 26  # bits of the bitmap of documents with candidates, whatever their number
+PAIR_SETS = 2  # longs of a window's set of word pairs
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 
@@ -96,8 +98,8 @@ def text_words(text: str | None) -> np.ndarray:
 
 
 def window_size(n_words: int) -> int:
-    """The class of an item: the largest power of two up to half its words."""
-    return 1 << max(0, (n_words // 2).bit_length() - 1)
+    """The class of an item: the largest power of two up to two fifths of its words."""
+    return 1 << max(0, (2 * n_words // 5).bit_length() - 1)
 
 
 def walks(size: int) -> int:
@@ -156,16 +158,54 @@ def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(ends[end]), end - int(np.argmin(back)), end
 
 
+def window_sets(words: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
+    """Bit sets of the windows: one long of their words, ``PAIR_SETS`` of their word pairs."""
+    at = starts[:, None] + np.arange(size)
+    w = words[at]
+    one = np.uint64(1)
+    out = [np.bitwise_or.reduce(one << (w >> np.uint64(58)), axis=1)]
+    pair = _mix(w[:, :-1] * np.uint64(FACTOR) + w[:, 1:])
+    bit, which = one << (pair & np.uint64(63)), (pair >> np.uint64(32)) % np.uint64(PAIR_SETS)
+    return out + [np.bitwise_or.reduce(np.where(which == k, bit, np.uint64(0)), axis=1) for k in range(PAIR_SETS)]
+
+
+def window_edits(size: int) -> int:
+    """Edits allowed in a window: its share of the most edits, rounded up, and one more."""
+    return -int(-MAX_EDITS * size // 1) + 1
+
+
+def _alike(size: str) -> str:
+    """SQL: may windows with sets b0.. and c0.. be as few edits apart? An edit takes at most one word and two pairs."""
+    most = f"(cast(ceil({MAX_EDITS} * {size}) as int) + 1)"
+    pairs = {(x, y): " + ".join(f"bit_count({x}{k} & ~{y}{k})" for k in range(1, PAIR_SETS + 1)) for x, y in (("b", "c"), ("c", "b"))}
+    return " and ".join([f"bit_count({x}0 & ~{y}0) <= {most} and {lost} <= 2 * {most}" for (x, y), lost in pairs.items()])
+
+
+def intervals(places: list[int], reach: int) -> list[tuple[int, int]]:
+    """Sorted places to runs ``(first, last)`` whose gaps are at most ``reach``."""
+    out: list[list[int]] = []
+    for p in places:
+        if out and p - out[-1][1] <= reach:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [(a, b) for a, b in out]
+
+
 def closest_passage(item: np.ndarray, text: np.ndarray, places, most: int) -> tuple[int, int, int] | None:
     """The closest passage of at most ``most`` edits that begins near one of ``places``, or none.
 
-    A passage within the limit lies at most that far beside its place and holds all but that
-    many of the item's words; the second condition is tested first, as it needs no alignment.
+    A passage within the limit lies at most that far beside its place. It holds all but that many of the item's words and all
+    but twice as many of its word pairs; this is tested first, as it needs no alignment.
     """
     best = None
-    for p in places:
-        low, high = max(0, p - most - 1), min(len(text), p + len(item) + most + 1)
-        if high <= low or np.isin(item, text[low:high]).sum() < len(item) - most:
+    own, own_pairs = set(item.tolist()), set(zip(item[:-1].tolist(), item[1:].tolist()))
+    for first, last in intervals(sorted(places), most + 1):
+        low, high = max(0, first - most - 1), min(len(text), last + len(item) + most + 1)
+        if high <= low:
+            continue
+        here = text[low:high].tolist()
+        if len(own.difference(here)) > most or len(own_pairs.difference(zip(here, here[1:]))) > 2 * most:
             continue
         edits, start, end = best_passage(item, text[low:high])
         if edits <= most and (best is None or edits < best[0]):
@@ -179,8 +219,11 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+SETS = [*range(PAIR_SETS + 1)]
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, size, n_words, key, offset)``: the keys of every window of every item."""
+    """``(item_id, words, size, key, offset, c0..)``: the keys of every window of every item; words are the item's word hashes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -191,51 +234,58 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 size = window_size(len(words))
                 starts = np.arange(len(words) - size + 1)
                 keys = window_keys(words, starts, size)
-                yield pd.DataFrame({"item_id": i, "size": size, "n_words": len(words),
-                                    "key": _signed(keys.ravel()), "offset": np.tile(starts, len(keys))})
+                sets = window_sets(words, starts, size)
+                yield pd.DataFrame({"item_id": i, "words": pd.Series([_signed(words)] * keys.size, dtype=object), "size": size,
+                                    "key": _signed(keys.ravel()), "offset": np.tile(starts, len(keys)),
+                                    **{f"c{k}": _signed(np.tile(sets[k], len(keys))) for k in SETS}})
 
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"),
-                             benchmark["text"].cast("string").alias("text")).where("item_id is not null")
-    return items.mapInPandas(run, "item_id long, size int, n_words int, key long, offset int")
+                             benchmark["text"].cast("string").alias("text")).where("item_id is not null").distinct()
+    return items.mapInPandas(run, "item_id long, words array<long>, size int, key long, offset int, " + ", ".join(f"c{k} long" for k in SETS))
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """``BITMAP`` bits over the items' keys; its size does not depend on their number."""
-    slot = F.pmod("key", F.lit(BITMAP))
-    rows = (windows.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas())
-    bits = np.zeros(BITMAP // 32, np.uint32)
-    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return bits
+def _plane(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """``bits`` bits over the column's values; the size does not depend on their number."""
+    slot = F.pmod(column, F.lit(bits))
+    words = (rows.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas())
+    out = np.zeros(bits // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _in_plane(plane: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (plane[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """``(doc, row, text)``: doc_id or ``NO_ID``, and a hash of the text beside it."""
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.xxhash64(docs["text"]).alias("row"), docs["text"].cast("string").alias("text"))
+    """``(none, doc, row, text)``: none tells that there is no doc_id; row is a hash of doc_id and text, which tells the
+    rows of one doc_id (or of none) apart."""
+    doc, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return docs.select(doc.isNull().alias("none"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc, text).alias("row"), text.alias("text"))
 
 
-def _document_windows(rows: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """``(doc, row, key, at)``: the document windows whose key the bitmap may know."""
+def _document_windows(rows: DataFrame, plane, sizes: list[int]) -> DataFrame:
+    """``(none, doc, row, key, size, at, b0..)``: the document windows whose key the bitmap may know."""
 
-    def batch(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def batch(f: pd.DataFrame, bits: np.ndarray) -> Iterator[pd.DataFrame]:
         data = [(t or "").encode("utf-8", "surrogatepass") for t in f["text"]]
         words, where = word_hashes(b"\n".join(data))
         border = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
         edge = np.searchsorted(where, border)
         length = np.diff(edge)
-        doc, row = f["doc"].to_numpy(), f["row"].to_numpy()
+        none, doc, row = (f[c].to_numpy() for c in ("none", "doc", "row"))
         for size in sizes:
             stride = max(1, size // 2)
             n = np.where(length >= size, (length - size) // stride + 1, 0)
             owner = np.repeat(np.arange(len(n)), n)
             local = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
             keys = window_keys(words, edge[owner] + local, size)
-            slot = keys % np.uint64(BITMAP)
-            hit = (bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+            hit = _in_plane(bits, (keys % np.uint64(BITMAP)).astype(np.int64))
             _, w = np.nonzero(hit)
-            yield pd.DataFrame({"doc": doc[owner[w]], "row": row[owner[w]], "key": _signed(keys[hit.astype(bool)]),
-                                "at": local[w]})
+            sets = window_sets(words, edge[owner[w]] + local[w], size)
+            yield pd.DataFrame({"none": none[owner[w]], "doc": doc[owner[w]], "row": row[owner[w]], "key": _signed(keys[hit]),
+                                "size": size, "at": local[w], **{f"b{k}": _signed(sets[k]) for k in SETS}})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -243,53 +293,73 @@ def _document_windows(rows: DataFrame, bits: np.ndarray, sizes: list[int]) -> Da
             cut = np.searchsorted(size, np.arange(0, size[-1] + 1, PIECE)) if len(size) else []
             for a, b in zip(cut, [*cut[1:], len(f)]):
                 if b > a:
-                    yield from batch(f.iloc[a:b])
+                    yield from batch(f.iloc[a:b], plane.value)
 
-    return rows.mapInPandas(run, "doc long, row long, key long, at int")
+    return rows.mapInPandas(run, "none boolean, doc long, row long, key long, size int, at int, " + ", ".join(f"b{k} long" for k in SETS))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """One row per document and benchmark item found in it: ``doc_id, item_id, start_word,
-    end_word, edits, item_words`` (the closest passage, words counted from 0, end exclusive).
+ROW = ["none", "doc", "row"]
 
-    Null and wordless items and texts never match; rows without item_id are ignored; repeated
-    rows give one result, as do repeated items of one item_id; of equally close passages the
-    first to end counts; empty tables give an empty result; extra columns are ignored.
-    """
+
+def _found(docs: DataFrame, benchmark: DataFrame, max_edits: float) -> DataFrame:
+    """``(none, doc, row, item_id, start_word, end_word, edits, item_words)`` per row and item text found in it."""
+    spark = docs.sparkSession
     windows = materialize(item_windows(benchmark), "item_windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # one per power of two
     rows = _rows(docs)
-    hits = _document_windows(rows, _bitmap(windows), sizes)
-    met = (hits.join(windows, "key")
-           .select("doc", "row", "item_id", (F.col("at") - F.col("offset")).alias("at")).distinct()
-           .groupBy("doc", "row", "item_id").agg(F.sort_array(F.collect_set("at")).alias("places")))
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"),
-                             benchmark["text"].cast("string").alias("item")).distinct()
-    met = materialize(met, "leak_candidates")
-    of_doc = met.join(items, "item_id").groupBy("doc", "row").agg(
-        F.sort_array(F.collect_list(F.struct("item_id", "item", "places"))).alias("items"))
+    hits = _document_windows(rows, spark.sparkContext.broadcast(_plane(windows, "key", BITMAP)), sizes)
+    met = materialize(hits.join(windows.drop("words"), ["key", "size"]).where(_alike("size"))
+                      .select(*ROW, "item_id", (F.col("at") - F.col("offset")).alias("at")).distinct(), "leak_candidates")
+    # the candidates' texts: rows behind a bitmap, so that no other text is shuffled
+    wanted = spark.sparkContext.broadcast(_plane(met, "row", ROW_BITS))
+
+    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[_in_plane(wanted.value, f["row"].to_numpy() % ROW_BITS)]
+
+    texts = rows.mapInPandas(likely, rows.schema)
+    places = met.groupBy(*ROW, "item_id").agg(F.collect_set("at").alias("places"))
+    items = windows.select("item_id", "words").distinct()
+    of_row = places.join(items, "item_id").groupBy(*ROW).agg(F.collect_list(F.struct("item_id", "words", "places")).alias("items"))
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc, candidates, text in zip(f["doc"], f["items"], f["text"]):
+            for none, doc, row, candidates, text in zip(*[f[c] for c in (*ROW, "items", "text")]):
                 words = text_words(text)
                 for c in candidates:
-                    item = text_words(c["item"])
+                    item = np.array(c["words"], np.int64).view(np.uint64)
                     best = closest_passage(item, words, c["places"], int(max_edits * len(item)))
                     if best:
-                        out.append((doc, c["item_id"], *best[1:], best[0], len(item)))
-            yield pd.DataFrame(out, columns=["doc", "item_id", "start_word", "end_word", "edits", "item_words"])
+                        out.append((none, doc, row, c["item_id"], *best[1:], best[0], len(item)))
+            yield pd.DataFrame(out, columns=[*ROW, "item_id", "start_word", "end_word", "edits", "item_words"])
 
-    found = (of_doc.join(rows, ["doc", "row"]).select("doc", "items", "text")
-             .mapInPandas(verify, "doc long, item_id long, start_word int, end_word int, edits int, item_words int"))
+    return (of_row.join(texts, ROW).select(*ROW, "items", "text").mapInPandas(
+        verify, "none boolean, doc long, row long, item_id long, start_word int, end_word int, edits int, item_words int"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
+    """One row per document and benchmark item found in it: ``doc_id, item_id, start_word,
+    end_word, edits, item_words`` (the closest passage, words counted from 0, end exclusive).
+
+    Null and wordless items and texts never match; rows without item_id are ignored; repeated
+    rows give one result, as do repeated items of one item_id and rows of one doc_id; rows without a doc_id are documents of
+    their own where their texts differ; of equally close passages the first to end counts; empty tables give an empty
+    result; extra columns are ignored. ``max_edits`` may be at most ``MAX_EDITS``, for which the keys are made.
+    """
+    if max_edits > MAX_EDITS:
+        raise ValueError(f"the keys are made for at most {MAX_EDITS} edits a word")
+    found = _found(docs, benchmark, max_edits).withColumn("own", F.when(F.col("none"), F.col("row")))
     first = F.min(F.struct("edits", "end_word", "start_word", "item_words")).alias("x")
-    return (found.groupBy("doc", "item_id").agg(first)
-            .select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "item_id", "x.start_word", "x.end_word",
+    return (found.groupBy("none", "doc", "own", "item_id").agg(first)
+            .select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "item_id", "x.start_word", "x.end_word",
                     "x.edits", "x.item_words"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """``docs`` without the documents in which a benchmark item is found."""
-    gone = find(docs, benchmark, max_edits).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["_gone"], "left_anti")
+    """``docs`` without the rows in which a benchmark item is found; other rows of their doc_id (or without one) stay."""
+    gone = _found(docs, benchmark, max_edits).select(*[F.col(c).alias(f"_{c}") for c in ROW]).distinct()
+    doc = docs["doc_id"].cast("long")
+    same = ((F.xxhash64(doc, docs["text"].cast("string")) == gone["_row"]) & (F.coalesce(doc, F.lit(0)) == gone["_doc"])
+            & (doc.isNull() == gone["_none"]))
+    return docs.join(gone, same, "left_anti")

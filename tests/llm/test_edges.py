@@ -93,7 +93,18 @@ def test_leaks_of_odd_rows(spark):
     assert leak_search.find(frame(spark, []), items(spark)).count() == 0
     assert leak_search.find(d, items(spark, ())).count() == 0
     left = leak_search.drop_leaked(d, items(spark))
-    assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {2, 3, 4, 8, 9, 10}
+    assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {None, 2, 3, 4, 8, 9, 10}
+    assert left.where("doc_id is null").select("text").collect() == [(None,)]
+
+
+def test_only_the_leaked_row_of_an_id_goes(spark):
+    """Rows without a doc_id, or with one doc_id, go one by one."""
+    leak = " ".join(LONG.split()[500:560])
+    rows = [(None, leak), (None, "a clean text of nobody"), (5, "clean"), (6, leak + " and more"), (6, "another text of six"), (2**63 - 1, "last")]
+    d = frame(spark, rows)
+    left = sorted(r.text for r in leak_search.drop_leaked(d, items(spark)).collect())
+    assert left == sorted(["a clean text of nobody", "clean", "another text of six", "last"])
+    assert {(r.doc_id, r.item_id) for r in leak_search.find(d, items(spark)).collect()} == {(None, 4), (6, 4)}
 
 
 def test_language_of_odd_rows(spark):

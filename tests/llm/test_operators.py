@@ -196,7 +196,7 @@ def test_leak_search(spark, docs, texts):
     planted = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leak_search.find(planted, bench).collect()}
     want = {(n, item) for n, _, item in rows}
-    assert len(want & got) >= 0.97 * len(want)
+    assert len(want & got) >= 0.99 * len(want)
 
 
 def test_language_held_out(docs):
@@ -338,13 +338,20 @@ def leak_recall(n_words, n=200, mixed=False):
             w[p:p + 1] = [[new], [], [w[p], new]][rng.integers(0, 3) if mixed else 0]
         pad = [rng.integers(0, 1 << 62, 40 + rng.integers(0, size)).astype(np.uint64) for _ in range(2)]
         text = np.concatenate([pad[0], np.array(w, np.uint64), pad[1]])
-        a = leak_search.window_keys(item, np.arange(n_words - size + 1), size)
-        b = leak_search.window_keys(text, np.arange(0, len(text) - size + 1, max(1, size // 2)), size)
-        found += any(np.isin(x, y).any() for x, y in zip(a, b))
+        at, of = np.arange(n_words - size + 1), np.arange(0, len(text) - size + 1, max(1, size // 2))
+        a, b = leak_search.window_keys(item, at, size), leak_search.window_keys(text, of, size)
+        c, d = leak_search.window_sets(item, at, size), leak_search.window_sets(text, of, size)
+        most = leak_search.window_edits(size)
+
+        def alike(i, j):
+            lost = [[int(np.bitwise_count(x[k] & ~y[l])) for x, y, k, l in ((p, q, i, j), (q, p, j, i))] for p, q in zip(c, d)]
+            return max(lost[0]) <= most and max(map(sum, zip(*lost[1:]))) <= 2 * most
+
+        found += any(alike(i, j) for x, y in zip(a, b) for i, j in np.argwhere(x[:, None] == y[None, :]))
     return found / n
 
 
 @pytest.mark.parametrize("mixed", [False, True])
 def test_leak_recall_at_the_edit_limit(mixed):
-    for n_words in (10, 20, 40, 80, 160):
+    for n_words in (8, 10, 16, 20, 32, 40, 64, 80, 160):
         assert leak_recall(n_words, mixed=mixed) >= leak_search.TARGET_RECALL, n_words
