@@ -12,14 +12,15 @@ both sets have more than ``SPARE`` empty classes (those are filed under each com
 many empty classes as well). Sets that share a class's content are joined; the components of that
 relation are the clusters, and each set is in at most one tree.
 
-**Trees.** A set's path is a row of three-bit digits: its size, four of its MinHash values, then its id. A
-node with up to ``LEAF`` sets is a leaf; any other has up to eight children. Nodes hold the
+**Trees.** A set's path is a row of six-bit digits: its size, two of its MinHash values, then its id. A
+node with up to ``LEAF`` sets is a leaf; any other has up to 64 children. Nodes hold the
 OR of their sets' token bitmaps, the range of set sizes, the fewest bits of a set and the most tokens that
 a set has beyond its bits.
 
-**Dual traversal.** First every leaf is joined with itself, and every node's first set with the first set of its
-parent: a number of tests linear in the sets, which unites most groups of copies. Then, for clusters that are not
-one class yet, pairs of nodes are followed from (root, root) to pairs of leaves. A pair is
+**Dual traversal.** First every leaf is joined with itself, every set with the best of its cluster, and every node's best
+set with the best of its parent, where the best shares class contents with most others (as an original does with its
+copies): a number of tests linear in the sets, which unites most groups of copies. Then the clusters that are not
+one class yet get a tree in which the class so far comes first, and pairs of nodes are followed from (root, root) to pairs of leaves. A pair is
 discarded if sizes alone exclude a link, if the maximum possible overlap
 min(max size, slack + bits in both bitmaps) is too small, or if both hold one and the same class only. Pairs
 of leaves are joined by the same bound per pair of sets, then exactly on the hashes.
@@ -48,8 +49,8 @@ PERCENT = 90
 SPARE = 2
 BAND_GROWTH = 1.25
 LEAF = 16
-DIGITS = 21  # three bits each
-MIN_HASHES = 4
+DIGITS, DIGIT = 10, 6  # digits of a path, bits of a digit
+MIN_HASHES, CLASS_DIGITS = 2, 2
 BITS_PER_TOKEN = 8
 MIN_BITS = 512
 WANTED_BITS = 1 << 26
@@ -112,12 +113,12 @@ def class_keys(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def path_of(h: np.ndarray, set_id: int) -> int:
-    """The set's place in its tree: ``DIGITS`` digits of three bits, the first in the highest."""
-    digits = [int(np.log(len(h)) / 0.05) % 8]
-    digits += [int(_mix(np.array([(h * o).min()]))[0]) >> 61 for o in _ODD[:MIN_HASHES]]
+    """The set's place in its tree: ``DIGITS`` digits of ``DIGIT`` bits, the first in the highest."""
+    digits = [int(np.log(len(h)) / 0.05) % (1 << DIGIT)]
+    digits += [int(_mix(np.array([(h * o).min()]))[0]) >> 64 - DIGIT for o in _ODD[:MIN_HASHES]]
     rest = xxhash.xxh64_intdigest(int(set_id).to_bytes(8, "little", signed=True))
-    digits += [rest >> 3 * i & 7 for i in range(DIGITS - len(digits))]
-    return sum(d << 3 * (DIGITS - 1 - i) for i, d in enumerate(digits))
+    digits += [rest >> DIGIT * i & (1 << DIGIT) - 1 for i in range(DIGITS - len(digits))]
+    return sum(d << DIGIT * (DIGITS - 1 - i) for i, d in enumerate(digits))
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -150,12 +151,14 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
-    """``nodes(id, keys)`` to ``(id, cluster)`` of the sets that share a key with another, transitively."""
+    """``nodes(id, keys)`` to ``(id, cluster, score)`` of the sets that share a key with another, transitively; the
+    score is the number of shared keys, each as often as there are sets that have it."""
     keyed = nodes.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    edges = keyed.join(shared.select("key", "first"), "key").where("id <> first").select(
-        F.col("id").alias("src"), F.col("first").alias("dst"))
-    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = materialize(keyed.join(shared, "key").select("id", "first", "n"), "shared_keys")
+    score = met.groupBy("id").agg(F.sum("n").alias("score"))
+    edges = met.where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(score, "id")
 
 
 def _plane(rows: DataFrame) -> np.ndarray:
@@ -169,7 +172,7 @@ def _plane(rows: DataFrame) -> np.ndarray:
 
 
 def clustered_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``wanted(id, cluster, name, row)`` to ``id, cluster, path, hashes``, read again from the texts."""
+    """``wanted(id, cluster, score, name, row)`` to ``id, cluster, score, path, hashes``, read again from the texts."""
     plane = docs.sparkSession.sparkContext.broadcast(_plane(wanted))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,26 +190,27 @@ def clustered_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -
     def place(hashes: pd.Series, ids: pd.Series) -> pd.Series:
         return pd.Series([path_of(np.array(h, np.int64).view(np.uint64), i) for h, i in zip(hashes, ids)], dtype="int64")
 
-    one = read.join(wanted, ["row", "name"]).groupBy("id", "cluster").agg(F.first("hashes").alias("hashes"))
-    return one.select("id", "cluster", place("hashes", "id").alias("path"), "hashes")
+    one = read.join(wanted, ["row", "name"]).groupBy("id", "cluster", "score").agg(F.first("hashes").alias("hashes"))
+    return one.select("id", "cluster", "score", place("hashes", "id").alias("path"), "hashes")
 
 
 def _prefix(path: str, depth: str) -> Column:
-    return F.expr(f"shiftright({path}, 3 * ({DIGITS} - {depth}))")
+    return F.expr(f"shiftright({path}, {DIGIT} * ({DIGITS} - {depth}))")
 
 
 def tree_nodes(sets: DataFrame) -> DataFrame:
-    """``cluster, depth, prefix, n, first, leaf`` of all nodes: those with more than ``LEAF`` sets and
-    their children."""
+    """``cluster, depth, prefix, n, best, leaf`` of all nodes: those with more than ``LEAF`` sets and
+    their children; best is the set of the highest score (ties: smallest id)."""
     sizes = sets.groupBy("cluster").agg(F.count("*").alias("of_cluster"))
-    below = (sets.select("id", "cluster", "path").join(sizes, "cluster")
-             .select("id", "cluster", "path", F.explode(F.expr(
+    below = (sets.select("id", "cluster", "score", "path").join(sizes, "cluster")
+             .select("id", "cluster", "score", "path", F.explode(F.expr(
                  f"sequence(0, if(of_cluster > {LEAF}, {DIGITS}, 0))")).alias("depth"))
              .groupBy("cluster", "depth", _prefix("path", "depth").alias("prefix"))
-             .agg(F.count("*").alias("n"), F.min("id").alias("first")))
+             .agg(F.count("*").alias("n"), F.min(F.struct(-F.col("score"), F.col("id").alias("id"))).alias("best"))
+             .withColumn("best", F.col("best.id")))
     below = materialize(below.withColumn("leaf", (F.col("n") <= LEAF) | (F.col("depth") == DIGITS)), "prefixes")
     inner = below.where("not leaf").select("cluster", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
-    child = below.withColumn("up", F.shiftright("prefix", 3)).join(inner, ["cluster", "depth", "up"], "left_semi").drop("up")
+    child = below.withColumn("up", F.shiftright("prefix", DIGIT)).join(inner, ["cluster", "depth", "up"], "left_semi").drop("up")
     return below.where("depth = 0").unionByName(child)
 
 
@@ -292,7 +296,7 @@ def _leaves(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _signatures(leaves: DataFrame, nodes: DataFrame, widths: DataFrame) -> DataFrame:
     """``nodes`` with ``bits, low, high, fewest, slack``, OR-combined bottom-up; a node is combined from its at most
-    eight children, a leaf from its at most ``LEAF`` sets."""
+    64 children, a leaf from its at most ``LEAF`` sets."""
     schema = ("cluster long, depth int, prefix long, bits binary, low long, high long, fewest long, slack long")
 
     def of_leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,7 +313,7 @@ def _signatures(leaves: DataFrame, nodes: DataFrame, widths: DataFrame) -> DataF
     def of_node(f: pd.DataFrame) -> pd.DataFrame:
         bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in f["bits"]])
         one = f.iloc[:1]
-        return pd.DataFrame({"cluster": one["cluster"], "depth": one["depth"] - 1, "prefix": one["prefix"] // 8,
+        return pd.DataFrame({"cluster": one["cluster"], "depth": one["depth"] - 1, "prefix": one["prefix"] // (1 << DIGIT),
                              "bits": [bits.tobytes()], "low": f["low"].min(), "high": f["high"].max(),
                              "fewest": f["fewest"].min(), "slack": f["slack"].max()})
 
@@ -317,7 +321,7 @@ def _signatures(leaves: DataFrame, nodes: DataFrame, widths: DataFrame) -> DataF
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     level, done = leaf.where(F.col("depth") == deepest), leaf
     for depth in range(deepest, 0, -1):
-        up = materialize(level.groupBy("cluster", "depth", F.shiftright("prefix", 3)).applyInPandas(of_node, schema),
+        up = materialize(level.groupBy("cluster", "depth", F.shiftright("prefix", DIGIT)).applyInPandas(of_node, schema),
                          "signatures")
         done = done.unionByName(up)
         level = up.unionByName(leaf.where(F.col("depth") == depth - 1))
@@ -370,45 +374,62 @@ def _traverse(nodes: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.where("not leaf")
 
 
+def _join_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs(src, dst)``; there are few different ``dst``."""
+    one = F.array(F.struct("id", "hashes"))
+    left = sets.select(F.col("id").alias("src"), one.alias("a"))
+    right = sets.join(pairs.select(F.col("dst").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("dst"), one.alias("b"))
+    return _join_leaves(pairs.join(right, "dst").join(left, "src").select("a", "b"), percent)
+
+
 def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``sets(id, cluster, path, hashes)`` to links ``(src, dst)`` that connect all linked sets."""
+    """``sets(id, cluster, score, path, hashes)`` to links ``(src, dst)`` that connect all linked sets."""
     nodes = materialize(tree_nodes(sets), "tree")
     leaves = materialize(_leaves(sets, nodes), "leaves", compression="zstd")
     own = leaves.where(F.size("sets") > 1).select(F.col("sets").alias("a"), F.lit(None).cast(leaves.schema["sets"].dataType).alias("b"))
     near = materialize(_join_leaves(own, percent), "links")
-    big = nodes.where("depth = 0 and not leaf").select("cluster")
+    big = nodes.where("depth = 0 and not leaf").select("cluster", "best")
     if big.isEmpty():
         return near
-    tree = nodes.join(big, "cluster", "left_semi")
-    parents = tree.select("cluster", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"), F.col("first").alias("dst"))
-    ladder = (tree.withColumn("up", F.shiftright("prefix", 3)).join(parents, ["cluster", "depth", "up"])
-              .where("first <> dst").select(F.col("first").alias("src"), "dst").distinct())
-    one = F.array(F.struct("id", "hashes"))
-    ends = [sets.select(F.col("id").alias(n), one.alias(c)) for n, c in (("src", "a"), ("dst", "b"))]
-    near = near.unionByName(materialize(_join_leaves(ladder.join(ends[0], "src").join(ends[1], "dst").select("a", "b"), percent), "links"))
+    large = sets.join(big.select("cluster"), "cluster", "left_semi")
+    tree = nodes.join(big.select("cluster"), "cluster", "left_semi")
+    parents = tree.select("cluster", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"), F.col("best").alias("dst"))
+    ladder = (tree.withColumn("up", F.shiftright("prefix", DIGIT)).join(parents, ["cluster", "depth", "up"])
+              .select(F.col("best").alias("src"), "dst"))
+    star = large.select("cluster", F.col("id").alias("src")).join(big, "cluster").select("src", F.col("best").alias("dst"))
+    steps = materialize(ladder.union(star).where("src <> dst").distinct(), "steps")
+    near = near.unionByName(materialize(_join_sets(steps, large, percent), "links"))
     classes = components(near).select(F.col("node").alias("id"), "component")
-    members = (sets.select("id", "cluster", "path").join(big, "cluster", "left_semi").join(classes, "id", "left")
-               .withColumn("component", F.coalesce("component", "id")))
-    held = (members.select("cluster", "path", "component", F.explode(F.sequence(F.lit(0), F.lit(DIGITS))).alias("depth"))
-            .groupBy("cluster", "depth", _prefix("path", "depth").alias("prefix"))
-            .agg(F.min("component").alias("low_class"), F.max("component").alias("high_class")))
-    held = tree.join(held, ["cluster", "depth", "prefix"]).withColumn("one", F.when(F.col("low_class") == F.col("high_class"), F.col("low_class")))
-    open_ = held.where("depth = 0 and one is null").select("cluster")
+    members = materialize(large.select("id", "cluster").join(classes, "id", "left")
+                          .select("id", "cluster", F.coalesce("component", "id").alias("class")), "members")
+    open_ = members.groupBy("cluster").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     if open_.isEmpty():
         return near
-    held = materialize(held.join(open_, "cluster", "left_semi").drop("low_class", "high_class")
-                       .withColumn("node", F.monotonically_increasing_id()), "held")
+    # the class so far comes first in the paths, so that few nodes hold several classes
+    high = DIGIT * (DIGITS - CLASS_DIGITS)
+    by_class = F.shiftleft(F.pmod(F.xxhash64("class"), F.lit(1 << DIGIT * CLASS_DIGITS)), high)
+    again = materialize(large.join(members.join(open_.select("cluster"), "cluster", "left_semi").drop("cluster"), "id")
+                        .withColumn("path", by_class.bitwiseOR(F.shiftright("path", DIGIT * CLASS_DIGITS))), "open_sets", compression="zstd")
+    held = (again.select("cluster", "path", "class", F.explode(F.sequence(F.lit(0), F.lit(DIGITS))).alias("depth"))
+            .groupBy("cluster", "depth", _prefix("path", "depth").alias("prefix"))
+            .agg(F.min("class").alias("low_class"), F.max("class").alias("high_class")))
+    held = tree_nodes(again).join(held, ["cluster", "depth", "prefix"])
+    held = materialize(held.withColumn("one", F.when(F.col("low_class") == F.col("high_class"), F.col("low_class")))
+                       .drop("low_class", "high_class").withColumn("node", F.monotonically_increasing_id()), "held")
+    leaves = materialize(_leaves(again, held), "leaves", compression="zstd")
     width = F.udf(_width, "long")
-    widths = sets.groupBy("cluster").agg(F.max(F.size("hashes")).alias("n")).select("cluster", width("n").alias("width"))
-    signed = _signatures(leaves.join(open_, "cluster", "left_semi"), held, widths)
+    widths = again.groupBy("cluster").agg(F.max(F.size("hashes")).alias("n")).select("cluster", width("n").alias("width"))
+    signed = _signatures(leaves, held, widths)
     parent = held.select("cluster", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("p"), F.col("node").alias("up"))
-    signed = materialize(signed.withColumn("p", F.shiftright("prefix", 3)).join(parent, ["cluster", "depth", "p"], "left"), "signed")
+    signed = materialize(signed.withColumn("p", F.shiftright("prefix", DIGIT)).join(parent, ["cluster", "depth", "p"], "left"), "signed")
     pairs = materialize(_traverse(signed, percent), "leaf_pairs")
     full = held.where("leaf").join(leaves, ["cluster", "depth", "prefix"]).select("cluster", "node", "sets")
     both = (pairs.join(full.select("cluster", F.col("node").alias("a"), F.col("sets").alias("sa")), ["cluster", "a"])
             .join(full.select("cluster", F.col("node").alias("b"), F.col("sets").alias("sb")), ["cluster", "b"])
             .select(F.col("sa").alias("a"), F.col("sb").alias("b")))
-    return near.unionByName(materialize(_join_leaves(both, percent), "links"))
+    mixed = full.join(held.where("one is null").select("cluster", "node"), ["cluster", "node"]).select(
+        F.col("sets").alias("a"), F.lit(None).cast(leaves.schema["sets"].dataType).alias("b"))
+    return near.unionByName(materialize(_join_leaves(both.unionByName(mixed), percent), "links"))
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
