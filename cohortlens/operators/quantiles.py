@@ -1,21 +1,20 @@
-"""Exact quantiles that scale: distributed selection instead of one big value map.
+"""Exact quantiles that scale: distributed selection in two passes over the input.
 
 Spark's exact ``percentile`` merges a value→count map per group in one task, so a
 continuous measure over billions of rows (or one group holding a third of them) does not
 fit. Here the exact answer (linear interpolation, pandas/DuckDB ``quantile_cont``) always
 comes from the same path:
 
-1. values are counted per (group, value): the shuffle key holds the value, so a hot group is
-   spread over all tasks, and repeated values are combined before the shuffle;
-2. per group: ``count`` and ``percentile_approx`` at p ± δ (a mergeable sketch whose rank
+1. First pass, per group: ``count``, min, max and ``percentile_approx`` at p ± δ (a mergeable sketch whose rank
    error is at most n/accuracy, δ = 3/accuracy) → a bracket [lo, hi] around each wanted
-   order statistic (of fewer than ``accuracy`` values: all of them); only sketches are
-   shuffled by group;
-3. per group: how many values lie below each ``lo`` (partial aggregates), and the counted
-   values inside each bracket: a band of about 6n/accuracy rows at most;
-4. the band is ranked by a running sum, which yields the two order statistics around
-   p·(n−1) exactly. The sketch's error bound puts them inside the bracket; should a rank ever
-   lie outside, the query fails instead of returning a wrong value.
+   order statistic (of fewer than ``accuracy`` values: all of them). Only sketches are shuffled.
+2. Second pass: a row below a bracket adds to that bracket's count, a row inside it to the count of its value;
+   both are combined before the shuffle, whose key holds the value, so no group is in one task. Rows outside
+   every bracket are not shuffled: 6n/accuracy rows of a large group are.
+3. The brackets are cut into ``CUTS`` equal ranges. Running counts over the ranges tell which range holds a wanted
+   rank, and only the values of that range are ranked one by one; so no task sorts a whole bracket. The sketch's
+   error bound puts the ranks inside the bracket; should one ever lie outside, the query fails instead of
+   returning a wrong value.
 
 Nothing is written and no job runs while the plan is built.
 """
@@ -27,65 +26,63 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+ACCURACY = 10_000
+CUTS = 1024
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                     accuracy: int = ACCURACY) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` and ``q`` (array aligned with ``probs``).
 
-    Groups without a non-NULL value produce no row. Without ``by`` the per-group tables
-    have exactly one row and are broadcast; with ``by`` they have one row per group and
-    AQE picks broadcast or a (skew-split) shuffle join at run time.
+    Groups without a non-NULL value produce no row. Without ``by`` the brackets are a scalar
+    subquery; with ``by`` they have one row per group and AQE picks broadcast or a
+    (skew-split) shuffle join at run time.
     """
     by = list(by)
-    keys = by or ["_g"]
     probs = [float(p) for p in probs]
     k = len(probs)
     delta = 3.0 / accuracy
-    base = df.select(*(by or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v")) \
-             .where(F.col("_v").isNotNull())
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ends = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
+    sketch = (base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
+                                    F.percentile_approx("_v", ends, accuracy).alias("_b")))
+    narrow = F.col("n") >= accuracy  # below, three ranks do not fit in the margin: all values
+    at = lambda i: F.col("_b")[i]
+    lo = F.array(*[F.when(narrow, at(i)).otherwise(F.col("_mn")) for i in range(k)])
+    hi = F.array(*[F.when(narrow, at(k + i)).otherwise(F.col("_mx")) for i in range(k)])
+    sketch = sketch.select(*by, F.struct("n", lo.alias("lo"), hi.alias("hi")).alias("_s"))
+    x = base.join(sketch, by) if by else base.withColumn("_s", sketch.select("_s").scalar())
 
-    def small(d: DataFrame) -> DataFrame:
-        return d if by else F.broadcast(d)
+    # (bracket, range of the bracket, value): range -1 and no value for all rows below the bracket
+    v = F.col("_v")
 
-    lows = [max(0.0, p - delta) for p in probs]
-    highs = [min(1.0, p + delta) for p in probs]
-    sk = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-                                 F.percentile_approx("_v", lows + highs, accuracy).alias("_b"))
-    narrow = F.col("n") >= accuracy  # below, three ranks do not fit in the margin: all values
-    sk = sk.select(*keys, "n",
-                   *[F.when(narrow, F.col("_b")[i]).otherwise(F.col("_mn")).alias(f"_lo{i}") for i in range(k)],
-                   *[F.when(narrow, F.col("_b")[k + i]).otherwise(F.col("_mx")).alias(f"_hi{i}") for i in range(k)])
-    x = counted.join(small(sk), keys, "inner")
-    # counts strictly below each bracket (conditional counts, partial aggregates)
-    below = x.groupBy(*keys).agg(*[F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), F.col("_cnt")).otherwise(0)).alias(f"_c{i}") for i in range(k)])
-    # band rows: each value emits only the indices of the brackets it falls in
-    hit = F.filter(F.array(*[F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.lit(i))
-                             for i in range(k)]), lambda e: e.isNotNull())
-    band = x.select(*keys, "_v", "_cnt", F.explode(hit).alias("_i"))
+    def met(i: int):
+        low, high = F.col("_s.lo")[i], F.col("_s.hi")[i]
+        cut = F.when(high > low, F.least(F.floor((v - low) / (high - low) * CUTS).cast("int"), F.lit(CUTS - 1))).otherwise(F.lit(0))
+        row = F.struct(F.lit(i).alias("i"), F.when(v < low, F.lit(-1)).otherwise(cut).alias("cut"), F.when(v >= low, v).alias("value"))
+        return F.when(v <= high, row)
 
-    tcols = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(p).alias("_p"), F.col(f"_c{i}").alias("_below"))
-                      for i, p in enumerate(probs)])
-    targets = (sk.select(*keys, "n").join(below, keys, "inner").select(*keys, "n", F.inline(tcols))
-                 .withColumn("_h", F.col("_p") * (F.col("n") - 1))
-                 .withColumn("_k0", F.floor("_h").cast("bigint"))
-                 .withColumn("_frac", F.col("_h") - F.col("_k0")))
+    slots = F.filter(F.array(*[met(i) for i in range(k)]), lambda s: s.isNotNull())
+    keys = [*by, "i"]
+    counted = (x.select(*by, F.col("_s.n").alias("n"), F.inline(slots)).groupBy(*keys, "cut", "value", "n")
+               .agg(F.count(F.lit(1)).alias("_cnt")))
 
-    w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (band.join(small(targets.select(*keys, "_i", "_below", "_k0")), keys + ["_i"], "inner")
-                  .withColumn("_cum", F.col("_below") + F.sum("_cnt").over(w)))
-    picks = (ranked.groupBy(*keys, "_i")
-                   .agg(F.min(F.when(F.col("_cum") >= F.col("_k0") + 1, F.col("_v"))).alias("_v0"),
-                        F.min(F.when(F.col("_cum") >= F.col("_k0") + 2, F.col("_v"))).alias("_v1")))
-    res = targets.join(picks, keys + ["_i"], "left")
-    ok = ((F.col("_below") <= F.col("_k0")) & F.col("_v0").isNotNull()
-          & ((F.col("_frac") == 0) | F.col("_v1").isNotNull()))
-    val = F.when(F.col("_frac") == 0, F.col("_v0")).otherwise(
-        F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0")))
+    rank = F.element_at(F.lit(probs), F.col("i") + 1) * (F.col("n") - 1)
+    in_order = Window.partitionBy(*keys).orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = (counted.groupBy(*keys, "cut", "n").agg(F.sum("_cnt").alias("_c"))
+              .withColumn("_to", F.sum("_c").over(in_order)).withColumn("_h", rank)
+              .withColumn("_k", F.floor("_h").cast("bigint")).withColumn("_frac", F.col("_h") - F.col("_k")))
+    wanted = (ranges.where("_to > _k and _to - _c <= _k + if(_frac > 0, 1, 0)")
+              .select(*keys, "cut", (F.col("_to") - F.col("_c")).alias("_before"), "_k", "_frac"))
+    by_value = Window.partitionBy(*keys, "cut").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.join(wanted, [*keys, "cut"]).withColumn("_upto", F.col("_before") + F.sum("_cnt").over(by_value))
+    picks = ranked.groupBy(*keys, "n", "_k", "_frac").agg(
+        F.min(F.when(F.col("_upto") > F.col("_k"), F.col("value"))).alias("_v0"),
+        F.min(F.when(F.col("_upto") > F.col("_k") + 1, F.col("value"))).alias("_v1"),
+        (F.min("cut") >= 0).alias("_inside"))
+    ok = F.col("_inside") & F.col("_v0").isNotNull() & ((F.col("_frac") == 0) | F.col("_v1").isNotNull())
+    val = F.when(F.col("_frac") == 0, F.col("_v0")).otherwise(F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0")))
     miss = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-    res = res.select(*keys, "n", "_i", F.when(ok, val).otherwise(miss).alias("_q"))
-    out = (res.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_a"))
-              .select(*by, "n", F.transform("_a", lambda s: s["_q"]).alias("q")))
-    return out
+    one = picks.select(*by, "n", "i", F.when(ok, val).otherwise(miss).alias("_q"))
+    return (one.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("i", "_q"))).alias("_a"))
+            .select(*by, "n", F.transform("_a", lambda s: s["_q"]).alias("q")))
