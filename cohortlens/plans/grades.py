@@ -81,8 +81,10 @@ def course_grade_extremes(t, scope: Scope = ALL) -> DataFrame:
 
 
 def course_grade_spread(t, scope: Scope = ALL, approx: bool = False) -> DataFrame:
-    """Five-number summary, IQR fences and outlier count of score per course."""
-    g = graded(t, scope).where(F.col("course_name").isNotNull())
+    """Five-number summary, IQR fences and outlier count of score per course. The narrow input, read
+    three times, is written once (building the plan runs the write)."""
+    g = t.materialize(f"course_scores_{scope}", lambda: graded(t, scope).where(F.col("course_name").isNotNull())
+                      .select("course_name", "score"))
     return five_number(g, "course_name", "score", approx=approx)
 
 
@@ -103,8 +105,8 @@ def assessment_distribution(t, scope: Scope = ALL, bins: int = 10) -> DataFrame:
     One row per (type, bin) that holds values: ``bin`` 0..bins-1 (the maximum falls in the
     last bin), its bounds, its count, and the type's q1/median/q3.
     """
-    g = (graded(t, scope).where(F.col("type").isNotNull() & F.col("score").isNotNull())
-         .select("type", F.col("score").cast("double").alias("score")))
+    g = t.materialize(f"type_scores_{scope}", lambda: graded(t, scope).where(
+        F.col("type").isNotNull() & F.col("score").isNotNull()).select("type", F.col("score").cast("double").alias("score")))
     s = exact_quantiles(g, "score", [0.0, 0.25, 0.5, 0.75, 1.0], ["type"]) \
         .select("type", F.col("q")[0].alias("_mn"), F.col("q")[4].alias("_mx"),
                 F.slice("q", 2, 3).alias("_q"))

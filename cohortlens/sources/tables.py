@@ -8,6 +8,7 @@ the columns it uses and Catalyst pushes them into ``ReadSchema`` / ``PushedFilte
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -77,7 +78,7 @@ class Tables:
         """
         if key not in self._views:
             from cohortlens.session import materialize
-            self._views[key] = materialize(build(), key)
+            self._views[key] = materialize(build(), re.sub(r"[^A-Za-z0-9_-]+", "_", key))
         return self._views[key]
 
     def view(self, name: str) -> DataFrame:
