@@ -165,3 +165,22 @@ def test_bucketed_versions_join_without_a_shuffle(spark):
         assert joined.where("w <> 2 * v").count() == 0 and joined.count() == 50
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_colocated_facts_plan_without_a_shuffle(spark, base):
+    from cohortlens.plans import cleaning
+    t = catalogue.colocate(base, scratch_path(spark, "colocated"), 4)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        grades = t.view("assessments").groupBy("student_id").agg(F.avg("score").alias("grade"))
+        plans = {"ghosts": QUERIES["audit_ghost_submissions"](t), "submissions": cleaning.clean_submissions(t),
+                 "grades": t.view("roster").join(grades, "student_id", "left")}
+        for name, df in plans.items():
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    for name in ("student_profile", "engagement_profile", "audit_ghost_submissions", "clean_submissions", "march_absence_effect"):
+        assert _rows(QUERIES[name](t)) == _rows(QUERIES[name](base)), name
