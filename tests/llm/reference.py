@@ -68,6 +68,19 @@ def ratio_scores(docs, trusted, buckets):
     return [float(r[b].mean()) if len(b) else 0.0 for b in found]
 
 
+def ratio_threshold(scores, labels, rule):
+    """The derived threshold from ``{doc_id: score}`` of documents past the base rules and all label rows."""
+    good = {r.doc_id for r in labels if r.quality == 1 and not r.toxic}
+    bad = {r.doc_id for r in labels if r.quality == 0}
+    kinds = []
+    for one, other, share in ((bad, good, 0.99), (good, bad, 0.01)):
+        steps = sorted(int(np.floor(scores[i] * rule.STEPS)) for i in one - other if i in scores)
+        if not steps:
+            return rule.MIN_SCORE
+        kinds.append(next(s for k, s in enumerate(steps, 1) if k >= share * len(steps)) / rule.STEPS)
+    return kinds[0] + rule.MARGIN * (kinds[1] - kinds[0])
+
+
 def character_shingles(line):
     s = " ".join(words(line))
     return {s[i:i + 5] for i in range(max(1, len(s) - 4))}

@@ -11,14 +11,17 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_equals_brute_force(spark):
     from tokenizers import Tokenizer
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
-    trusted = {r.doc_id for r in table(spark, SF, "labels").collect() if r.quality == 1 and not r.toxic}
+    labels = table(spark, SF, "labels").collect()
+    trusted = {r.doc_id for r in labels if r.quality == 1 and not r.toxic}
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     scores = reference.ratio_scores(docs, trusted, target_ratio.BUCKETS)
-    keep = []
+    passed = {}
     for (i, t), s in zip(docs, scores):
         n, _, _, _, repeat = reference.base_rules(t)
-        if n >= 50 and 100 * repeat <= 50 * n and s >= target_ratio.MIN_SCORE:
-            keep.append((i, t))
+        if n >= 50 and 100 * repeat <= 50 * n:
+            passed[i] = s
+    least = reference.ratio_threshold(passed, labels, target_ratio)
+    keep = [(i, t) for i, t in docs if passed.get(i, least - 1) >= least]
     gone = reference.dropped_lines(keep)
     keep = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in {d[0] for d in gone[i]})) for i, t in keep]
     classes = reference.near_classes(keep)
@@ -36,3 +39,15 @@ def test_stages_keep_the_columns(spark):
     assert 4 <= len(pipeline.STAGES) <= 5
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).schema == docs.schema
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """An empty table and rows without ids or texts go through all stages."""
+    for name in ("labels", "benchmark", "documents"):
+        table(spark, SF, name).limit(0 if name == "documents" else 20).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = table(spark, SF, "documents")
+    odd = docs.limit(30).selectExpr("cast(null as bigint) as doc_id", "if(doc_id % 5 = 0, null, text) as text", "lang", "source", "n_chars")
+    odd.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r.doc_id is None and r.n_tokens == len(r.ids) for r in got)
