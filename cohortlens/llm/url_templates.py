@@ -37,8 +37,7 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-LEVELS = 3
-FANOUT = 20
+LEVELS = 3  # at least so many segments are walked, whatever their purity
 Z_LIMIT = 1.96
 STRENGTH = 5.0
 REJECT = 0.8
@@ -136,39 +135,32 @@ def judge_sql(rules=RULES) -> str:
 
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in ordered) + " END"
     said = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules) + " END"
-    seg = ", ".join(f"CASE WHEN regexp_matches(coalesce(seg[{k + 1}], ''), '^[0-9a-f]{{8,}}$') THEN '<hex>' ELSE "
-                    f"regexp_replace(coalesce(seg[{k + 1}], ''), '[0-9]+', '<n>', 'g') END AS s{k}"
-                    for k in range(1, LEVELS + 1))
-    keys = ", ".join(["host", *[f"s{k}" for k in range(1, LEVELS + 1)]])
-    ctes = [f"""
+    return f"""WITH RECURSIVE
 p0 AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1),
                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
               regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
-p1 AS (SELECT *, {rule} AS rule, string_split(path, '/') AS seg FROM p0),
-p AS (SELECT page_id, host, path, rule, {said} AS said, {seg} FROM p1),
-tree0 AS (SELECT {keys}, count(said)::DOUBLE AS labelled, count(CASE WHEN said = 'block' THEN 1 END)::DOUBLE AS blocked
-          FROM p GROUP BY {keys})"""]
-    for k in range(1, LEVELS + 1):
-        par = ", ".join(["host", *[f"t{i}" for i in range(1, k)]])
-        ctes.append(f"""
-child{k} AS (SELECT {par}, s{k}, sum(labelled) AS lab, sum(blocked) AS bad FROM tree{k - 1} GROUP BY {par}, s{k}),
-sib{k} AS (SELECT *, count(*) OVER w AS fan, sum(lab) OVER w AS al, sum(bad) OVER w AS ab
-          FROM child{k} WINDOW w AS (PARTITION BY {par})),
-name{k} AS (SELECT {par}, s{k}, CASE WHEN s{k} = '' THEN '' WHEN fan > {FANOUT} THEN '*'
-            WHEN fan > 1 AND (lab = 0 OR al = lab OR ab = 0 OR ab = al OR
-              abs(bad / lab - (ab - bad) / (al - lab)) < {Z_LIMIT} * sqrt((ab / al) * (1 - ab / al) * (1 / lab + 1 / (al - lab))))
-            THEN '*' ELSE s{k} END AS t{k} FROM sib{k}),
-tree{k} AS (SELECT tree{k - 1}.*, name{k}.t{k} FROM tree{k - 1} JOIN name{k} USING ({par}, s{k}))""")
-    ctes.append(f"""
-q0 AS (SELECT host, (sum(blocked) + {STRENGTH} * (SELECT least((sum(blocked) + 1) / (sum(labelled) + 2), 0.5) FROM tree{LEVELS}))
-              / (sum(labelled) + {STRENGTH}) AS q FROM tree{LEVELS} GROUP BY host)""")
-    for k in range(1, LEVELS + 1):
-        par, node = (", ".join(["host", *[f"t{i}" for i in range(1, j)]]) for j in (k, k + 1))
-        ctes.append(f"""
-n{k} AS (SELECT {node}, sum(labelled) AS lab, sum(blocked) AS bad FROM tree{LEVELS} GROUP BY {node}),
-q{k} AS (SELECT {node}, (bad + {STRENGTH} * q) / (lab + {STRENGTH}) AS q FROM n{k} JOIN q{k - 1} USING ({par}))""")
-    ts = ", ".join(f"t{k}" for k in range(1, LEVELS + 1))
-    return f"""WITH {','.join(ctes)}
+p1 AS (SELECT *, {rule} AS rule, list_transform(string_split(rtrim(path, '/'), '/')[2:], lambda x:
+         CASE WHEN regexp_matches(x, '^[0-9a-f]{{8,}}$') THEN '<hex>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END) AS segs FROM p0),
+p AS (SELECT page_id, host, path, rule, {said} AS said, segs FROM p1),
+paths AS (SELECT host, segs, count(said)::DOUBLE AS labelled, count(CASE WHEN said = 'block' THEN 1 END)::DOUBLE AS blocked
+          FROM p GROUP BY host, segs),
+hosts AS (SELECT host, (sum(blocked) + {STRENGTH} * (SELECT least((sum(blocked) + 1) / (sum(labelled) + 2), 0.5) FROM paths))
+                 / (sum(labelled) + {STRENGTH}) AS q FROM paths GROUP BY host),
+-- one round a level: children under the templates so far, wildcards where they do not differ, smoothed purity
+tree AS (
+  SELECT host, segs, labelled, blocked, 0 AS k, []::VARCHAR[] AS t, q, true AS open FROM paths JOIN hosts USING (host)
+  UNION ALL
+  SELECT host, segs, labelled, blocked, k + 1, list_append(t, name), (node_bad + {STRENGTH} * q) / (node_lab + {STRENGTH}),
+         k + 1 < {LEVELS} OR (depth > k + 1 AND node_bad > 0 AND node_bad < node_lab)
+  FROM (SELECT *, sum(labelled) OVER n AS node_lab, sum(blocked) OVER n AS node_bad, max(len(segs)) OVER n AS depth
+        FROM (SELECT *, CASE WHEN seg = '' THEN '' WHEN first_seg <> last_seg AND (lab = 0 OR al = lab OR ab = 0 OR ab = al OR
+                abs(bad / lab - (ab - bad) / (al - lab)) < {Z_LIMIT} * sqrt((ab / al) * (1 - ab / al) * (1 / lab + 1 / (al - lab))))
+                THEN '*' ELSE seg END AS name
+              FROM (SELECT *, sum(labelled) OVER c AS lab, sum(blocked) OVER c AS bad, sum(labelled) OVER u AS al,
+                           sum(blocked) OVER u AS ab, min(seg) OVER u AS first_seg, max(seg) OVER u AS last_seg
+                    FROM (SELECT *, coalesce(segs[k + 1], '') AS seg FROM tree WHERE open)
+                    WINDOW c AS (PARTITION BY host, t, seg), u AS (PARTITION BY host, t)))
+        WINDOW n AS (PARTITION BY host, t, name)))
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN q >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
-  regexp_replace(concat_ws('/', '', {ts}), '/+$', '/') AS template, round(q, 9) AS purity
-FROM p JOIN tree{LEVELS} USING ({keys}) JOIN q{LEVELS} USING (host, {ts})"""
+  regexp_replace(array_to_string(list_prepend('', t), '/'), '/+$', '/') AS template, round(q, 9) AS purity
+FROM p JOIN (SELECT * FROM tree WHERE NOT open) USING (host, segs)"""

@@ -357,3 +357,16 @@ def leak_recall(n_words, n=200, mixed=False):
 def test_leak_recall_at_the_edit_limit(mixed):
     for n_words in (8, 10, 16, 20, 32, 40, 64, 80, 160):
         assert leak_recall(n_words, mixed=mixed) >= leak_search.TARGET_RECALL, n_words
+
+
+def test_url_sql_has_the_rule_at_every_depth(spark):
+    """Deep paths and many siblings, against the recursive SQL."""
+    urls = [f"x://example.org/{lang}/{i}/b/c/{w}/1{i}" for lang in ("es", "en", "fr") for w in ("bad", "good") for i in range(40)]
+    urls += [f"y://k.com/{'de' if i % 2 else 'fr'}/s{chr(97 + i % 26)}/x/{i % 7}/z{i % 3}/q" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    names = ["page_id", "host", "path", "rule", "verdict", "template", "purity"]
+    want = sorted(con.sql(url_templates.judge_sql()).select(", ".join(names)).fetchall())
+    got = sorted(map(tuple, url_templates.judge(df).select(*names).collect()))
+    assert [r[:6] for r in got] == [r[:6] for r in want] and all(abs(a[6] - b[6]) < 1e-8 for a, b in zip(got, want))
