@@ -29,7 +29,8 @@ SAMPLE_BYTES = 512
 STEPS = 260
 BATCH = 256
 RATE = 0.02
-MAX_LANGUAGES = 256  # of the most frequent languages
+SAMPLE_TOTAL = 65_536  # rows of all languages together; every language has one at least
+UNITS_PER_LANGUAGE = 1.5
 BLOCK = 4096  # windows scored at a time
 UNKNOWN = "und"
 
@@ -188,7 +189,8 @@ def predict(model: ByteTagger, texts: list[str | None]) -> tuple[list[str], np.n
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(lang, piece)``: up to ``rows`` labelled documents per language, not held out, each with
-    a piece of ``SAMPLE_BYTES`` characters at a place that depends on the document.
+    a piece of ``SAMPLE_BYTES`` characters at a place that depends on the document. Of very many languages each has
+    its share of ``SAMPLE_TOTAL`` rows, one at least; none is left out.
 
     Rows are thinned by hash to a few times the wanted number before the exact choice, so that
     no task receives a whole language.
@@ -196,11 +198,12 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     d = columns(docs, doc_id="long", text="string", lang="string").where(
         "lang is not null and text is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     d = d.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    size = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    thin = (d.join(F.broadcast(size), "lang")
-            .where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < (4 * rows) * (1 << 20))
+    size = d.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(SAMPLE_TOTAL) / size.agg(F.count("*")).scalar())))
+    thin = (d.join(size, "lang").withColumn("share", share)
+            .where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.greatest(4 * F.col("share"), F.lit(64)) * (1 << 20))
             .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-            .where(F.col("rank") <= rows))
+            .where(F.col("rank") <= F.col("share")))
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0)) + 1) + 1
     return thin.select("lang", F.substring("text", place.cast("int"), F.lit(SAMPLE_BYTES)).alias("piece"))
 
@@ -209,7 +212,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> ByteTagger:
     """The network fitted on ``training_sample`` (bounded by its parameters)."""
     sample = training_sample(docs, rows).orderBy("lang", "piece").toPandas()
     classes = sorted(sample["lang"].unique())
-    model = ByteTagger(classes)
+    width = max(HIDDEN, int(UNITS_PER_LANGUAGE * len(classes)))
+    model = ByteTagger(classes, width)
     data = [p.encode("utf-8", "surrogatepass") for p in sample["piece"]]
     buffer, (owner, start), length = windows_of(data)
     if len(start):
@@ -217,7 +221,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> ByteTagger:
         y = np.array([code[x] for x in sample["lang"]])[owner]
         present = sorted(set(y.tolist()))
         if len(present) < len(classes):  # a language with empty texts only is not learnt
-            model = ByteTagger([classes[c] for c in present])
+            model = ByteTagger([classes[c] for c in present], width)
             y = np.searchsorted(present, y)
         model.fit(gather(buffer, start, length), length, y)
     else:

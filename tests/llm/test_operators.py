@@ -370,3 +370,14 @@ def test_url_sql_has_the_rule_at_every_depth(spark):
     want = sorted(con.sql(url_templates.judge_sql()).select(", ".join(names)).fetchall())
     got = sorted(map(tuple, url_templates.judge(df).select(*names).collect()))
     assert [r[:6] for r in got] == [r[:6] for r in want] and all(abs(a[6] - b[6]) < 1e-8 for a, b in zip(got, want))
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    """Many languages share the sample's bound; each has a class of its own and can be predicted."""
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 64)
+    monkeypatch.setattr(language, "STEPS", 20)
+    rows = [(i, "".join(chr(0x4E00 + (i % 40) * 16 + j % 16) for j in range(80)), f"l{i % 40:02d}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_sample(df).collect()
+    assert {r.lang for r in sample} == {f"l{k:02d}" for k in range(40)} and len(sample) <= 64
+    assert len(language.train(df).classes) == 40
