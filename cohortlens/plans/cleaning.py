@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import floor_ntz
+from cohortlens.operators.columns import constant_columns, equal_columns, renamed_columns
 from cohortlens.operators.formats import batch_formats, canonical_label, parse_by_batch
 from cohortlens.operators.joins import effective_at
 from cohortlens.plans import quality as q
@@ -313,6 +314,23 @@ def clean_gender_labels(t) -> DataFrame:
     return dirty.raw_gender_labels(t).select("student_id", canonical_label(F.col("gender_text"), GENDERS).alias("gender"))
 
 
+# ------------------------------------------------------------------ rules 13, 14 and 19 by inspection
+def found_redundant_columns(t) -> DataFrame:
+    """Rule 13: the columns of the raw roster that repeat another, found without naming any."""
+    return equal_columns(dirty.raw_roster(t))
+
+
+def found_constant_columns(t) -> DataFrame:
+    """Rule 14: the columns of the raw roster that hold one value."""
+    return constant_columns(dirty.raw_roster(t))
+
+
+def found_renamed_columns(t) -> DataFrame:
+    """Rule 19: the columns that the two generations of the attendance export name differently."""
+    old, new = dirty.raw_attendance_batches(t)
+    return renamed_columns(old, new).select("old_name", "new_name")
+
+
 CLEANERS = {"roster": clean_roster, "assessments": clean_assessments, "attendance": clean_attendance,
             "events": clean_events, "concepts": clean_concepts, "documents": clean_documents,
             "submissions": clean_submissions, "grades": clean_grades, "lines": clean_lines}

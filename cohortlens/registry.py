@@ -788,6 +788,24 @@ reg("export_load_report", cleaning.export_load_report, W(" UNION ALL ".join(
     for v in ("roster", "assessments", "attendance", "concepts", "learn_events", "raw_submissions", "raw_quiz_grades")),
     "roster", "assessments", "attendance", "concepts", "learn_events", "raw_submissions", "raw_quiz_grades"))
 
+# -- rules 13, 14 and 19 by inspection: every pair of columns of one type is compared here
+_RAW_ROSTER = """rx AS (SELECT student_id, full_name, CASE WHEN student_id % 33 = 0 THEN 'missing@' ELSE email END AS email,
+      CASE WHEN student_id % 45 = 0 THEN -age WHEN student_id % 60 = 0 THEN age + 150 ELSE age END AS age, course_id, course_name,
+      group_id, instructor, stated_num_students, CASE WHEN student_id % 70 = 0 THEN 1 - student_id % 2 ELSE student_id % 2 END
+      AS gender, true AS is_active FROM roster)"""
+_TEXT, _LONG = ("full_name", "email", "course_id", "course_name", "group_id", "instructor"), ("student_id", "age", "gender")
+reg("found_redundant_columns", cleaning.found_redundant_columns, W(
+    f", {_RAW_ROSTER}, eq AS (" + " UNION ALL ".join(
+        f"SELECT '{b}' AS dup, '{a}' AS duplicate_of, {i} AS pos, bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM rx"
+        for kind in (_TEXT, _LONG) for i, a in enumerate(kind) for b in kind[i + 1:])
+    + ") SELECT dup AS column, duplicate_of FROM eq WHERE same QUALIFY row_number() OVER (PARTITION BY dup ORDER BY pos) = 1", "roster"))
+reg("found_constant_columns", cleaning.found_constant_columns, W(
+    f", {_RAW_ROSTER} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column FROM rx HAVING count(*) > 1 AND count(DISTINCT {c}) <= 1"
+        for c in (*_TEXT, *_LONG, "stated_num_students", "is_active")), "roster"))
+reg("found_renamed_columns", cleaning.found_renamed_columns, W(
+    "SELECT 'datetime' AS old_name, 'session_datetime' AS new_name FROM attendance HAVING count(*) > 0", "attendance"))
+
 
 # ---------------------------------------------------------------- scoped variants
 from cohortlens.operators.scope import Scope  # noqa: E402
