@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import day_number
+from cohortlens.session import materialize
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str,
@@ -92,11 +93,11 @@ def nearest_other(targets: DataFrame, candidates: DataFrame, key: str, value: st
     target itself (J12). Ties: smallest |diff|, then smallest candidate key.
 
     Candidates are first reduced to one row per distinct value carrying its smallest and
-    second-smallest key (an equi-join on the value, no pairs) and the neighbouring distinct
-    values (``lag``/``lead``). The neighbour below and above each target come from running
-    ``last`` windows in value order over the union of those rows and the targets; when the
-    neighbour is the target itself, the second key at that value or the next value over
-    is used. Both inputs are per-group aggregates, one row per group.
+    second-smallest key (an equi-join on the value, no pairs). Those rows and the targets are
+    partitioned by ranges of the value; running ``last`` windows inside a range give the two candidate values
+    below and above each target, and what lies beyond a range's ends is carried over as one
+    small aggregate, two candidates for each end of each range (building the plan writes the ranges). When the neighbour is the target itself, the second key at
+    that value or the next value over is used.
     Output: target columns + ``nearest_key``, ``nearest_value``.
     """
     c = candidates.select(F.col(key).alias("_ck"), F.col(value).cast("double").alias("_v")) \
@@ -104,45 +105,53 @@ def nearest_other(targets: DataFrame, candidates: DataFrame, key: str, value: st
     g1 = c.groupBy("_v").agg(F.min("_ck").alias("_g1"))
     g2 = (c.join(g1, "_v").where(F.col("_ck") > F.col("_g1"))
            .groupBy("_v").agg(F.min("_ck").alias("_g2")))
-    wd = Window.orderBy("_v")
-    d = (g1.join(g2, "_v", "left")
-           .withColumn("_pv", F.lag("_v").over(wd)).withColumn("_pk", F.lag("_g1").over(wd))
-           .withColumn("_nv", F.lead("_v").over(wd)).withColumn("_nk", F.lead("_g1").over(wd)))
+    d = g1.join(g2, "_v", "left")
 
     t = targets.withColumn("_tv", F.col(value).cast("double"))
     # same value: the smallest key other than the target itself, at distance 0
     eq = (t.select(key, "_tv").join(d.select(F.col("_v").alias("_tv"), "_g1", "_g2"), "_tv")
            .select(key, F.when(F.col("_g1") != F.col(key), F.col("_g1")).otherwise(F.col("_g2")).alias("_eqk")))
 
-    cand = F.struct(F.col("_v").alias("v"), F.col("_g1").alias("k"), F.col("_g2").alias("k2"),
-                    F.col("_pv").alias("pv"), F.col("_pk").alias("pk"), F.col("_nv").alias("nv"),
-                    F.col("_nk").alias("nk"))
+    cand = F.struct(F.col("_v").alias("v"), F.col("_g1").alias("k"), F.col("_g2").alias("k2"))
     cand_rows = d.select(F.col("_v").alias("_o"), cand.alias("_c"), F.lit(None).cast("string").alias("_tk"))
-    tgt_rows = t.select(F.col("_tv").alias("_o"), F.lit(None).cast(cand_rows.schema["_c"].dataType).alias("_c"),
-                        F.col(key).cast("string").alias("_tk"))
-    u = cand_rows.unionByName(tgt_rows)
-    # below: candidates strictly smaller (targets sort first at equal value)
-    wb = Window.orderBy(F.col("_o").asc(), F.col("_tk").isNull().asc()).rowsBetween(Window.unboundedPreceding, -1)
-    # above: candidates strictly larger (targets sort first at equal value, descending)
-    wa = Window.orderBy(F.col("_o").desc(), F.col("_tk").isNull().asc()).rowsBetween(Window.unboundedPreceding, -1)
-    nb = (u.withColumn("_lo", F.last("_c", ignorenulls=True).over(wb))
-           .withColumn("_hi", F.last("_c", ignorenulls=True).over(wa))
-           .where(F.col("_tk").isNotNull()).select(F.col("_tk").alias(key), "_lo", "_hi"))
-
-    res = t.join(nb, key, "left").join(eq, key, "left")
+    shape = cand_rows.schema["_c"].dataType
+    tgt_rows = t.select(F.col("_tv").alias("_o"), F.lit(None).cast(shape).alias("_c"), F.col(key).cast("string").alias("_tk"))
+    # written once: the ranges come from a sample, and both readers below must see the same ones
+    u = materialize(cand_rows.unionByName(tgt_rows).repartitionByRange("_o").withColumn("_p", F.spark_partition_id()), "ranges")
+
+    # inside a range: the candidate before and after every row (targets sort first at equal value, either way)
+    before = Window.unboundedPreceding, -1
+    up = Window.partitionBy("_p").orderBy(F.col("_o").asc(), F.col("_tk").isNull().asc()).rowsBetween(*before)
+    down = Window.partitionBy("_p").orderBy(F.col("_o").desc(), F.col("_tk").isNull().asc()).rowsBetween(*before)
+    one = u.withColumns({"_lo": F.last("_c", ignorenulls=True).over(up), "_hi": F.last("_c", ignorenulls=True).over(down)})
+    both = lambda side: F.when(F.col("_c").isNotNull(), F.array("_c", side))
+    two = one.withColumns({"_los": F.coalesce(F.last(both("_lo"), ignorenulls=True).over(up), F.array().cast(f"array<{shape.simpleString()}>")),
+                           "_his": F.coalesce(F.last(both("_hi"), ignorenulls=True).over(down), F.array().cast(f"array<{shape.simpleString()}>"))})
+    # beyond it: two candidates at each end of each range, one row per range
+    ends = (one.where("_c is not null").groupBy("_p").agg(F.max_by(F.array("_c", "_lo"), "_o").alias("top"), F.min_by(F.array("_c", "_hi"), "_o").alias("bottom"))
+            .agg(F.collect_list(F.struct("_p", "top", "bottom"))).scalar())
+
+    def beyond(side: str, earlier: bool) -> Column:
+        ranges = F.filter("_ends", lambda x: (x["_p"] < F.col("_p")) if earlier else (x["_p"] > F.col("_p")))
+        found = F.filter(F.flatten(F.transform(ranges, lambda x: x[side])), lambda x: x.isNotNull())
+        return F.sort_array(found, asc=not earlier)
+
+    near = (two.where(F.col("_tk").isNotNull()).withColumn("_ends", ends)
+            .select(F.col("_tk").alias(key), F.filter(F.concat("_los", beyond("top", True)), lambda x: x.isNotNull()).alias("_lo"),
+                    F.filter(F.concat("_his", beyond("bottom", False)), lambda x: x.isNotNull()).alias("_hi")))
+
+    res = t.join(near, key, "left").join(eq, key, "left")
     me = F.col(key)
 
-    def skip_self(s: str, far_v: str, far_k: str):
-        """(value, key) of neighbour ``s``, stepping past the target itself."""
-        own = F.col(f"{s}.k") == me
-        k = (F.when(~own, F.col(f"{s}.k")).when(F.col(f"{s}.k2").isNotNull(), F.col(f"{s}.k2"))
-              .otherwise(F.col(f"{s}.{far_k}")))
-        v = (F.when(~own, F.col(f"{s}.v")).when(F.col(f"{s}.k2").isNotNull(), F.col(f"{s}.v"))
-              .otherwise(F.col(f"{s}.{far_v}")))
+    def skip_self(side: str):
+        """(value, key) of the nearest candidate on a side, stepping past the target itself."""
+        first, second = F.get(side, F.lit(0)), F.get(side, F.lit(1))
+        own = first["k"] == me
+        k = F.when(~own, first["k"]).when(first["k2"].isNotNull(), first["k2"]).otherwise(second["k"])
+        v = F.when(~own, first["v"]).when(first["k2"].isNotNull(), first["v"]).otherwise(second["v"])
         return v, k
 
-    lo_v, lo_k = skip_self("_lo", "pv", "pk")
-    hi_v, hi_k = skip_self("_hi", "nv", "nk")
+    (lo_v, lo_k), (hi_v, hi_k) = skip_self("_lo"), skip_self("_hi")
     res = res.withColumn("_lv", lo_v).withColumn("_lk", lo_k).withColumn("_hv", hi_v).withColumn("_hk", hi_k)
     dlo = F.abs(F.col("_tv") - F.col("_lv"))
     dhi = F.abs(F.col("_tv") - F.col("_hv"))

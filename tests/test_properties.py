@@ -1,6 +1,7 @@
 """Custom operators against brute force on random inputs (ties, duplicates, empty keys)."""
 
 import datetime as dt
+import random
 
 import numpy as np
 from hypothesis import HealthCheck, given, settings
@@ -48,6 +49,27 @@ def test_nearest_other_matches_brute_force(spark, cands, targets):
         assert got[g] == exp
 
 
+def test_nearest_other_over_many_ranges(spark):
+    """Neighbours that lie in other ranges, empty ranges between them, ties and targets that are candidates."""
+    rnd = random.Random(8)
+    cands = {f"c{i}": float(rnd.choice([rnd.randrange(40), rnd.randrange(4000), 10**6 + i])) for i in range(150)}
+    targets = {k: cands[k] for k in rnd.sample(sorted(cands), 60)} | {f"t{i}": float(rnd.randrange(-50, 5000)) for i in range(60)}
+    targets |= {"far": 1e9, "low": -1e9}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        c = spark.createDataFrame(list(cands.items()), "g string, m double")
+        t = spark.createDataFrame(list(targets.items()), "g string, m double")
+        df = nearest_other(t, c, "g", "m")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {r.g: (r.nearest_key, r.nearest_value) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for g, v in targets.items():
+        best = min((abs(v - cv), ck) for ck, cv in cands.items() if ck != g)
+        assert got[g] == (best[1], cands[best[1]]), g
+    assert all("_p#" in line for line in plan.split("\n") if "+- Window " in line or line.strip().startswith("Window"))
+
+
 @settings(**SETTINGS)
 @given(values=st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 40).map(float)), min_size=1, max_size=200),
        probs=st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.98, 1.0]), min_size=1, max_size=3, unique=True))
