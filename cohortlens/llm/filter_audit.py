@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import bit_plane, in_plane
 from cohortlens.session import materialize
 
 FILTERS = "ABCDE"
@@ -89,11 +90,7 @@ def repeated_slots(hashes: DataFrame, slots: int, parts: int, part: int) -> np.n
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
     merged = hashes.select("h").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    words = (merged.where("n > 1").groupBy(F.expr("slot div 32").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas())
-    plane = np.zeros(slots // 32, np.uint32)
-    plane[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return plane
+    return bit_plane(merged.where("n > 1"), F.col("slot"), slots)
 
 
 def possible_repeats(rows: DataFrame, hashes: DataFrame, n_rows: int) -> DataFrame:
@@ -104,12 +101,11 @@ def possible_repeats(rows: DataFrame, hashes: DataFrame, n_rows: int) -> DataFra
         plane = rows.sparkSession.sparkContext.broadcast(repeated_slots(hashes, slots, parts, part))
 
         def keep(batches: Iterator[pa.RecordBatch], part=part, plane=plane) -> Iterator[pa.RecordBatch]:
-            bits = plane.value
             for b in batches:
                 h = _hashes(b)
                 hit = _part(h, parts) == part
                 for slot in _probe(h, slots):
-                    hit &= (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1
+                    hit &= in_plane(plane.value, slot)
                 yield b.filter(pa.array(hit))
 
         found = rows.mapInArrow(keep, rows.schema)

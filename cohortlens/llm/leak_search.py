@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import bit_plane, in_plane
 from cohortlens.session import materialize
 
 WALKS = 3  # for windows of up to 16 words
@@ -244,20 +245,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return items.mapInPandas(run, "item_id long, words array<long>, size int, key long, offset int, " + ", ".join(f"c{k} long" for k in SETS))
 
 
-def _plane(rows: DataFrame, column: str, bits: int) -> np.ndarray:
-    """``bits`` bits over the column's values; the size does not depend on their number."""
-    slot = F.pmod(column, F.lit(bits))
-    words = (rows.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas())
-    out = np.zeros(bits // 32, np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def _in_plane(plane: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    return (plane[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """``(none, doc, row, text)``: none tells that there is no doc_id; row is a hash of doc_id and text, which tells the
     rows of one doc_id (or of none) apart."""
@@ -281,7 +268,7 @@ def _document_windows(rows: DataFrame, plane, sizes: list[int]) -> DataFrame:
             owner = np.repeat(np.arange(len(n)), n)
             local = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
             keys = window_keys(words, edge[owner] + local, size)
-            hit = _in_plane(bits, (keys % np.uint64(BITMAP)).astype(np.int64))
+            hit = in_plane(bits, (keys % np.uint64(BITMAP)).astype(np.int64))
             _, w = np.nonzero(hit)
             sets = window_sets(words, edge[owner[w]] + local[w], size)
             yield pd.DataFrame({"none": none[owner[w]], "doc": doc[owner[w]], "row": row[owner[w]], "key": _signed(keys[hit]),
@@ -307,15 +294,15 @@ def _found(docs: DataFrame, benchmark: DataFrame, max_edits: float) -> DataFrame
     windows = materialize(item_windows(benchmark), "item_windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # one per power of two
     rows = _rows(docs)
-    hits = _document_windows(rows, spark.sparkContext.broadcast(_plane(windows, "key", BITMAP)), sizes)
+    hits = _document_windows(rows, spark.sparkContext.broadcast(bit_plane(windows, F.pmod("key", F.lit(BITMAP)), BITMAP)), sizes)
     met = materialize(hits.join(windows.drop("words"), ["key", "size"]).where(_alike("size"))
                       .select(*ROW, "item_id", (F.col("at") - F.col("offset")).alias("at")).distinct(), "leak_candidates")
     # the candidates' texts: rows behind a bitmap, so that no other text is shuffled
-    wanted = spark.sparkContext.broadcast(_plane(met, "row", ROW_BITS))
+    wanted = spark.sparkContext.broadcast(bit_plane(met, F.pmod("row", F.lit(ROW_BITS)), ROW_BITS))
 
     def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f[_in_plane(wanted.value, f["row"].to_numpy() % ROW_BITS)]
+            yield f[in_plane(wanted.value, f["row"].to_numpy() % ROW_BITS)]
 
     texts = rows.mapInPandas(likely, rows.schema)
     places = met.groupBy(*ROW, "item_id").agg(F.collect_set("at").alias("places"))

@@ -69,4 +69,4 @@ QUERIES = {f.__name__: f for f in (
     op10_fuzzy_lines, op11_signature_join, op12_filter_audit, op13_spelling_groups)}
 
 ORACLES = {"op1_license_scan": licenses.scan_sql(), "op5_url_templates": url_templates.judge_sql(),
-           "op12_filter_audit": filter_audit.audit_sql()}
+           "op11_signature_join": signature_trees.near_copies_sql(), "op12_filter_audit": filter_audit.audit_sql()}

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import columns
+from cohortlens.llm.common import bit_plane, columns, in_plane
 from cohortlens.llm.components import components
 from cohortlens.session import materialize
 
@@ -161,25 +161,13 @@ def clusters(nodes: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(score, "id")
 
 
-def _plane(rows: DataFrame) -> np.ndarray:
-    """``WANTED_BITS`` bits with those of the wanted rows set; its size is fixed."""
-    slot = F.pmod("row", F.lit(WANTED_BITS))
-    words = (rows.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas())
-    plane = np.zeros(WANTED_BITS // 32, np.uint32)
-    plane[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return plane
-
-
 def clustered_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``wanted(id, cluster, score, name, row)`` to ``id, cluster, score, path, hashes``, read again from the texts."""
-    plane = docs.sparkSession.sparkContext.broadcast(_plane(wanted))
+    plane = docs.sparkSession.sparkContext.broadcast(bit_plane(wanted, F.pmod("row", F.lit(WANTED_BITS)), WANTED_BITS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = plane.value
         for f in frames:
-            slot = f["row"].to_numpy() % WANTED_BITS
-            f = f[(bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1]
+            f = f[in_plane(plane.value, f["row"].to_numpy() % WANTED_BITS)]
             sets = [shingle_hashes(t, shingle) for t in f["text"]]
             yield pd.DataFrame({"row": f["row"].to_numpy(), "name": _objects(xxhash.xxh128_digest(h.tobytes()) for h in sets),
                                 "hashes": _objects(_signed(h) for h in sets)})
@@ -456,3 +444,25 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     linked = rows.where("n > 0").select("doc_id", "n", "name").join(named.join(smallest, "class").select("name", "component_id"), "name")
     return (linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
             .unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+
+
+def near_copies_sql(shingle: int = SHINGLE, percent: int = PERCENT) -> str:
+    """The same by definition in DuckDB's SQL, over ``documents``: all pairs that share a shingle are counted."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(shingle))
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - {shingle - 2}), lambda i: {run}) END) AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+           GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+          WHERE 100 * k >= {percent} * (p.n + q.n - k)),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM sizes UNION SELECT steps.y, reach.other FROM reach JOIN steps ON steps.x = reach.node),
+least_id AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN least_id ON node = doc_id"""
