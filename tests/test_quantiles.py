@@ -41,6 +41,19 @@ def test_global_selection_is_exact(data):
     assert r.n == 5004
 
 
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("miss", ["all at the maximum", "all at the minimum"])
+def test_exact_whatever_the_sketch_says(data, by, miss, monkeypatch):
+    """A sketch whose ranks are off makes ranges wider; it neither fails the query nor changes its result."""
+    end = F.max if miss == "all at the maximum" else F.min
+    monkeypatch.setattr(F, "percentile_approx", lambda c, ps, accuracy: F.array_repeat(end(c), len(ps)))
+    got = {(r.g if by else None): r.q for r in exact_quantiles(data, "v", PROBS, by, accuracy=40).collect()}
+    exp = _expected(data, by)
+    assert set(got) == set(exp)
+    for g in exp:
+        assert got[g] == pytest.approx(exp[g], abs=1e-9)
+
+
 def test_no_job_and_no_group_only_shuffle(spark, data):
     plan = exact_quantiles(data, "v", PROBS, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan and "hashpartitioning(g#" in plan and "_v#" in plan
