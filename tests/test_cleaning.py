@@ -71,3 +71,12 @@ def test_report_leaves_the_views_alone(t):
     before = dict(t._views)
     q.dq_report(t)
     assert all(t._views[k] is v for k, v in before.items()) and not any(k.startswith("shared_") for k in t._views)
+
+
+def test_lines_are_dealt_into_parts_of_their_own(t, spark):
+    """The lines' sorts share a task, so AQE must not merge their parts (it would: all rows of sf0.001 in one)."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_part = cleaning.judge(t, cleaning.Job("lines", cleaning.dirty.raw_lines, cleaning.lines_job().steps[:1])) \
+        .groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert len(by_part) == parts > 1
+    assert sum(r.n for r in by_part) == t.read("lineitem").select("l_orderkey", "l_linenumber").distinct().count()
