@@ -184,3 +184,27 @@ def test_colocated_facts_plan_without_a_shuffle(spark, base):
             spark.conf.unset(k)
     for name in ("student_profile", "engagement_profile", "audit_ghost_submissions", "clean_submissions", "march_absence_effect"):
         assert _rows(QUERIES[name](t)) == _rows(QUERIES[name](base)), name
+
+
+def test_tables_load_side_by_side(spark, tmp_path, monkeypatch):
+    """No table's load waits for another's to end, and an error of one is the load's."""
+    import threading
+    meet, publish = threading.Barrier(len(catalogue.DOMAIN), timeout=60), snapshots.publish
+
+    def meeting(df, table, **options):
+        if not table.endswith("rejects"):
+            meet.wait()
+        return publish(df, table, **options)
+
+    monkeypatch.setattr(catalogue.snapshots, "publish", meeting)
+    got = catalogue.load(spark, str(tmp_path / "none"), str(tmp_path / "out"))
+    assert all(got.view(name).count() == 0 for name in catalogue.DOMAIN) and got.rejects().count() == 0
+
+    def failing(df, table, **options):
+        if table.endswith("attendance"):
+            raise OSError("no space")
+        return publish(df, table, **options)
+
+    monkeypatch.setattr(catalogue.snapshots, "publish", failing)
+    with pytest.raises(OSError, match="no space"):
+        catalogue.load(spark, str(tmp_path / "none"), str(tmp_path / "out2"))
