@@ -276,6 +276,17 @@ def test_lines_of_one_doc_id_and_of_none(spark):
     assert {(r.doc_id, r.dropped[0].class_doc) for r in out if r.n_dropped} == {(7, 7), (None, None), (2**63 - 1, 7)}
 
 
+def test_fuzzy_lines_leave_no_wide_tables(spark):
+    """Band hashes, shingle bitmaps and texts of lines are off the disk when the classes are known."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = [(n, f"a line that comes again and again\nthe line with the number {n} of many lines, all much alike") for n in range(20)]
+    out = fuzzy_lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert "components" in left and not left & {"lines_of", "nodes", "bands", "members", "sketches", "wanted", "sets", "open"}
+    assert sum(r.n_dropped for r in out.collect()) == 38
+
+
 def test_fuzzy_lines_by_character(docs, texts):
     """Shingles at every offset: the whole small table against brute force."""
     got = {r.doc_id: [tuple(x) for x in r.dropped] for r in fuzzy_lines.line_classes(docs).collect()}
