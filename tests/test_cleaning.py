@@ -80,3 +80,13 @@ def test_lines_are_dealt_into_parts_of_their_own(t, spark):
         .groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
     assert len(by_part) == parts > 1
     assert sum(r.n for r in by_part) == t.read("lineitem").select("l_orderkey", "l_linenumber").distinct().count()
+
+
+def test_findings_run_in_small_parts(t, spark, monkeypatch):
+    """All jobs run under the small part size, and the session's own size comes back."""
+    key, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    before, whole = spark.conf.get(key), cleaning.materialize
+    monkeypatch.setattr(cleaning, "materialize", lambda df, name: seen.append((spark.conf.get(key), name)) or whole(df, name))
+    rows = cleaning.cleaning_findings(t).collect()
+    assert seen == [(cleaning.SMALL_PARTS[key], "findings")] and before != seen[0][0]
+    assert spark.conf.get(key) == before and {r.source_table for r in rows} == set(cleaning.JOBS)
