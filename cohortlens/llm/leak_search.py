@@ -43,6 +43,7 @@ TARGET_RECALL = 0.99  # of items with MAX_EDITS edits, per item length; tested
 BITMAP = 1 << 25
 MAX_EDITS = 0.2
 PIECE = 1 << 20  # bytes hashed at a time
+AT_ONCE = 1 << 13  # windows walked at a time: what a step reads and writes stays in the processor's cache
 ROW_BITS = 1 << 26  # bits of the bitmap of documents with candidates, whatever their number
 PAIR_SETS = 2  # longs of a window's set of word pairs
 FACTOR = 0x9E3779B97F4A7C15
@@ -118,24 +119,40 @@ def _plan(size: int, walk: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarra
     return salt, picks, rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
 
+def _walk_keys(words: np.ndarray, starts: np.ndarray, size: int, out: np.ndarray) -> None:
+    """``window_keys`` of a run of windows into ``out``, step by step in place."""
+    at, word, end = np.empty(len(starts), np.int64), np.empty(len(starts), np.uint64), starts + size
+    factor = np.uint64(FACTOR)
+    for walk in range(walks(size)):
+        salt, picks, seeds = _plan(size, walk)
+        keys = out[walk * SAMPLES:(walk + 1) * SAMPLES]
+        keys[:] = seeds[:, None]
+        taken = [set(p.tolist()) for p in picks]
+        last = max(int(p[-1]) for p in picks)
+        at[:] = starts
+        for step in range(last + 1):
+            np.take(words, at, out=word, mode="clip")
+            if step >= size:  # the pointer may have left the window
+                word[at >= end] = 0
+            for key, steps in zip(keys, taken):
+                if step in steps:
+                    np.bitwise_xor(key, word, out=key)
+                    np.multiply(key, factor, out=key)
+            if step < last:
+                np.bitwise_xor(word, salt[step], out=word)
+                np.multiply(word, factor, out=word)
+                np.right_shift(word, np.uint64(63), out=word)
+                np.add(at, word.view(np.int64), out=at)
+        for k, key in enumerate(keys):
+            keys[k] = _mix(key)
+
+
 def window_keys(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """The LSH keys, one row per table, of the windows of ``size`` words at ``starts``."""
     out = np.empty((walks(size) * SAMPLES, len(starts)), np.uint64)
-    for walk in range(walks(size)):
-        salt, picks, seeds = _plan(size, walk)
-        keys = [np.full(len(starts), s, np.uint64) for s in seeds]
-        at, end = starts.copy(), starts + size
-        for step in range(max(int(p[-1]) for p in picks) + 1):
-            if step < size:  # the pointer is still inside the window
-                word = words[at]
-            else:
-                word = np.where(at < end, words[np.minimum(at, end - 1)], np.uint64(0))
-            for k, p in zip(range(SAMPLES), picks):
-                if step in p:
-                    keys[k] = (keys[k] ^ word) * np.uint64(FACTOR)
-            at += (((word ^ salt[step]) * np.uint64(FACTOR)) >> np.uint64(63)).astype(np.int64)
-        for k in range(SAMPLES):
-            out[walk * SAMPLES + k] = _mix(keys[k])
+    for first in range(0, len(starts), AT_ONCE):
+        run = slice(first, first + AT_ONCE)
+        _walk_keys(words, starts[run], size, out[:, run])
     return out
 
 
@@ -268,7 +285,7 @@ def _document_windows(rows: DataFrame, plane, sizes: list[int]) -> DataFrame:
             owner = np.repeat(np.arange(len(n)), n)
             local = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
             keys = window_keys(words, edge[owner] + local, size)
-            hit = in_plane(bits, (keys % np.uint64(BITMAP)).astype(np.int64))
+            hit = np.stack([in_plane(bits, (key & np.uint64(BITMAP - 1)).view(np.int64)) for key in keys])
             _, w = np.nonzero(hit)
             sets = window_sets(words, edge[owner[w]] + local[w], size)
             yield pd.DataFrame({"none": none[owner[w]], "doc": doc[owner[w]], "row": row[owner[w]], "key": _signed(keys[hit]),

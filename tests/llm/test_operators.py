@@ -392,3 +392,25 @@ def test_no_language_is_left_out(spark, monkeypatch):
     sample = language.training_sample(df).collect()
     assert {r.lang for r in sample} == {f"l{k:02d}" for k in range(40)} and len(sample) <= 64
     assert len(language.train(df).classes) == 40
+
+
+def test_windows_walk_in_runs(monkeypatch):
+    """A run of windows in place gives the keys that a walk of each window by itself gives."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    monkeypatch.setattr(leak_search, "AT_ONCE", 7)
+    for size in (1, 2, 4, 16, 32):
+        starts = np.arange(60 - size + 1)
+        got = leak_search.window_keys(words, starts, size)
+        for walk in range(leak_search.walks(size)):
+            salt, picks, seeds = leak_search._plan(size, walk)
+            for w in starts:
+                at, seen = w, []
+                for step in range(2 * size):
+                    seen.append(words[at] if at < w + size else np.uint64(0))
+                    at += int(int(seen[-1] ^ salt[step]) * leak_search.FACTOR % (1 << 64) >> 63)
+                for k, (steps, seed) in enumerate(zip(picks, seeds)):
+                    key = int(seed)
+                    for step in steps:
+                        key = (key ^ int(seen[step])) * leak_search.FACTOR % (1 << 64)
+                    assert got[walk * leak_search.SAMPLES + k][w] == leak_search._mix(np.array([key], np.uint64))[0]
