@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import bit_plane, in_plane
-from cohortlens.session import materialize
+from cohortlens.session import materialize, used_up
 
 WALKS = 3  # for windows of up to 16 words
 SAMPLES = 5
@@ -362,7 +362,8 @@ def find(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) ->
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """``docs`` without the rows in which a benchmark item is found; other rows of their doc_id (or without one) stay."""
-    gone = _found(docs, benchmark, max_edits).select(*[F.col(c).alias(f"_{c}") for c in ROW]).distinct()
+    with used_up() as keep:
+        gone = keep(materialize(_found(docs, benchmark, max_edits).select(*[F.col(c).alias(f"_{c}") for c in ROW]).distinct(), "gone"))
     doc = docs["doc_id"].cast("long")
     same = ((F.xxhash64(doc, docs["text"].cast("string")) == gone["_row"]) & (F.coalesce(doc, F.lit(0)) == gone["_doc"])
             & (doc.isNull() == gone["_none"]))

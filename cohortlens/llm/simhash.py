@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import columns
 from cohortlens.llm.components import components
-from cohortlens.session import materialize
+from cohortlens.session import materialize, used_up
 
 SEED = 42
 SEGMENT_BITS = 4
@@ -181,6 +181,7 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFram
     Rows with the same doc_id are one document and stay or go together; rows without a
     doc_id stay.
     """
-    gone = (near_duplicates(docs, shingle, max_bits).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("gone_id")).distinct())
+    with used_up() as keep:
+        gone = keep(materialize(near_duplicates(docs, shingle, max_bits).where("doc_id <> component_id")
+                                .select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

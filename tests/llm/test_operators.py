@@ -414,3 +414,38 @@ def test_windows_walk_in_runs(monkeypatch):
                     for step in steps:
                         key = (key ^ int(seen[step])) * leak_search.FACTOR % (1 << 64)
                     assert got[walk * leak_search.SAMPLES + k][w] == leak_search._mix(np.array([key], np.uint64))[0]
+
+
+def test_wide_bitmaps_of_long_lines(spark):
+    """Lines that fill the short bitmap are told apart by the wide one, which lets every pair at the threshold through."""
+    rnd = random.Random(5)
+
+    def line(n):
+        return bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz", k=n))
+
+    pairs = []
+    for n in (300, 1000, 1100, 4000):
+        x = line(n)
+        pairs += [(x, line(n), False), (x, x[:n // 2] + line(n - n // 2), False), (x, x[:n * 9 // 10] + line(n // 10), True),
+                  (x, x[n // 7:], True)]
+    rows = []
+    for x, y, alike in pairs:
+        a, b = fuzzy_lines.shingles(x), fuzzy_lines.shingles(y)
+        assert alike == (len(a & b) >= 0.8 * len(a | b))
+        of = []
+        for z in (x, y):
+            h = np.unique(fuzzy_lines._offsets_hashed([z])[0]).astype(np.uint64)
+            of += [len(h), fuzzy_lines.wide_bitmap(h).tolist()]
+        rows.append((*of, alike))
+    df = spark.createDataFrame(rows, "size_x int, wide_x array<long>, size_y int, wide_y array<long>, alike boolean")
+    assert all(r.possible == r.alike for r in df.selectExpr("alike", f"{fuzzy_lines._possible_wide(0.8)} as possible").collect())
+    empty = "size_x, cast(null as array<long>) as wide_x, size_y, wide_y"
+    assert all(r.possible for r in df.selectExpr(*empty.split(", ")).selectExpr(f"{fuzzy_lines._possible_wide(0.8)} as possible").collect())
+
+
+def test_uncompared_members(spark):
+    """Leaders have met all others; in a small band a line without another of about its size goes."""
+    members = spark.createDataFrame([(1, i, 5, 10) for i in (10, 11, 12, 13, 14)] + [(2, i, 2, 10) for i in (10, 11)],
+                                    "band long, id long, n long, first long")
+    sets = spark.createDataFrame([(10, 100), (11, 100), (12, 81), (13, 50), (14, 300)], "id long, size int")
+    assert sorted(fuzzy_lines._uncompared(members, sets, 0.8).collect()) == [(1, 11, 5), (1, 12, 5)]

@@ -1,6 +1,9 @@
 """The pipeline against the stages' brute-force versions, and its contract."""
 
+import os
+
 import corpus_pipeline as pipeline
+from cohortlens import session
 from cohortlens.llm import target_ratio
 from cohortlens.llm.common import table, tokenizer_file
 from tests.llm import reference
@@ -51,3 +54,14 @@ def test_empty_and_odd_tables(spark, tmp_path):
     odd.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert got and all(r.doc_id is None and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_stages_leave_no_used_up_tables(spark):
+    """What a stage has written besides the one table that its result is read from is gone when the stage returns."""
+    docs = table(spark, SF, "documents")
+    folder = f"{session.checkpoint_dir(spark)}/tables"
+    for name, stage in pipeline.STAGES[:-1]:
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        left = stage(spark, docs, SF)
+        assert len(set(os.listdir(folder)) - before) == 1, name
+        assert left.count() > 0
