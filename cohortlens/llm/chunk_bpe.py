@@ -31,15 +31,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.common import Memo, columns, text_batches
+from cohortlens.llm.common import Memo, columns
 
 WINDOW = 16
 MEAN_CHUNK = 512  # bytes between cuts on average (a power of two)
 CHUNK_MEMO = 24 << 20  # bounds of the memos per Python worker, in bytes
-UNIT_MEMO = 96 << 20
+UNIT_MEMO = 64 << 20
+RUN_BYTES = 1 << 19  # bytes of the texts that are encoded together
 SETTLED = re.compile(r" (?=\S)(?<=\S )")
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -153,6 +155,18 @@ def _coder(tokenizer_file: str) -> ChunkCoder:
     return ChunkCoder(tokenizer_file)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """``doc_id`` and texts of slices of a batch, ``RUN_BYTES`` of text each at most (a longer text is alone): only one
+    slice's texts are Python objects at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    first = 0
+    while first < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(size[first:], dtype=np.int64), RUN_BYTES, "right")))
+        run = batch.slice(first, n)
+        yield run.column("doc_id"), [t or "" for t in run.column("text").to_pylist()]
+        first += n
+
+
 def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """One row per input row: ``doc_id, ids array<int>, decoded string``.
 
@@ -160,32 +174,32 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     alike; an empty table gives an empty result; extra columns are ignored.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer_file)
-        for f in frames:
-            at = 0
-            for texts in text_batches([t or "" for t in f["text"]]):
+        for b in batches:
+            for doc_id, texts in _runs(b):
                 ids = coder.encode(texts)
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[at:at + len(texts)].to_numpy(), "ids": ids,
-                                    "decoded": [coder.decode(i) for i in ids]})
-                at += len(texts)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32))),
+                     pa.array([coder.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return columns(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """``encode`` reduced in the task to ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer_file)
-        for f in frames:
-            ids_hash, text_hash, n = [], [], []
-            for texts in text_batches([t or "" for t in f["text"]]):
-                for ids in coder.encode(texts):
-                    n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    text_hash.append(hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest())
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": text_hash})
-
-    return columns(docs, doc_id="long", text="string").mapInPandas(
+        for b in batches:
+            for doc_id, texts in _runs(b):
+                ids = coder.encode(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_id, pa.array([len(i) for i in ids], pa.int64()),
+                     pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]),
+                     pa.array([hashlib.sha256(coder.decode(i).encode("utf-8")).hexdigest() for i in ids])],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return columns(docs, doc_id="long", text="string").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

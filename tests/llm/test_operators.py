@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortlens.llm import (chunk_bpe, fuzzy_lines, language, leak_search, licenses, pseudonyms, simhash,
@@ -165,6 +166,22 @@ def test_chunked_bpe(docs, texts):
             len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_batches_are_encoded_in_short_runs(spark, monkeypatch):
+    monkeypatch.setattr(chunk_bpe, "RUN_BYTES", 10)
+    rows = [(1, "abcd"), (None, "éé"), (3, None), (4, "x" * 50), (5, ""), (6, "ab"), (7, "漢字漢")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string()))], ["doc_id", "text"])
+    runs = [(ids.to_pylist(), texts) for ids, texts in chunk_bpe._runs(batch)]
+    assert [i for ids, _ in runs for i in ids] == [i for i, _ in rows]
+    assert [t for _, texts in runs for t in texts] == [t or "" for _, t in rows]
+    assert all(len(texts) == 1 or sum(len(t.encode()) for t in texts) <= 10 for _, texts in runs)
+    assert list(chunk_bpe._runs(batch.slice(0, 0))) == []
+    # many texts in one task: more than one run of the real length
+    docs = spark.createDataFrame([(i, f"word {i} " * 20_000 if i % 2 else None) for i in range(9)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in chunk_bpe.encode(docs, tokenizer_file("byte_bpe_50k.json")).collect()}
+    assert len(got) == 9
+    assert all(got[i].decoded == (f"word {i} " * 20_000 if i % 2 else "") for i in range(9))
+
+
 def test_quality_rules(spark, docs, texts):
     labels = table(spark, SF, "labels")
     trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
