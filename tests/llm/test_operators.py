@@ -197,6 +197,20 @@ def test_quality_rules(spark, docs, texts):
         assert r.kept == (not r.base_failed and r.score >= least)
 
 
+def test_every_trusted_document_counts(spark):
+    """The target has the words of all trusted documents, however many; rows without a doc_id are in the raw counts only."""
+    n = 30_000
+    d = spark.range(n).selectExpr("id as doc_id", "concat('a b', id % 7) as text")
+    odd = spark.createDataFrame([(None, "a b0"), (None, None), (0, "a"), (n, "a c"), (n, None)], "doc_id long, text string")
+    same = spark.range(1).selectExpr("xxhash64('a b0') as doc_id", "1 as quality", "0 as toxic")  # where the row without an id is dealt
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic").union(same).union(
+        spark.createDataFrame([(None, 1, 0), (n, 1, 1), (0, 1, None)], "doc_id long, quality int, toxic int"))
+    got = target_ratio.counts(d.union(odd), labels)
+    assert got.agg({"raw": "sum", "good": "sum"}).select("sum(raw)", "sum(good)").first() == (2 * n + 5, 2 * n + 1)
+    seen = got.where("raw > 0").selectExpr("raw", "good").collect()
+    assert len(seen) == 9 and (n + 3, n + 1) in seen and (1, 0) in seen
+
+
 def test_leak_search(spark, docs, texts):
     bench = table(spark, SF, "benchmark")
     items = [(r.item_id, r.text) for r in bench.collect()]
