@@ -480,3 +480,28 @@ def test_uncompared_members(spark):
                                     "band long, id long, n long, first long")
     sets = spark.createDataFrame([(10, 100), (11, 100), (12, 81), (13, 50), (14, 300)], "id long, size int")
     assert sorted(fuzzy_lines._uncompared(members, sets, 0.8).collect()) == [(1, 11, 5), (1, 12, 5)]
+
+
+def test_bands_of_any_size_are_tested_on_sketches(spark):
+    """Chance meetings in a crowded band do not bring a line any further; lines with a partner stay in the bands they share."""
+    rng = np.random.default_rng(7)
+    k = rng.integers(-(1 << 62), 1 << 62, (300, 2)).tolist()
+    k[250] = k[3]
+    bands = rng.integers(-(1 << 62), 1 << 62, (300, len(fuzzy_lines.BANDS))).tolist()
+    crowded = [1, 1 << 62, -5, -(1 << 63)]  # one of each part
+    for i, b in enumerate(bands):
+        b[:len(crowded)] = crowded
+    bands[250][4] = bands[3][4]
+    bands[251][5] = bands[3][5]  # met by chance
+    rows = [(i, 10 + i, b, *sketch) for i, (b, sketch) in enumerate(zip(bands, k))]
+    nodes = spark.createDataFrame(rows, "id long, weight long, bands array<long>, k0 long, k1 long")
+    got = {tuple(r) for r in fuzzy_lines._members(nodes).collect()}
+    assert got == {(b, i, 2, 250) for b in [*crowded, bands[3][4]] for i in (3, 250)}
+    assert {b >> 62 & 3 for b in crowded} == {0, 1, 2, 3}
+
+
+def test_lines_of_repeated_rows_are_read_once(spark):
+    a, b = "the quick brown fox jumps over the lazy dog again", "the quick brown fox jumps over the lazy dog againe"
+    rows = [(1, a), (1, a), (2, b), (2, b), (2, b), (None, a)]
+    out = fuzzy_lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in out) == [(0, 1), (1, 0), (1, 0), (2, 1), (2, 1), (2, 1)]
