@@ -1,6 +1,7 @@
 """The rule interface, effective-dated schedules and batch formats on small fixtures."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from cohortlens.operators import formats
 from cohortlens.operators.joins import effective_at, periods
 from cohortlens.plans import cleaning, quality, rulebook
 from cohortlens.plans.rulebook import Job, Step
-from cohortlens.session import scratch_path
+from cohortlens.session import checkpoint_dir, scratch_path
 from cohortlens.sources.tables import Tables
 
 
@@ -39,6 +40,27 @@ def test_bad_jobs_are_refused(steps):
         rulebook.in_order(steps)
 
 
+# ------------------------------------------------------------------ step by step
+def test_written_steps_change_nothing_and_keep_one_table(spark):
+    ref = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "r int, kind2 string")
+    known = rulebook.in_reference("known", lambda t: ref, [("k", "r")])
+    job = Job("things", lambda t: _frame(spark), (*_job(None).steps, Step(5, "drop", lambda: ~F.col("known"), after=(9, 10), ends=("known", "kind2"), attach=(
+        known, lambda t, df: df.join(ref.withColumnRenamed("r", "k"), "k", "left")))))
+    folder = os.path.join(checkpoint_dir(spark), "tables")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    whole, stepped = rulebook.judge(None, job), rulebook.judge(None, job, rulebook.written_steps())
+    assert sorted(map(str, stepped.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["step"]  # three were written
+
+
+def test_findings_leave_no_tables_of_steps(spark):
+    """Every job's findings are written by a query of its own, and nothing else is left on disk."""
+    folder = os.path.join(checkpoint_dir(spark), "tables")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    cleaning.cleaning_findings(Tables(spark, SF_SMALL))
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["findings"] * len(cleaning.JOBS)
+
+
 # ------------------------------------------------------------------ one pass
 def _job(raw):
     return Job("things", raw, (
