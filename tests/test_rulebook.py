@@ -53,12 +53,14 @@ def test_written_steps_change_nothing_and_keep_one_table(spark):
     assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["step"]  # three were written
 
 
-def test_findings_leave_no_tables_of_steps(spark):
-    """Every job's findings are written by a query of its own, and nothing else is left on disk."""
-    folder = os.path.join(checkpoint_dir(spark), "tables")
+def test_findings_run_job_by_job_and_leave_one_table(spark, monkeypatch):
+    """Every job's findings are written by a query of its own, and nothing but their union is left on disk."""
+    folder, names, whole = os.path.join(checkpoint_dir(spark), "tables"), [], rulebook.materialize
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
-    cleaning.cleaning_findings(Tables(spark, SF_SMALL))
-    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["findings"] * len(cleaning.JOBS)
+    monkeypatch.setattr(rulebook, "materialize", lambda df, name, **o: names.append(name) or whole(df, name, **o))
+    assert cleaning.cleaning_findings(Tables(spark, SF_SMALL)).count() == sum(len(make().steps) for make in cleaning.JOBS.values())
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["findings"]
+    assert names.count("found") == len(cleaning.JOBS) and names.count("step") > 2
 
 
 # ------------------------------------------------------------------ one pass
